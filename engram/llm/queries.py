@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from . import decontam, exact_dedup, html_extract, packing, quality, sharding, warc_zip
+from . import decontam, exact_dedup, html_extract, packing, quality, sharding, substring_dedup, warc_zip
 from .common import documents, table
 
 
@@ -23,6 +23,10 @@ def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op3_substring_dedup(spark, sf_dir):
+    return substring_dedup.substring_dedup(documents(spark, sf_dir), with_text=False)
+
+
 def op4_warc(spark, sf_dir):
     return warc_zip.round_trip(table(spark, sf_dir, "pages"))
 
@@ -48,6 +52,7 @@ QUERIES = {
     for f in (
         op1_html_extraction,
         op2_exact_dedup,
+        op3_substring_dedup,
         op4_warc,
         op5_packing,
         op6_quality_classifier,
