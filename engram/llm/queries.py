@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from . import decontam, exact_dedup, html_extract, packing, quality, sharding, substring_dedup, warc_zip
+from . import decontam, exact_dedup, html_extract, packing, quality, sharding, substring_dedup, suffix_dedup, warc_zip
 from .common import documents, table
 
 
@@ -47,6 +47,10 @@ def op8_sharding(spark, sf_dir):
     return sharding.shard(documents(spark, sf_dir))
 
 
+def op10_suffix_array(spark, sf_dir):
+    return suffix_dedup.suffix_dedup(documents(spark, sf_dir), with_bytes=False)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -58,6 +62,7 @@ QUERIES = {
         op6_quality_classifier,
         op7_decontamination,
         op8_sharding,
+        op10_suffix_array,
     )
 }
 ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE, "op4_warc": warc_zip.ORACLE}
