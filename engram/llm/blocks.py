@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from .common import mix, stage, windows
 
 BLOCK_BYTES = 8_000_000
+MOST_DOCS = 200_000
 RUN = "bucket int, block long, data binary"
 ANSWER = "block long, bucket int, flags binary"
 
@@ -54,7 +55,7 @@ def make_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                if ids and held + len(data) > block_bytes:
+                if ids and (held + len(data) > block_bytes or len(ids) >= MOST_DOCS):
                     yield out()
                     block, ids, texts, held = block + 1, [], [], 0
                 ids.append(doc_id)
@@ -114,9 +115,11 @@ def runs_of(keys: np.ndarray, block: int, n_buckets: int, second: np.ndarray | N
 
 
 def merge(rows: DataFrame) -> DataFrame:
-    """Merges the runs of each bucket; answers every run with the bits of its keys that another block has."""
+    """Merges the runs of each bucket; answers every run with the bits of its keys that another block has,
+    followed by the bits of those that a block of a smaller number has."""
 
     def work(table: pa.Table) -> pa.Table:
+        table = table.sort_by("block")
         blocks, data = table.column("block").to_pylist(), table.column("data").to_pylist()
         keys = [unpack_sorted(d) for d in data]
         sizes = [len(k) for k in keys]
@@ -133,9 +136,11 @@ def merge(rows: DataFrame) -> DataFrame:
         flag = np.zeros(len(s), bool)
         flag[order[1:][same]] = True
         flag[order[:-1][same]] = True
+        late = np.zeros(len(s), bool)
+        late[order[1:][same]] = True  # equal keys are in the order of their blocks
         out, at = [], 0
         for n in sizes:
-            out.append(np.packbits(flag[at : at + n]).tobytes())
+            out.append(np.packbits(flag[at : at + n]).tobytes() + np.packbits(late[at : at + n]).tobytes())
             at += n
         bucket = table.column("bucket")[0].as_py()
         return pa.table({"block": pa.array(blocks, pa.int64()), "bucket": pa.array([bucket] * len(blocks), pa.int32()), "flags": pa.array(out, pa.binary())})
@@ -143,12 +148,14 @@ def merge(rows: DataFrame) -> DataFrame:
     return rows.groupBy("bucket").applyInArrow(work, ANSWER)
 
 
-def flags_of(answers: pa.Table, keys: np.ndarray, n_buckets: int) -> np.ndarray:
+def flags_of(answers: pa.Table, keys: np.ndarray, n_buckets: int, late: bool = False, first_bucket: int = 0) -> np.ndarray:
     """The bits of a block's sorted distinct keys, gathered from the answers of all buckets."""
     edges, out = bucket_edges(keys, n_buckets), np.zeros(len(keys), bool)
     for bucket, flags in zip(answers.column("bucket").to_pylist(), answers.column("flags").to_pylist(), strict=True):
-        a, b = edges[bucket], edges[bucket + 1]
-        out[a:b] = np.unpackbits(np.frombuffer(flags, np.uint8), count=b - a).astype(bool)
+        if first_bucket <= bucket < first_bucket + n_buckets:
+            a, b = edges[bucket - first_bucket], edges[bucket - first_bucket + 1]
+            skip = (b - a + 7) // 8 if late else 0
+            out[a:b] = np.unpackbits(np.frombuffer(flags, np.uint8, offset=skip), count=b - a).astype(bool)
     return out
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from . import decontam, exact_dedup, html_extract, packing, quality, sharding, substring_dedup, suffix_dedup, warc_zip
+from . import decontam, exact_dedup, html_extract, jaccard_join, packing, quality, sharding, substring_dedup, suffix_dedup, warc_zip
 from .common import documents, table
 
 
@@ -47,6 +47,10 @@ def op8_sharding(spark, sf_dir):
     return sharding.shard(documents(spark, sf_dir))
 
 
+def op9_jaccard_join(spark, sf_dir):
+    return jaccard_join.jaccard_components(documents(spark, sf_dir))
+
+
 def op10_suffix_array(spark, sf_dir):
     return suffix_dedup.suffix_dedup(documents(spark, sf_dir), with_bytes=False)
 
@@ -62,6 +66,7 @@ QUERIES = {
         op6_quality_classifier,
         op7_decontamination,
         op8_sharding,
+        op9_jaccard_join,
         op10_suffix_array,
     )
 }

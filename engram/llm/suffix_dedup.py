@@ -66,8 +66,10 @@ def suffix_ranks(t: np.ndarray, depth: int) -> np.ndarray:
         pair = _dense(pair)
     p1, p2 = np.arange(1, m, 3), np.arange(2, m, 3)
     sample = np.concatenate([p1, p2])
-    name = _dense(pair[sample] * top + v[sample + 2]) + 1
-    if depth > 3 and int(name.max()) < len(name):
+    name = pair[sample] * top + v[sample + 2] + 1
+    if top > 1 << 9 or depth <= 3:  # names of byte triples are small enough as they are
+        name = _dense(name) + 1
+    if depth > 3 and (top <= 1 << 9 or int(name.max()) < len(name)):
         name = suffix_ranks(name, -(-depth // 3)) + 1
     rank = np.zeros(m + 4, np.int64)
     rank[sample] = name
