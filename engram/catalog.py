@@ -333,11 +333,12 @@ def consolidation_plan(spark, sf):
     return out.select("graph_id", "hub", F.array_join(F.transform("l", lambda x: x["c"]), "\n").alias("texts"))
 
 
-AS_OF = F.lit("2024-02-01 00:00:00").cast("timestamp")
+def as_of():
+    return F.lit("2024-02-01 00:00:00").cast("timestamp")
 
 
 def _forgotten(n, e):
-    return G.forget_candidates(n, e.withColumn("weight", F.col("weight")), AS_OF, min_age=15)
+    return G.forget_candidates(n, e, as_of(), min_age=15)
 
 
 @query(f"WITH {EVENTS} SELECT graph_id, node_id, age_days FROM g")
@@ -356,7 +357,7 @@ def forget_apply(spark, sf):
 @query("SELECT event_id, round(exp(-(epoch(TIMESTAMP '2024-02-01') - floor(epoch(ts))) / 1e7), 9) AS decay FROM events")
 def time_decay(spark, sf):
     ts = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
-    return read(spark, sf, "events").select("event_id", F.round(T.time_decay(ts, AS_OF, 1e7), 9).alias("decay"))
+    return read(spark, sf, "events").select("event_id", F.round(T.time_decay(ts, as_of(), 1e7), 9).alias("decay"))
 
 
 @query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN CAST(floor(epoch(ts)) AS BIGINT) WHEN 1 THEN CAST(floor(epoch(ts) / 60) * 60 AS BIGINT) WHEN 2 THEN CAST(floor(epoch(ts) / 86400) * 86400 AS BIGINT) END AS seconds FROM events")
