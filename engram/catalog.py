@@ -7,12 +7,17 @@ from dataclasses import replace
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from engram.config import DEFAULT
+from engram.config import DEFAULT, LONGMEMEVAL
+from engram.functions import models
+from engram.functions import prompts as P
 from engram.functions import text as T
 from engram.operators import dialogue as D
 from engram.operators import graph as G
+from engram.operators import knowledge as K
 from engram.operators import metrics as M
 from engram.operators import retrieve as R
+from engram.plans import answer as A
+from engram.plans import encode as E
 from engram.sources.store import dialog_text
 
 QUERIES, ORACLES = {}, {}
@@ -167,7 +172,7 @@ def clean_lines(spark, sf):
     return rows.select("doc_id", T.clean_line(F.col("raw")).alias("line")).where("line IS NOT NULL")
 
 
-@query(f"WITH {LINES}, c AS (SELECT doc_id, replace(raw, '- ', '') AS line FROM s) SELECT doc_id, line FROM c WHERE length(line) > 10 AND lower(line) <> 'none'")
+@query(f"WITH {LINES}, c AS (SELECT doc_id, regexp_replace(regexp_replace(raw, '^- ', ''), '^\\s+|\\s+$', '', 'g') AS line FROM s) SELECT doc_id, line FROM c WHERE length(line) > 10 AND lower(line) <> 'none'")
 def fact_lines(spark, sf):
     rows = read(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("raw"))
     return rows.select("doc_id", T.fact_line(F.col("raw")).alias("line")).where("line IS NOT NULL")
@@ -489,3 +494,112 @@ def encode_summary(spark, sf):
 @query(f"WITH s AS ({SUMMARY}) SELECT '{{\"n_graphs\":' || n_graphs || ',\"n_nodes\":' || n_nodes || ',\"n_chars\":' || n_chars || '}}' AS summary FROM s")
 def summary_json(spark, sf):
     return encode_summary(spark, sf).select(F.to_json(F.struct("n_graphs", "n_nodes", "n_chars")).alias("summary"))
+
+
+# --- knowledge, prompts and model-backed plans --------------------------------
+
+ENDED = "(SELECT *, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS era FROM events)"
+
+
+@query(f"""WITH u AS (SELECT *, max(era) OVER (PARTITION BY user_id) AS last FROM {ENDED})
+SELECT user_id, string_agg(event_type || ' ' || event_id, chr(10) || chr(10) || '--- Updated ---' || chr(10) ORDER BY ts, event_id) AS data FROM u WHERE era = last GROUP BY 1""")
+def profile_merge(spark, sf):
+    """A signup replaces the profile, every other event is appended to it."""
+    e = read(spark, sf, "events").withColumn("d", F.concat("event_type", F.lit(" "), "event_id"))
+    return K.fold_profiles(e, "user_id", [F.col("ts"), F.col("event_id")], "d", F.col("event_type") != "signup")
+
+
+@query(f"""WITH k AS (SELECT conv_id, turn, {_tokens_sql("text")} AS t FROM conversations),
+c AS (SELECT conv_id, turn, list_sort(list_transform(list_distinct(t), lambda w: {{'n': -len(list_filter(t, lambda x: x = w)), 'w': w}}))[1:3] AS l FROM k)
+SELECT conv_id, turn, coalesce(array_to_string(list_transform(l, lambda s: s.w), ','), '') AS keywords FROM c""")
+def keyword_extract(spark, sf):
+    return K.with_keywords(read(spark, sf, "conversations"), "text").select("conv_id", "turn", F.array_join("keywords", ",").alias("keywords"))
+
+
+TASKS = [*P.JUDGE, "other"]
+
+
+def _quoted(s):
+    return "'" + s.replace("'", "''") + "'"
+
+
+RULES = f"CASE WHEN doc_id % 11 = 0 THEN {_quoted(P.ABSTAIN)} " + " ".join(f"WHEN doc_id % {len(TASKS)} = {i} THEN {_quoted(P.JUDGE.get(t, P.ANY))}" for i, t in enumerate(TASKS)) + " END"
+
+
+@query(f"SELECT doc_id, concat_ws(chr(10) || chr(10), {RULES}, 'Question: ' || lang, 'Reference: ' || source, 'Reply: ' || n_chars, 'Answer yes or no.') AS prompt FROM documents")
+def judge_prompt(spark, sf):
+    task = F.get(F.array(*map(F.lit, TASKS)), (F.col("doc_id") % len(TASKS)).cast("int"))
+    ask = P.judge(task, F.col("lang"), F.col("source"), F.col("n_chars").cast("string"), F.col("doc_id") % 11 == 0)
+    return read(spark, sf, "documents").select("doc_id", ask.alias("prompt"))
+
+
+@query(f"""WITH {RANKED},
+fs AS (SELECT query_id, graph_id, node_id, node_seq, list_dot_product(embedding::DOUBLE[], qe::DOUBLE[]) /
+  (greatest(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 1e-10) * greatest(sqrt(list_dot_product(qe::DOUBLE[], qe::DOUBLE[])), 1e-10)) AS sim FROM n JOIN q USING (graph_id) WHERE graph_id % 2 = 1),
+fk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 12) DESC, node_seq) AS out_rank FROM fs)
+SELECT query_id, graph_id, node_id, out_rank, score, 'graph' AS origin FROM res WHERE graph_id % 2 = 0
+UNION ALL SELECT query_id, graph_id, node_id, out_rank, round(sim, 9), 'fallback' FROM fk WHERE out_rank <= 10""")
+def search_knowledge(spark, sf):
+    """Graphs with an even identifier have knowledge nodes, the others fallback rows only."""
+    n = vec_nodes(spark, sf)
+    own = n.where("graph_id % 2 = 0")
+    return K.search_knowledge(own, G.temporal_edges(own), n, vec_queries(n), k=10)
+
+
+@query(f"""WITH {TURNS}, s AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k FROM tu)
+SELECT conv_id AS graph_id, k // 10 AS batch, string_agg('User: ' || user_text || chr(10) || 'AI: ' || ai_text, chr(10) ORDER BY k) AS text FROM s GROUP BY 1, 2""")
+def batch_texts(spark, sf):
+    return E.batch_texts(turns(spark, sf), "conv_id", "turn")
+
+
+def conv_turns(spark, sf):
+    return turns(spark, sf).select(F.col("conv_id").alias("graph_id"), F.lit(1).alias("session_seq"), F.col("turn").alias("turn_seq"), F.lit(None).cast("string").alias("ts"), "user_text", "ai_text")
+
+
+@query()
+def memory_graph(spark, sf):
+    """Nodes of conversations with the vectors and keywords of the default hooks."""
+    return E.memory_graph(conv_turns(spark, sf))[0]
+
+
+@query()
+def extracted_facts(spark, sf):
+    found = E.extract(batch_texts(spark, sf))
+    return E.facts(found, "private").withColumn("kind", F.lit("user")).unionByName(E.facts(found, "assistant").withColumn("kind", F.lit("assistant")))
+
+
+@query()
+def profile_fold(spark, sf):
+    return E.fold_extracted(E.extract(batch_texts(spark, sf)))
+
+
+@query()
+def consolidate(spark, sf):
+    n = vec_nodes(spark, sf).withColumn("content", F.concat(F.lit("passage of node "), "node_id"))
+    return E.consolidate(n, G.temporal_edges(n), c=LINKED)
+
+
+def conv_questions(spark, sf):
+    """Each conversation is asked its own last user text; its vector comes from the default encoder."""
+    q = turns(spark, sf).groupBy("conv_id").agg(F.max_by("user_text", "turn").alias("question"))
+    return q.select(F.col("conv_id").alias("query_id"), F.col("conv_id").alias("graph_id"), "question", models.embedding(F.col("question")).alias("q_embedding"))
+
+
+@query()
+def answer_question(spark, sf):
+    """Prompt and answer of one question per conversation over its own memories."""
+    n, e = E.memory_graph(conv_turns(spark, sf))
+    q = conv_questions(spark, sf)
+    found = R.retrieve(n, e, q.drop("question"), k=LONGMEMEVAL.top_k, c=LONGMEMEVAL)
+    blank = spark.createDataFrame([], "graph_id long, query_id long, out_rank long, seq long, content string, data string")
+    profiles = E.fold_extracted(E.extract(batch_texts(spark, sf)))
+    asked = q.select("query_id", "graph_id", "question", F.lit("2024-02-01").alias("asked_on"))
+    return A.answers(A.answer_prompts(asked, found, n.select("graph_id", "node_id", "content", "ts"), profiles, blank, blank, LONGMEMEVAL))
+
+
+@query()
+def retrieve_sequential(spark, sf):
+    """The first three nodes of each graph are its queries, in order; each reinforces what the next one reads."""
+    n = vec_nodes(spark, sf)
+    q = n.where("node_seq <= 3").select((F.col("graph_id") * 10 + F.col("node_seq")).alias("query_id"), "graph_id", F.col("node_seq").alias("qa_index"), F.col("embedding").alias("q_embedding"))
+    return A.sequential(n, G.temporal_edges(n), q.select("query_id", "graph_id", "qa_index", "q_embedding"), k=10)[0]

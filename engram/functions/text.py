@@ -32,7 +32,7 @@ def clean_line(c: Column) -> Column:
 
 
 def fact_line(c: Column) -> Column:
-    line = F.regexp_replace(strip(c), "- ", "")
+    line = strip(F.regexp_replace(strip(c), "^- ", ""))
     return F.when((F.length(line) > 10) & (F.lower(line) != "none"), line)
 
 

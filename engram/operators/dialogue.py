@@ -24,10 +24,10 @@ def pair_fifo(rows: DataFrame, keys: list[str], order: list[Column], user: Colum
     return asks.join(replies, [*keys, "turn_seq"])
 
 
-def memory_nodes(turns: DataFrame, key: str, order: str) -> DataFrame:
+def memory_nodes(turns: DataFrame, key: str, order: str, *more: str) -> DataFrame:
     seq = F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1
     content = F.concat(F.lit("User: "), "user_text", F.lit("\nAI: "), "ai_text")
-    return turns.select(F.col(key).alias("graph_id"), seq.cast("long").alias("node_seq"), content.alias("content"), F.lit("interaction").alias("role"))
+    return turns.select(F.col(key).alias("graph_id"), seq.cast("long").alias("node_seq"), content.alias("content"), F.lit("interaction").alias("role"), *more)
 
 
 def buffers(turns: DataFrame, key: str, order: str, size: int = 10) -> DataFrame:
