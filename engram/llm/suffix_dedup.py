@@ -38,11 +38,17 @@ _LAST = np.iinfo(np.int64).max
 
 
 def _dense(x: np.ndarray) -> np.ndarray:
-    return np.unique(x, return_inverse=True)[1].astype(np.int64).reshape(-1)
+    order = np.argsort(x)
+    s, out = x[order], np.empty(len(x), np.int64)
+    out[order] = np.append(0, np.cumsum(s[1:] != s[:-1]))
+    return out
 
 
-def _below(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    return np.searchsorted(sorted_keys, keys, "left")
+def _below(sorted_keys: np.ndarray, keys: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """How many of sorted_keys are smaller than each key; order sorts the keys, so both are read as in a merge."""
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.searchsorted(sorted_keys, keys[order], "left")
+    return out
 
 
 def suffix_ranks(t: np.ndarray, depth: int) -> np.ndarray:
@@ -76,12 +82,13 @@ def suffix_ranks(t: np.ndarray, depth: int) -> np.ndarray:
     p0, wide = np.arange(0, n, 3), len(v) + int(name.max()) + 2
     a0, a1 = v[p0] * wide + rank[p0 + 1], v[p1] * wide + rank[p1 + 1]
     b0, b2 = pair[p0] * wide + rank[p0 + 2], pair[p2] * wide + rank[p2 + 2]
-    sa0, sb0 = np.sort(a0), np.sort(b0)
+    oa0, oa1, ob0, ob2 = map(np.argsort, (a0, a1, b0, b2))
+    sa0, sb0 = a0[oa0], b0[ob0]
     out = np.empty(m + 4, np.int64)
-    out[p0] = _below(sa0, a0) + _below(np.sort(a1), a0) + _below(np.sort(b2), b0)
+    out[p0] = _below(sa0, a0, oa0) + _below(a1[oa1], a0, oa0) + _below(b2[ob2], b0, ob0)
     ordered = np.sort(name)
-    out[p1] = _below(ordered, rank[p1]) + _below(sa0, a1)
-    out[p2] = _below(ordered, rank[p2]) + _below(sb0, b2)
+    out[p1] = _below(ordered, rank[p1], oa1) + _below(sa0, a1, oa1)
+    out[p2] = _below(ordered, rank[p2], ob2) + _below(sb0, b2, ob2)
     return out[:n]
 
 
