@@ -129,7 +129,30 @@ def test_html():
 
 def test_html_host(spark):
     pages = spark.createDataFrame([(i, "http://h/%d" % i, "<div>all our rights are reserved by the owner of this site</div><div>text number %d</div>" % i) for i in range(5)], "page_id long, url string, html string")
-    assert rows(html_extract.extract(pages))[2][1] == "text number 2"
+    for chunk_pages in (1000, 1):  # a run counts over the chunks of its host
+        got = rows(html_extract.extract(pages, chunk_pages=chunk_pages))
+        assert {i: got[i][1] for i in range(5)} == {i: f"text number {i}" for i in range(5)}
+
+
+def test_html_edges(spark):
+    kinds = "page_id long, url string, html string, host string, chunk int"
+    assert html_extract.extract(spark.createDataFrame([], kinds)).count() == 0
+    odd = [(None, None, None, "x", 1), (1, None, "", "x", 1), (2, "u", "<nav>+1</nav>", "x", 1), (3, "u", "<article>" + "a b " * 50_000 + "</article>", "x", 1), (3, "u", "<article>r</article>", "x", 1)]
+    got = sorted((r.page_id or 0, r.n_chars) for r in html_extract.extract(spark.createDataFrame(odd, kinds)).collect())
+    assert got == [(0, 0), (1, 0), (2, 0), (3, 1), (3, 199_999)]
+
+
+def test_html_runs_against_plain_count():
+    r = random.Random(3)
+    streams = [np.array([r.randrange(3) + 1 for _ in range(r.randrange(30))], np.uint64) for _ in range(40)]
+    pages = [i // 2 for i in range(40)]
+    want = {}
+    for s, page in zip(streams, pages, strict=True):
+        w = [tuple(s[i : i + 4].tolist()) for i in range(len(s) - 3)] or ([tuple(s.tolist())] if len(s) else [])
+        for run in w:
+            want.setdefault(run, set()).add(page)
+    got = html_extract.distinct_runs(streams, pages, [False] * 40, 4)
+    assert sorted(n for *_, n, _ in got) == sorted(map(len, want.values()))
 
 
 def test_decontamination(spark, docs):
