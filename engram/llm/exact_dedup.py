@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITESPACE, doc_text, stage
+from .common import WHITESPACE, doc_text, quoted, stage, unused
 
 
 def normalised(text: Column) -> Column:
@@ -90,10 +90,11 @@ def drop_copies(docs: DataFrame, **options) -> DataFrame:
     """The documents that stay, with all their columns; of repeated rows one stays."""
     key = F.sha2(normalised(doc_text()), 256)
     flags = exact_dedup(docs.select("doc_id", "text"), **options).where("kept")
+    digest = unused(docs, "_digest")
     flags = flags.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_key")).distinct()
-    keyed = docs.withColumn("_digest", key)
-    kept = keyed.join(flags, keyed["doc_id"].eqNullSafe(flags["_id"]) & (keyed["_digest"] == flags["_key"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_digest"]).drop("_digest")
+    keyed = docs.withColumn(digest, key)
+    kept = keyed.join(flags, keyed["doc_id"].eqNullSafe(flags["_id"]) & (keyed[digest] == flags["_key"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", digest]).select(*quoted(docs))
 
 
 ORACLE = """

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import quoted, unused
+
 SYMBOLS = b"#$%&*@|<>{}[]=_~^\\/+"
 STOPS = b".,;:!?\"'()-"
 N_FEATURES = 26
@@ -157,13 +159,12 @@ def score(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, threshold:
             yield pd.Series(model.value.score(feature_matrix(t.tolist())))
 
     value = docs.withColumn("score", rate("text"))
-    shown = [F.col(c) for c in docs.columns] if keep_columns else [F.col("doc_id")]
+    shown = quoted(docs) if keep_columns else [F.col("doc_id")]
     return value.select(*shown, (fold() == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that the classifier does not reject, with all their columns."""
-    clash = {"held_out", "score", "predicted"} & set(docs.columns)
-    plain = docs.withColumnsRenamed({c: f"_own_{c}" for c in clash})
-    kept = score(plain, labels, keep_columns=True, **options).where("predicted = 1").drop("held_out", "score", "predicted")
-    return kept.withColumnsRenamed({f"_own_{c}": c for c in clash})
+    own = {c: unused(docs, f"_own_{c}") for c in docs.columns if c.lower() in ("held_out", "score", "predicted")}
+    kept = score(docs.withColumnsRenamed(own), labels, keep_columns=True, **options).where("predicted = 1").drop("held_out", "score", "predicted")
+    return kept.withColumnsRenamed({mine: c for c, mine in own.items()})
