@@ -70,4 +70,10 @@ QUERIES = {
         op10_suffix_array,
     )
 }
-ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE, "op4_warc": warc_zip.ORACLE}
+ORACLES = {
+    "op2_exact_dedup": exact_dedup.ORACLE,
+    "op3_substring_dedup": substring_dedup.ORACLE,
+    "op4_warc": warc_zip.ORACLE,
+    "op9_jaccard_join": jaccard_join.ORACLE,
+    "op10_suffix_array": suffix_dedup.ORACLE,
+}

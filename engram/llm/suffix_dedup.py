@@ -269,3 +269,27 @@ def suffix_dedup(docs: DataFrame, with_bytes: bool = True, block_bytes: int = BL
         return pa.table({n: pa.array(c, k) for n, c, k in zip(names, columns, kinds, strict=False)})
 
     return B.with_answers(held, both, remove, RESULT + ", kept_bytes binary" * with_bytes)
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (
+  SELECT doc_id, len(h) // 2 AS n, k, substr(h, 1000 * k + 1, 1198) AS piece
+  FROM (SELECT doc_id, h, unnest(range((len(h) + 999) // 1000)) AS k FROM d)),
+b AS (
+  SELECT doc_id, n, 500 * k + o AS i, substr(piece, 2 * o + 1, 2) AS byte,
+         CASE WHEN 500 * k + o + 100 <= n THEN md5_number(substr(piece, 2 * o + 1, 200)) END AS win
+  FROM (SELECT *, unnest(range(500)) AS o FROM c) WHERE 500 * k + o < n),
+r AS (
+  SELECT *, win IS NOT NULL AND row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1 AS again FROM b),
+g AS (
+  SELECT *, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS gone FROM r),
+f AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM g),
+k AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans,
+         string_agg(byte, '' ORDER BY i) FILTER (NOT gone) AS kept
+  FROM f GROUP BY doc_id)
+SELECT d.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""

@@ -6,12 +6,9 @@ import zlib
 import pytest
 
 import corpus_pipeline
-
 from engram.llm import decontam, exact_dedup, html_extract, jaccard_join, packing, quality, sharding, substring_dedup, suffix_dedup, warc_zip
 from engram.llm.queries import tokenizer_file
 
-
-
 CLASHES = "_id _rows _key _digest _bad score held_out predicted uid block bucket run range shard size salt component dotted.name".split()
 KIND = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` int" for c in CLASHES)
 BENCH = [(1, " ".join(f"item{i}" for i in range(24))), (2, ""), (3, None)]
