@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, rarest first, then Smith-Waterman alignment.
 
 Words are lower-cased (A-Z) runs without ASCII punctuation. Every run of ``n`` words of a
-test item is a possible seed; those whose document frequency in the corpus is not above
-the item's median are its rare seeds. A document that holds a rare seed of an item is
-aligned with the item around each seed's diagonal, so edited or paraphrased copies score
-too. Scores: match 2, other pair -1, gap -1, divided by twice the item's words.
+test item is a seed. A document that holds any seed of an item is aligned with the item
+around each seed's diagonal, so edited or paraphrased copies score too; document frequency
+in the corpus only orders the regions. Scores: match 2, other pair -1, gap -1, divided by
+twice the item's words.
 
 Test items are taken as queries in blocks of bounded bytes, each block against all
 documents; the document side is never shuffled by a seed, so a passage that a third of the
@@ -46,25 +46,31 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def best_region(item: np.ndarray, doc: np.ndarray, diagonals: np.ndarray) -> tuple[int, int, int]:
-    """Score, start and end in the document of the best alignment near the given diagonals."""
-    pad, best = len(item) // 2 + 2, (0, 0, 0)
-    lo = hi = None
-    spans = []
-    for d in np.unique(diagonals):
-        a, b = max(0, d - pad), min(len(doc), d + len(item) + pad)
-        if lo is not None and a <= hi:
-            hi = max(hi, b)
-        else:
-            if lo is not None:
-                spans.append((lo, hi))
-            lo, hi = a, b
-    spans.append((lo, hi))
-    for lo, hi in spans:
+def best_region(item: np.ndarray, doc: np.ndarray, diagonals: np.ndarray, counts: np.ndarray, least: float) -> tuple[int, int, int]:
+    """Score, start and end in the document of the best alignment through seeds on the given diagonals.
+
+    An alignment that scores ``least`` leaves its seed's diagonal by ``pad`` words at most and
+    spans at most ``len(item) + pad`` words of the document. Regions are tried by their rarest
+    seed; one with too few of the item's words in every such span is not aligned. Of equal
+    scores the first in the document is taken, so the order decides nothing.
+    """
+    pad, best = max(0, int(2 * len(item) - least)), (0, 0, 0)
+    order = np.argsort(diagonals, kind="stable")
+    d, c = diagonals[order], counts[order]
+    first = np.append(0, np.flatnonzero(np.diff(d) > len(item) + 2 * pad) + 1)
+    last = np.append(first[1:], len(d)) - 1
+    for k in np.argsort(np.minimum.reduceat(c, first), kind="stable"):
+        lo, hi = max(0, int(d[first[k]]) - pad), min(len(doc), int(d[last[k]]) + len(item) + pad)
+        width = min(len(item) + pad, hi - lo)
+        shared = np.append(0, np.cumsum(np.isin(doc[lo:hi], item)))
+        bound = 2 * min(len(item), int((shared[width:] - shared[: hi - lo + 1 - width]).max()))
+        if bound < max(least, best[0]) or (bound == best[0] and lo > best[1]):
+            continue
         got, end = align(item, doc[lo:hi])
-        if got > best[0]:
-            back, length = align(item[::-1], doc[lo : lo + end][::-1])
-            best = (got, lo + end - length, lo + end)
+        if got and got >= best[0]:
+            _, length = align(item[::-1], doc[lo : lo + end][::-1])
+            if got > best[0] or lo + end - length < best[1]:
+                best = (got, lo + end - length, lo + end)
     return best
 
 
@@ -131,20 +137,10 @@ def _block(docs: DataFrame, rows, n: int, min_score: float) -> DataFrame:
 
     hit = stage(docs.select("doc_id", "text").mapInPandas(find, "doc_id long, text string, grams array<long>"), "seed-hits")
     counts = {r[0] & (1 << 64) - 1: r[1] for r in hit.select(F.explode("grams").alias("g")).groupBy("g").count().collect()}  # at most the block's n-grams
-    items = Items(rows.value, n)
-    rare: set[tuple[int, int]] = set()
-    by_item = defaultdict(list)
-    for grams in items.grams.values():
-        for g, places in grams.items():
-            for i in {i for i, _ in places}:
-                by_item[i].append((counts.get(g, 0), g))
-    for i, grams in by_item.items():
-        middle = sorted(c for c, _ in grams)[len(grams) // 2]
-        rare.update((i, g) for c, g in grams if c <= middle)
-    chosen = docs.sparkSession.sparkContext.broadcast(rare)
+    frequency = docs.sparkSession.sparkContext.broadcast(counts)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        items, seeds = Items(rows.value, n), chosen.value
+        items, counts = Items(rows.value, n), frequency.value
         for b in batches:
             out = []
             for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
@@ -152,11 +148,10 @@ def _block(docs: DataFrame, rows, n: int, min_score: float) -> DataFrame:
                 diagonals = defaultdict(list)
                 for width, p, g in items.hits(doc):
                     for i, q in items.grams[width][g]:
-                        if (i, g) in seeds:
-                            diagonals[i].append(p - q)
+                        diagonals[i].append((p - q, counts[g]))
                 for i, d in sorted(diagonals.items()):
-                    item = items.words[i]
-                    got, start, end = best_region(item, doc, np.array(d))
+                    item, (on, rarity) = items.words[i], np.array(d).T
+                    got, start, end = best_region(item, doc, on, rarity, min_score * 2 * len(item))
                     if got >= min_score * 2 * len(item):
                         out.append((None if pd.isna(doc_id) else int(doc_id), i, got / (2 * len(item)), len(item), start, end))
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "score", "n_item_words", "start_word", "end_word"]).astype({"doc_id": "Int64"})

@@ -163,6 +163,43 @@ def test_decontamination(spark, docs):
     assert sorted((r.doc_id, r.item_id) for r in decontam.contaminated(found, bench).collect()) == [(1, 7), (2, 7)]
 
 
+def test_decontamination_edited_copy_alone(spark):
+    words = [f"q{i}" for i in range(30)]
+    edited = ["zz" if i in (3, 9, 15, 21) else w for i, w in enumerate(words)]  # 11 of 27 4-grams stay
+    bench = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
+    for n in (1, 50):
+        got = decontam.contaminated(spark.createDataFrame([(i, " ".join(edited), 0) for i in range(n)], DOC), bench).collect()
+        assert [round(r.score, 6) for r in got] == [0.8] * n
+
+
+def plain_score(a, b):
+    """Smith-Waterman by loops."""
+    row, best = [0] * (len(b) + 1), 0
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(max(0, row[j] + (2 if x == y else -1), row[j + 1] - 1, new[j] - 1))
+        row, best = new, max(best, max(new))
+    return best / (2 * len(a))
+
+
+def test_decontamination_against_plain_alignment(spark):
+    r = random.Random(11)
+    items = [[f"v{r.randrange(60)}" for _ in range(r.randint(8, 30))] for _ in range(5)]
+    texts = []
+    for _ in range(60):
+        t = [f"v{r.randrange(60)}" for _ in range(r.randrange(40))]
+        for w in r.choice(items):
+            t += [] if r.random() < 0.1 else ["new"] * r.choice([0] * 25 + [1, 6]) + [w if r.random() < 0.95 else "x"]
+        texts.append(t)
+    grams = lambda w: {tuple(w[k : k + 4]) for k in range(len(w) - 3)}
+    want = {(i, j): plain_score(a, b) for i, b in enumerate(texts) for j, a in enumerate(items) if grams(a) & grams(b)}
+    found = spark.createDataFrame([(i, " ".join(t), 0) for i, t in enumerate(texts)], DOC)
+    got = decontam.contaminated(found, spark.createDataFrame([(j, " ".join(a)) for j, a in enumerate(items)], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): r.score for r in got} == pytest.approx({k: v for k, v in want.items() if v >= 0.6})
+    assert len(got) > 20
+
+
 @pytest.mark.parametrize("f", [exact_dedup.exact_dedup, substring_dedup.substring_dedup, suffix_dedup.suffix_dedup, jaccard_join.jaccard_components, sharding.shard])
 def test_empty_and_null(spark, f):
     assert f(spark.createDataFrame([], DOC)).count() == 0
