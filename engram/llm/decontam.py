@@ -1,6 +1,6 @@
 """Benchmark decontamination: n-gram seeds, rarest first, then Smith-Waterman alignment.
 
-Words are lower-cased (A-Z) runs without ASCII punctuation. Every run of ``n`` words of a
+Words are case-folded (all of Unicode) runs without ASCII punctuation. Every run of ``n`` words of a
 test item is a seed. A document that holds any seed of an item is aligned with the item
 around each seed's diagonal, so edited or paraphrased copies score too; document frequency
 in the corpus only orders the regions. Scores: match 2, other pair -1, gap -1, divided by
@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 from .common import stage, windows, word_hashes
 
 _PUNCTUATION = bytes(c for c in range(128) if not chr(c).isalnum())
-_FOLD = bytes.maketrans(bytes(range(65, 91)) + _PUNCTUATION, bytes(range(97, 123)) + b" " * len(_PUNCTUATION))
+_BLANK = bytes.maketrans(_PUNCTUATION, b" " * len(_PUNCTUATION))
 RESULT = "doc_id long, item_id long, score double, n_item_words int, start_word int, end_word int"
 
 
 def fold_words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
+    return (text or "").casefold().encode("utf-8", "surrogatepass").translate(_BLANK).split()
 
 
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:

@@ -172,6 +172,13 @@ def test_decontamination_edited_copy_alone(spark):
         assert [round(r.score, 6) for r in got] == [0.8] * n
 
 
+def test_decontamination_folds_all_letters(spark):
+    item = "Là, élan d'été où naît l'œuvre: mañana Straße ΟΔΟΣ àéî ñandú çà"
+    found = spark.createDataFrame([(1, item.upper(), 0), (2, "x " + item.lower(), 0), (3, item, 0)], DOC)
+    got = decontam.contaminated(found, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.score) for r in got) == [(1, 1.0), (2, 1.0), (3, 1.0)]
+
+
 def plain_score(a, b):
     """Smith-Waterman by loops."""
     row, best = [0] * (len(b) + 1), 0
