@@ -75,10 +75,11 @@ def best_region(item: np.ndarray, doc: np.ndarray, diagonals: np.ndarray, counts
 
 
 class Items:
-    """A block of test items and the positions of their n-grams by hash."""
+    """A block of test items, by row, and the positions of their n-grams by hash."""
 
-    def __init__(self, rows: list[tuple[int, str]], n: int):
-        self.words = {i: word_hashes(w) for i, t in rows if (w := fold_words(t))}
+    def __init__(self, rows: list[tuple[int | None, str]], n: int):
+        self.ids = [i for i, _ in rows]
+        self.words = {k: word_hashes(w) for k, (_, t) in enumerate(rows) if (w := fold_words(t))}
         self.grams: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         for i, w in self.words.items():
             width = min(n, len(w))  # an item of fewer words is one seed
@@ -105,19 +106,27 @@ def signed(g: int) -> int:
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, min_score: float = 0.6, block_bytes: int = 16_000_000) -> DataFrame:
     """One row per (document, item) pair that aligns: doc_id, item_id, score, n_item_words, start_word, end_word.
 
-    Null or empty texts and items match nothing; items with equal texts are all reported;
-    repeated rows are reported as often as they occur, a null doc_id as null. An item of fewer
-    than ``n`` words must occur whole. Spans are in folded words of the whole text. Empty
-    tables give an empty result; other columns are ignored.
+    An item is a distinct (item_id, text), so different texts of one item_id are all searched,
+    and so are those without an item_id, reported with a null one. Null or empty texts and items
+    match nothing; items with equal texts are all reported; repeated documents are reported as
+    often as they occur, a null doc_id as null. An item of fewer than ``n`` words must occur
+    whole. Spans are in folded words of the whole text. Empty tables give an empty result;
+    other columns are ignored.
     """
+    return _found(docs, benchmark, n, min_score, block_bytes).drop("text_sha256")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, n: int = 4, min_score: float = 0.6, block_bytes: int = 16_000_000) -> DataFrame:
+    """The rows of ``contaminated`` with the digest of the document's text."""
     spark = docs.sparkSession
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-size // block_bytes))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))
     parts = []
     for k in range(n_blocks):  # a stated query set in blocks, each against all rows
-        rows = [(r[0], r[1]) for r in benchmark.where(block == k).select("item_id", "text").collect() if r[0] is not None]
-        parts.append(_block(docs, spark.sparkContext.broadcast(sorted(rows)), n, min_score))
+        rows = {(r[0], r[1]) for r in benchmark.where(block == k).select("item_id", "text").collect() if r[1]}
+        ordered = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        parts.append(_block(docs, spark.sparkContext.broadcast(ordered), n, min_score))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -143,7 +152,7 @@ def _block(docs: DataFrame, rows, n: int, min_score: float) -> DataFrame:
         items, counts = Items(rows.value, n), frequency.value
         for b in batches:
             out = []
-            for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
+            for doc_id, text, digest in zip(b["doc_id"], b["text"], b["text_sha256"], strict=True):
                 doc = word_hashes(fold_words(text))
                 diagonals = defaultdict(list)
                 for width, p, g in items.hits(doc):
@@ -153,13 +162,18 @@ def _block(docs: DataFrame, rows, n: int, min_score: float) -> DataFrame:
                     item, (on, rarity) = items.words[i], np.array(d).T
                     got, start, end = best_region(item, doc, on, rarity, min_score * 2 * len(item))
                     if got >= min_score * 2 * len(item):
-                        out.append((None if pd.isna(doc_id) else int(doc_id), i, got / (2 * len(item)), len(item), start, end))
-            yield pd.DataFrame(out, columns=["doc_id", "item_id", "score", "n_item_words", "start_word", "end_word"]).astype({"doc_id": "Int64"})
+                        out.append((None if pd.isna(doc_id) else int(doc_id), items.ids[i], got / (2 * len(item)), len(item), start, end, digest))
+            columns = ["doc_id", "item_id", "score", "n_item_words", "start_word", "end_word", "text_sha256"]
+            yield pd.DataFrame(out, columns=columns, dtype=object).astype({"doc_id": "Int64", "item_id": "Int64"})
 
-    return hit.select("doc_id", "text").mapInPandas(score, RESULT)
+    return hit.select("doc_id", "text", F.sha2("text", 256).alias("text_sha256")).mapInPandas(score, RESULT + ", text_sha256 string")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that align with no test item, with all their columns."""
-    bad = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    """The documents that align with no test item, with all their columns.
+
+    A row goes by its doc_id and the digest of its text, so clean rows that share a doc_id, or
+    have none, stay.
+    """
+    bad = _found(docs, benchmark, **options).select(F.col("doc_id").alias("_bad"), F.col("text_sha256").alias("_bad_text")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]) & (F.sha2(docs["text"], 256) == bad["_bad_text"]), "left_anti")

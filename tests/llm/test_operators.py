@@ -179,6 +179,16 @@ def test_decontamination_folds_all_letters(spark):
     assert sorted((r.doc_id, r.score) for r in got) == [(1, 1.0), (2, 1.0), (3, 1.0)]
 
 
+def test_decontamination_odd_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(20)) for x in "abc")
+    bench = spark.createDataFrame([(1, a), (1, b), (None, c), (1, None), (None, None), (1, a)], "item_id long, text string")
+    texts = [(1, a), (2, "start " + b), (None, c), (None, "clean"), (None, None), (5, b), (5, "clean too"), (None, c)]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(texts)], DOC)
+    got = [(r.doc_id, r.item_id, r.score, r.start_word) for r in decontam.contaminated(docs, bench).collect()]
+    assert sorted(got, key=str) == sorted([(1, 1, 1.0, 0), (2, 1, 1.0, 1), (5, 1, 1.0, 0), *[(None, None, 1.0, 0)] * 2], key=str)
+    assert sorted(r.run for r in decontam.drop_contaminated(docs, bench).collect()) == [3, 4, 6]
+
+
 def plain_score(a, b):
     """Smith-Waterman by loops."""
     row, best = [0] * (len(b) + 1), 0
