@@ -59,6 +59,21 @@ def _widths(n_bytes: int) -> tuple[int, int]:
     return B.bucket_count(n_bytes // 70), B.bucket_count(n_bytes // 15)
 
 
+def _kept(ids, words: list[list[bytes]], gone: np.ndarray, with_text: bool) -> pa.Table:
+    """A block's result rows, from the mask of its words that go."""
+    rows, at = [], 0
+    for doc_id, d in zip(ids, words, strict=True):
+        mask = gone[at : at + len(d)]
+        at += len(d)
+        n = int(mask.sum())
+        kept = b" ".join(compress(d, (~mask).tolist()) if n else d)
+        rows.append((doc_id, len(d), n, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if with_text else None))
+    columns = list(zip(*rows, strict=True))
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: 4 + with_text]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    return pa.table({n: pa.array(c, k) for n, c, k in zip(names, columns, kinds, strict=False)})
+
+
 def substring_dedup(docs: DataFrame, with_text: bool = True, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_sha256 (, kept_text).
 
@@ -93,17 +108,7 @@ def substring_dedup(docs: DataFrame, with_text: bool = True, block_bytes: int =
         w = Windows(hashes, sizes, B.flags_of(on_anchors, found.keys, n_anchor), found)
         again = w.local | B.flags_of(answers.filter(pa.array(bucket >= 0)), w.keys, n_window)
         gone = covered(w.starts[again[w.key_of]], WINDOW, len(hashes))
-        rows, at = [], 0
-        for doc_id, d in zip(ids, words, strict=True):
-            mask = gone[at : at + len(d)]
-            at += len(d)
-            n = int(mask.sum())
-            kept = b" ".join(compress(d, (~mask).tolist()) if n else d)
-            rows.append((doc_id, len(d), n, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if with_text else None))
-        columns = list(zip(*rows, strict=True))
-        names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: 4 + with_text]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        return pa.table({n: pa.array(c, k) for n, c, k in zip(names, columns, kinds, strict=False)})
+        return _kept(ids, words, gone, with_text)
 
     return B.with_answers(held, both, remove, RESULT + ", kept_text string" * with_text)
 
@@ -113,24 +118,30 @@ class FingerprintIndex:
 
     Runs lie in one folder each, written once. ``add`` merge-joins a batch with the historical
     runs and returns one row per document of the batch: doc_id, n_words, n_removed (words
-    covered by a window that history or the batch itself also has). ``compact`` merges all runs
-    of a bucket into one. The number of buckets is fixed when the index is made.
+    covered by a window that history or the batch itself also has), kept_sha256 (, kept_text).
+    Documents of earlier batches are not judged again. ``compact`` merges all runs of a bucket
+    into one. The number of buckets is fixed when the index is made. No query uses the index.
     """
 
     def __init__(self, spark: SparkSession, n_buckets: int = 12, folder: str | None = None):
         self.spark, self.n_buckets = spark, n_buckets
         self.folder = folder or new_path(spark, "index")
         self.runs: list[str] = []
+        self.written = 0  # names are never used again, also after compaction
+
+    def _next(self, kind: str) -> str:
+        self.written += 1
+        return f"{self.folder}/{kind}-{self.written:05d}"
 
     def history(self) -> DataFrame:
         return self.spark.read.schema(B.RUN).parquet(*self.runs) if self.runs else self.spark.createDataFrame([], B.RUN)
 
-    def add(self, batch: DataFrame) -> DataFrame:
+    def add(self, batch: DataFrame, with_text: bool = False) -> DataFrame:
         held, n_buckets = B.make_blocks(batch), self.n_buckets
 
         def every(payload: bytes):
             ids, words, hashes, sizes = read(payload)
-            return ids, sizes, hashes, Windows(hashes, sizes, None, B.Anchors(hashes, sizes, WINDOW, GRAM))
+            return ids, words, hashes, Windows(hashes, sizes, None, B.Anchors(hashes, sizes, WINDOW, GRAM))
 
         def send(block: int, payload: bytes) -> pa.Table:
             w = every(payload)[3]
@@ -140,14 +151,12 @@ class FingerprintIndex:
         answers = B.merge(new.unionByName(self.history().withColumn("block", F.lit(HISTORY).cast("long")))).where(F.col("block") != HISTORY)
 
         def remove(block: int, payload: bytes, answers: pa.Table) -> pa.Table:
-            ids, sizes, hashes, w = every(payload)
+            ids, words, hashes, w = every(payload)
             again = w.local | B.flags_of(answers, w.keys, n_buckets)
-            gone = np.append(0, np.cumsum(covered(w.starts[again[w.key_of]], WINDOW, len(hashes))))
-            edge = np.append(0, np.cumsum(sizes))
-            return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(sizes, pa.int64()), "n_removed": pa.array(gone[edge[1:]] - gone[edge[:-1]], pa.int64())})
+            return _kept(ids, words, covered(w.starts[again[w.key_of]], WINDOW, len(hashes)), with_text)
 
-        out = stage(B.with_answers(held, stage(answers, "answers"), remove, "doc_id long, n_words long, n_removed long"), "batch-result")
-        path = f"{self.folder}/run-{len(self.runs):05d}"
+        out = stage(B.with_answers(held, stage(answers, "answers"), remove, RESULT + ", kept_text string" * with_text), "batch-result")
+        path = self._next("run")
         new.write.parquet(path)
         self.runs.append(path)
         return out
@@ -163,7 +172,7 @@ class FingerprintIndex:
             new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
             return B.run_table([(table.column("bucket")[0].as_py(), HISTORY, B.pack_sorted(a[new]) + b[new].astype("<u8").tobytes())])
 
-        path = f"{self.folder}/compact-{len(self.runs):05d}"
+        path = self._next("compact")
         self.history().groupBy("bucket").applyInArrow(one, B.RUN).write.parquet(path)
         self.runs = [path]
 

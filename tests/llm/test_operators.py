@@ -56,6 +56,23 @@ def test_substring(docs):
         assert got[i] == (len(w), len(gone), hashlib.sha256(kept).hexdigest())
 
 
+def test_fingerprint_index(spark):
+    index, history = substring_dedup.FingerprintIndex(spark, n_buckets=3), Counter()
+    for k, compacted in enumerate((False, True, True, False)):
+        batch = corpus()[k::4]
+        words = {i: (t or "").encode().split() for i, t, _ in batch}
+        history.update(tuple(w[s : s + 35]) for w in words.values() for s in range(len(w) - 34))
+        got = rows(index.add(spark.createDataFrame(batch, DOC).repartition(2)))
+        for i, w in words.items():
+            gone = {x for s in range(len(w) - 34) if history[tuple(w[s : s + 35])] > 1 for x in range(s, s + 35)}
+            kept = b" ".join(x for j, x in enumerate(w) if j not in gone)
+            assert got[i] == (len(w), len(gone), hashlib.sha256(kept).hexdigest())
+        if compacted:
+            index.compact()
+            assert len(index.runs) == 1
+    assert any(n > 1 for n in history.values())
+
+
 def test_suffix(docs):
     got = rows(suffix_dedup.suffix_dedup(docs, with_bytes=False, block_bytes=2000, bucket_bytes=2000))
     seen = set()
