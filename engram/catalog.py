@@ -599,7 +599,10 @@ def answer_question(spark, sf):
 
 @query()
 def retrieve_sequential(spark, sf):
-    """The first three nodes of each graph are its queries, in order; each reinforces what the next one reads."""
+    """The first three and every hundredth node of each graph are its queries, in order; each reinforces what the next one reads.
+
+    So the rounds grow with the longest graph. A query has the identifier of its node.
+    """
     n = vec_nodes(spark, sf)
-    q = n.where("node_seq <= 3").select((F.col("graph_id") * 10 + F.col("node_seq")).alias("query_id"), "graph_id", F.col("node_seq").alias("qa_index"), F.col("embedding").alias("q_embedding"))
+    q = n.where("node_seq <= 3 OR node_seq % 100 = 0").select(F.col("node_id").alias("query_id"), "graph_id", F.col("node_seq").alias("qa_index"), F.col("embedding").alias("q_embedding"))
     return A.sequential(n, G.temporal_edges(n), q.select("query_id", "graph_id", "qa_index", "q_embedding"), k=10)[0]

@@ -133,6 +133,13 @@ def test_sequential(spark):
     assert sorted((r.graph_id, r.qa_index, r.node_id, r.out_rank, round(r.score, 6)) for r in got) == want
 
 
+def test_sequential_queries_grow(spark):
+    sf = "/root/testdata/sf0.1"
+    want = {(r.graph_id, r.node_seq, r.node_id) for r in catalog.vec_nodes(spark, sf).collect() if r.node_seq <= 3 or r.node_seq % 100 == 0}
+    got = catalog.QUERIES["retrieve_sequential"](spark, sf).select("graph_id", "qa_index", "query_id").distinct().collect()
+    assert {tuple(r) for r in got} == want and max(i for _, i, _ in want) > 3
+
+
 def test_ingest(spark, tmp_path):
     schema = "graph_id long, pos long, is_user boolean, text string"
     first = [(1, 1, True, "u1"), (1, 2, True, "u2"), (1, 3, False, "a1"), (2, 1, False, "early"), (2, 2, True, "")]
