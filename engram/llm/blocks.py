@@ -40,8 +40,11 @@ def unpack_docs(payload: bytes) -> tuple[list, list[bytes]]:
     return batch.column(0).to_pylist(), batch.column(1).to_pylist()
 
 
-def make_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Stages (block, n_docs, n_bytes, payload); null text is empty. A text longer than a block is a block."""
+def make_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, doc_bytes: int = 0) -> DataFrame:
+    """Stages (block, n_docs, n_bytes, payload); null text is empty. A text longer than a block is a block.
+
+    Every document counts ``doc_bytes`` besides its text, which bounds what a block of short texts holds.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -55,12 +58,12 @@ def make_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                if ids and (held + len(data) > block_bytes or len(ids) >= MOST_DOCS):
+                if ids and (held + len(data) + doc_bytes > block_bytes or len(ids) >= MOST_DOCS):
                     yield out()
                     block, ids, texts, held = block + 1, [], [], 0
                 ids.append(doc_id)
                 texts.append(data)
-                held += len(data)
+                held += len(data) + doc_bytes
         if ids:
             yield out()
 

@@ -31,12 +31,19 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_dir(spark)}/engram/{uuid.uuid4().hex}-{label}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+#: Rows in a file of a staged table whose number of rows is known.
+ROWS_PER_FILE = 500_000
+
+
+def stage(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
-    Cuts the lineage, so a lost executor costs a reread and not a recomputation.
+    Cuts the lineage, so a lost executor costs a reread and not a recomputation. A bound on
+    its rows keeps a small table from being written as a file for each partition.
     """
     path = new_path(df.sparkSession, label)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -75,6 +82,41 @@ def doc_text(text: str = "text"):
     return F.coalesce(F.col(text), F.lit(""))
 
 
+def text_key(text: str = "text"):
+    """64 bits of a text, which tell rows of one doc_id apart; null text counts as empty."""
+    return F.xxhash64(doc_text(text))
+
+
+#: Most marks that are broadcast: 17 bytes each, some 25 MB in the table of a join.
+BROADCAST_MARKS = 250_000
+
+
+def settle(docs: DataFrame, marks: DataFrame, key) -> DataFrame:
+    """The documents with all their columns, but for those that are marked.
+
+    marks: (doc_id, key, kept), distinct by (doc_id, key). A document with a mark goes; of those
+    that share a mark with ``kept``, one stays. Documents without a mark are neither shuffled
+    nor grouped while the marks are few enough to be broadcast; beyond that they are joined by
+    (doc_id, key), so rows without a doc_id are dealt by their texts.
+    """
+    own, key_name = unused(docs, "_mark_id"), unused(docs, "_mark_key")
+    marks = stage(marks.select(F.col("doc_id").alias("_of_id"), F.col("key").alias("_of_key"), "kept"), "marks")
+    n, repeats = marks.agg(F.count("*"), F.count(F.when(F.col("kept"), 1))).first()
+    keyed = docs.withColumns({own: F.col("doc_id"), key_name: key})
+
+    def meet(m: DataFrame, how: str) -> DataFrame:
+        m = m.select("_of_id", "_of_key")
+        on = keyed[own].eqNullSafe(m["_of_id"]) & (keyed[key_name] == m["_of_key"])
+        return keyed.join(F.broadcast(m) if n <= BROADCAST_MARKS else m, on, how)
+
+    if not n:
+        return docs
+    out = meet(marks, "left_anti")
+    if repeats:
+        out = out.unionByName(meet(marks.where("kept"), "left_semi").dropDuplicates([own, key_name]))
+    return out.select(*quoted(docs))
+
+
 # --- vectorised hashing -------------------------------------------------------
 
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -105,15 +147,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Windows are hashed so many at a time, so that the tables of powers stay small.
+STRETCH = 1 << 15
+
+
 def windows(h: np.ndarray, width: int, which: int = 0) -> np.ndarray:
-    """Hash of every run of ``width`` consecutive elements of ``h`` (unsigned 64-bit)."""
-    n = len(h)
-    if n < width:
+    """Hash of every run of ``width`` consecutive elements of ``h`` (unsigned 64-bit), wherever the run stands."""
+    n = len(h) - width + 1
+    if n < 1:
         return np.empty(0, np.uint64)
-    power, inverse = _power_tables(which, n + 1)
-    prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum(h * power[:n], out=prefix[1:])
-    return mix((prefix[width:] - prefix[:-width]) * inverse[: n + 1 - width])
+    out = np.empty(n, np.uint64)
+    power, inverse = _power_tables(which, min(n, STRETCH) + width)
+    for at in range(0, n, STRETCH):
+        piece = h[at : at + STRETCH + width - 1]
+        prefix = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum(piece * power[: len(piece)], out=prefix[1:])
+        k = len(piece) + 1 - width
+        out[at : at + k] = mix((prefix[width:] - prefix[:-width]) * inverse[:k])
+    return out
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, windows, word_hashes
+from .common import settle, stage, text_key, windows, word_hashes
 
 _PUNCTUATION = bytes(c for c in range(128) if not chr(c).isalnum())
 _BLANK = bytes.maketrans(_PUNCTUATION, b" " * len(_PUNCTUATION))
@@ -113,11 +113,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, min_score: f
     whole. Spans are in folded words of the whole text. Empty tables give an empty result;
     other columns are ignored.
     """
-    return _found(docs, benchmark, n, min_score, block_bytes).drop("text_sha256")
+    return _found(docs, benchmark, n, min_score, block_bytes).drop("text_key")
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, n: int = 4, min_score: float = 0.6, block_bytes: int = 16_000_000) -> DataFrame:
-    """The rows of ``contaminated`` with the digest of the document's text."""
+    """The rows of ``contaminated`` with the key of the document's text."""
     spark = docs.sparkSession
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-size // block_bytes))
@@ -152,7 +152,7 @@ def _block(docs: DataFrame, rows, n: int, min_score: float) -> DataFrame:
         items, counts = Items(rows.value, n), frequency.value
         for b in batches:
             out = []
-            for doc_id, text, digest in zip(b["doc_id"], b["text"], b["text_sha256"], strict=True):
+            for doc_id, text, key in zip(b["doc_id"], b["text"], b["text_key"], strict=True):
                 doc = word_hashes(fold_words(text))
                 diagonals = defaultdict(list)
                 for width, p, g in items.hits(doc):
@@ -162,18 +162,18 @@ def _block(docs: DataFrame, rows, n: int, min_score: float) -> DataFrame:
                     item, (on, rarity) = items.words[i], np.array(d).T
                     got, start, end = best_region(item, doc, on, rarity, min_score * 2 * len(item))
                     if got >= min_score * 2 * len(item):
-                        out.append((None if pd.isna(doc_id) else int(doc_id), items.ids[i], got / (2 * len(item)), len(item), start, end, digest))
-            columns = ["doc_id", "item_id", "score", "n_item_words", "start_word", "end_word", "text_sha256"]
+                        out.append((None if pd.isna(doc_id) else int(doc_id), items.ids[i], got / (2 * len(item)), len(item), start, end, key))
+            columns = ["doc_id", "item_id", "score", "n_item_words", "start_word", "end_word", "text_key"]
             yield pd.DataFrame(out, columns=columns, dtype=object).astype({"doc_id": "Int64", "item_id": "Int64"})
 
-    return hit.select("doc_id", "text", F.sha2("text", 256).alias("text_sha256")).mapInPandas(score, RESULT + ", text_sha256 string")
+    return hit.select("doc_id", "text", text_key().alias("text_key")).mapInPandas(score, RESULT + ", text_key long")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that align with no test item, with all their columns.
 
-    A row goes by its doc_id and the digest of its text, so clean rows that share a doc_id, or
+    A row goes by its doc_id and the key of its text, so clean rows that share a doc_id, or
     have none, stay.
     """
-    bad = _found(docs, benchmark, **options).select(F.col("doc_id").alias("_bad"), F.col("text_sha256").alias("_bad_text")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]) & (F.sha2(docs["text"], 256) == bad["_bad_text"]), "left_anti")
+    bad = _found(docs, benchmark, **options).groupBy("doc_id", F.col("text_key").alias("key")).agg(F.lit(False).alias("kept"))
+    return settle(docs, bad, text_key())

@@ -1,6 +1,6 @@
 """Exact dedup by a tree-merge of sorted digest runs (DataFrame functions only).
 
-Every document is put into one of ``n_runs`` runs by a hash of its identifier. A run is
+Every document is put into one of ``n_runs`` runs by a hash of its identifier and text. A run is
 the digests of its documents, sorted, one row for each digest with the best document and
 the number of copies. Runs then meet in binomial rounds: in round r the runs whose number
 agrees after dropping ``log2(fan_in)`` low bits are merged, keeping for each digest the
@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITESPACE, doc_text, quoted, stage, unused
+from .common import WHITESPACE, doc_text, settle, stage
 
 
 def normalised(text: Column) -> Column:
@@ -45,6 +45,11 @@ def exact_dedup(docs: DataFrame, rows_per_run: int = 4096, fan_in: int = 16) ->
     for each of them whose doc_id is keep_id. An empty table gives an empty result; other
     columns are ignored.
     """
+    return _judged(docs, rows_per_run, fan_in).drop("check")
+
+
+def _judged(docs: DataFrame, rows_per_run: int = 4096, fan_in: int = 16) -> DataFrame:
+    """The rows of ``exact_dedup`` with the second digest of the normalised text."""
     norm = normalised(doc_text())
     digests = stage(
         docs.select(
@@ -59,18 +64,16 @@ def exact_dedup(docs: DataFrame, rows_per_run: int = 4096, fan_in: int = 16) ->
     # The best row has the smallest (negated length, id is null, id).
     rank = F.struct((-F.col("n_code_points")).alias("less"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"))
     key = ["digest", "check"]
-    digests = digests.withColumn("run", F.pmod(F.xxhash64("doc_id"), F.lit(n_runs)).cast("int"))
-    level = stage(digests.groupBy("run", *key).agg(F.min(rank).alias("best"), F.count("*").alias("n")), "run0")
-    levels, runs = [level], n_runs
+    digests = digests.withColumn("run", F.pmod(F.xxhash64("doc_id", "check"), F.lit(n_runs)).cast("int"))
+    levels, runs = [digests.groupBy("run", *key).agg(F.min(rank).alias("best"), F.count("*").alias("n"))], n_runs
     while runs > 1:
         runs //= fan_in
-        level = stage(
-            level.withColumn("run", F.expr(f"run div {fan_in}").cast("int"))
+        levels.append(
+            levels[-1].withColumn("run", F.expr(f"run div {fan_in}").cast("int"))
             .groupBy("run", *key)
-            .agg(F.min("best").alias("best"), F.sum("n").alias("n")),
-            f"run{len(levels)}",
-        )
-        levels.append(level)
+            .agg(F.min("best").alias("best"), F.sum("n").alias("n"))
+        )
+    # The winners of groups of two or more. Spark walks the way up once: its exchanges are reused on the way down.
     top = levels.pop().where("n > 1").select("run", *key, F.col("best.doc_id").alias("keep_id"), F.col("n").alias("group_size"))
     while levels:  # back down: each run learns its groups' winners from the run it was merged into
         lower = levels.pop().select(F.col("run").alias("child"), F.expr(f"run div {fan_in}").cast("int").alias("run"), *key)
@@ -83,18 +86,15 @@ def exact_dedup(docs: DataFrame, rows_per_run: int = 4096, fan_in: int = 16) ->
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         keep.eqNullSafe(F.col("doc_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        "check",
     )
 
 
 def drop_copies(docs: DataFrame, **options) -> DataFrame:
     """The documents that stay, with all their columns; of repeated rows one stays."""
-    key = F.sha2(normalised(doc_text()), 256)
-    flags = exact_dedup(docs.select("doc_id", "text"), **options).where("kept")
-    digest = unused(docs, "_digest")
-    flags = flags.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_key")).distinct()
-    keyed = docs.withColumn(digest, key)
-    kept = keyed.join(flags, keyed["doc_id"].eqNullSafe(flags["_id"]) & (keyed[digest] == flags["_key"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", digest]).select(*quoted(docs))
+    flags = _judged(docs.select("doc_id", "text"), **options)
+    marks = flags.groupBy("doc_id", F.col("check").alias("key")).agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    return settle(docs, marks.where("NOT kept OR n > 1"), F.xxhash64(normalised(doc_text())))
 
 
 ORACLE = """

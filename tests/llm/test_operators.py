@@ -88,8 +88,9 @@ def test_suffix(docs):
         assert got[i] == (len(b), sum(mask), spans, hashlib.sha256(kept).hexdigest())
 
 
-def test_jaccard(docs):
-    got = rows(jaccard_join.jaccard_components(docs, block_bytes=2000))
+@pytest.mark.parametrize("subsets", [(2, 1), (3, 1), (4, 2), (1, 0)])
+def test_jaccard(docs, subsets):
+    got = rows(jaccard_join.jaccard_components(docs, block_bytes=2000, subsets=subsets))
     words = {i: (t or "").lower().split() for i, t, _ in corpus()}
     sets = {i: {tuple(w)} if 0 < len(w) < 5 else {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in words.items()}
     label = {i: i for i in sets}
