@@ -16,6 +16,7 @@ from engram.operators import graph as G
 from engram.operators import knowledge as K
 from engram.operators import metrics as M
 from engram.operators import retrieve as R
+from engram.operators import select as S
 from engram.plans import answer as A
 from engram.plans import encode as E
 from engram.sources.store import dialog_text
@@ -160,19 +161,19 @@ QUERIES["dialog_text"], ORACLES["dialog_text"] = QUERIES.pop("dialog_text_rows")
 @query("SELECT doc_id, coalesce(nullif(CASE WHEN doc_id % 2 = 0 THEN '' ELSE lang END, ''), source) AS answer FROM documents")
 def answer_fallback(spark, sf):
     d = read(spark, sf, "documents")
-    return d.select("doc_id", F.coalesce(F.nullif(F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.col("lang")), F.lit("")), "source").alias("answer"))
+    return d.select("doc_id", T.reference_answer(F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.col("lang")), F.col("source")).alias("answer"))
 
 
-LINES = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw FROM documents), s AS (SELECT doc_id, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS raw FROM l)"
+LINES = f"l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw FROM documents), s AS (SELECT doc_id, regexp_replace(raw, '^{T.SPACE}+|{T.SPACE}+$', '', 'g') AS raw FROM l)"
 
 
-@query(f"WITH {LINES}, c AS (SELECT doc_id, ltrim(raw, '- ') AS line FROM s) SELECT doc_id, line FROM c WHERE line <> '' AND lower(line) <> 'none' AND NOT starts_with(line, '【')")
+@query(f"WITH {LINES}, c AS (SELECT doc_id, regexp_replace(ltrim(raw, '- '), '^{T.SPACE}+|{T.SPACE}+$', '', 'g') AS line FROM s) SELECT doc_id, line FROM c WHERE line <> '' AND lower(line) <> 'none' AND NOT starts_with(line, '【')")
 def clean_lines(spark, sf):
     rows = read(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("raw"))
     return rows.select("doc_id", T.clean_line(F.col("raw")).alias("line")).where("line IS NOT NULL")
 
 
-@query(f"WITH {LINES}, c AS (SELECT doc_id, regexp_replace(regexp_replace(raw, '^- ', ''), '^\\s+|\\s+$', '', 'g') AS line FROM s) SELECT doc_id, line FROM c WHERE length(line) > 10 AND lower(line) <> 'none'")
+@query(f"WITH {LINES}, c AS (SELECT doc_id, regexp_replace(regexp_replace(raw, '^- ', ''), '^{T.SPACE}+|{T.SPACE}+$', '', 'g') AS line FROM s) SELECT doc_id, line FROM c WHERE length(line) > 10 AND lower(line) <> 'none'")
 def fact_lines(spark, sf):
     rows = read(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("raw"))
     return rows.select("doc_id", T.fact_line(F.col("raw")).alias("line")).where("line IS NOT NULL")
@@ -181,9 +182,8 @@ def fact_lines(spark, sf):
 @query("""WITH m AS (SELECT conv_id, turn, string_split(text, 'the ') AS p FROM conversations)
 SELECT conv_id, turn, CASE WHEN len(p) <= 2 THEN p[1] END AS profile, CASE WHEN len(p) = 1 THEN 'None' WHEN len(p) = 2 THEN p[2] END AS private, len(p) > 2 AS failed FROM m""")
 def marker_split(spark, sf):
-    p, n = F.split("text", "the "), F.size(F.split("text", "the "))
-    one = F.when(n == 1, "None").when(n == 2, F.get(p, F.lit(1)))
-    return read(spark, sf, "conversations").select("conv_id", "turn", F.when(n <= 2, p[0]).alias("profile"), one.alias("private"), (n > 2).alias("failed"))
+    parts = E.split_reply(F.col("text"), "the ")
+    return read(spark, sf, "conversations").select("conv_id", "turn", parts["profile"].alias("profile"), parts["private"].alias("private"), parts["failed"].alias("failed"))
 
 
 # --- retrieval ----------------------------------------------------------------
@@ -200,7 +200,7 @@ def base_similarity(spark, sf):
     return R.base_scores(n, vec_queries(n)).select("query_id", "node_id", F.round("base", 9).alias("base_score"))
 
 
-KW = "list_distinct(list_filter(list_transform(string_split({}, ','), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''))"
+KW = "list_distinct(list_filter(list_transform(string_split({}, ','), lambda x: regexp_replace(x, '^SPACE+|SPACE+$', '', 'g')), lambda x: x <> ''))".replace("SPACE", T.SPACE.replace("{", "{{").replace("}", "}}"))
 
 
 @query(f"SELECT doc_id, len({KW.format('text')}) AS n_keywords, list_aggregate(list_sort({KW.format('text')}), 'string_agg', '|') AS keywords FROM documents")
@@ -245,14 +245,12 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 12)
 SELECT query_id, node_id, rank, round(sim, 9) AS score FROM r WHERE rank <= 10""")
 def fallback_kb(spark, sf):
     n = vec_nodes(spark, sf)
-    s = n.join(vec_queries(n), "graph_id").withColumn("sim", T.dot(F.col("embedding"), F.col("q_embedding")))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("sim", 12).desc(), "node_seq"))
-    return s.withColumn("rank", rank.cast("long")).where("rank <= 10").select("query_id", "node_id", "rank", F.round("sim", 9).alias("score"))
+    return K.nearest(n, vec_queries(n), 10).select("query_id", "node_id", F.col("out_rank").alias("rank"), "score")
 
 
-@query(f"WITH {VEC} SELECT graph_id, node_id, node_seq FROM n")
+@query(f"WITH {VEC} SELECT graph_id, node_id, 'fact ' || node_id AS knowledge FROM n")
 def kb_scan(spark, sf):
-    return vec_nodes(spark, sf).select("graph_id", "node_id", "node_seq")
+    return K.contents(vec_nodes(spark, sf).withColumn("content", F.concat(F.lit("fact "), "node_id")))
 
 
 # --- graph state --------------------------------------------------------------
@@ -359,6 +357,15 @@ def forget_apply(spark, sf):
     return G.forget(n, e, _forgotten(n, e))[1].select("graph_id", "src", "dst", F.round("weight", 9).alias("weight"))
 
 
+@query(f"""WITH {EVENTS}, ends AS (SELECT graph_id, src AS node_id FROM e UNION ALL SELECT graph_id, dst FROM e), counted AS (SELECT graph_id, node_id, count(*) AS n FROM ends GROUP BY ALL)
+SELECT g.graph_id, g.node_id, round(w.tw, 9) AS total_weight, g.age_days, coalesce(counted.n, 0) AS n_edges, left(w.event_type || ' of user ' || g.graph_id, 50) AS preview
+FROM g JOIN w USING (graph_id, node_id) LEFT JOIN counted USING (graph_id, node_id)""")
+def forget_preview(spark, sf):
+    n = event_nodes(spark, sf).withColumn("content", F.concat("event_type", F.lit(" of user "), "graph_id"))
+    e = event_edges(n)
+    return G.forgetting_preview(n, e, _forgotten(n, e))
+
+
 @query("SELECT event_id, round(exp(-(epoch(TIMESTAMP '2024-02-01') - floor(epoch(ts))) / 1e7), 9) AS decay FROM events")
 def time_decay(spark, sf):
     ts = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
@@ -374,12 +381,24 @@ def ts_parse(spark, sf):
 
 @query("SELECT user_id, event_id, event_type AS knowledge FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 100")
 def ak_retention(spark, sf):
-    r = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
-    return read(spark, sf, "events").withColumn("r", r).where("r <= 100").select("user_id", "event_id", F.col("event_type").alias("knowledge"))
+    rows = read(spark, sf, "events").select("user_id", "ts", "event_id", F.col("event_type").alias("knowledge"))
+    return K.retain(rows, "user_id", [F.desc("ts"), F.desc("event_id")]).drop("ts")
+
+
+@query("""WITH k AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, event_type IN ('signup', 'view') AS old FROM events),
+o AS (SELECT *, max(CASE WHEN old THEN k END) OVER (PARTITION BY user_id) AS last FROM k),
+n AS (SELECT *, CASE WHEN old THEN k ELSE coalesce(last, -1) + row_number() OVER (PARTITION BY user_id, old ORDER BY k) END AS seq FROM o WHERE old OR event_type <> 'error')
+SELECT user_id AS graph_id, seq::BIGINT AS ak_seq, event_type || ' ' || event_id AS knowledge FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) AS r FROM n) WHERE r <= 5""")
+def ak_append(spark, sf):
+    """Signups and views are stored, other events are added behind them; errors state nothing."""
+    k = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
+    text = F.when(F.col("event_type") == "error", "- None").otherwise(F.concat("event_type", F.lit(" "), "event_id"))
+    e = read(spark, sf, "events").select(F.col("user_id").alias("graph_id"), k.alias("ak_seq"), text.alias("knowledge"), F.col("event_type").isin("signup", "view").alias("old"))
+    return K.add_assistant_knowledge(e.where("old").drop("old"), e.where("NOT old").drop("old"), 5)
 
 
 def _profiles(spark, sf):
-    return read(spark, sf, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("data"))
+    return K.latest(read(spark, sf, "events"), "user_id", ["ts", "event_id"], "event_type").withColumnRenamed("event_type", "data")
 
 
 @query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS data FROM events GROUP BY 1")
@@ -389,8 +408,12 @@ def profile_upsert(spark, sf):
 
 @query("SELECT c_custkey AS user_id, coalesce(data, '') AS data FROM customer LEFT JOIN (SELECT user_id, arg_max(event_type, (ts, event_id)) AS data FROM events GROUP BY 1) ON user_id = c_custkey")
 def profile_lookup(spark, sf):
-    c = read(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"))
-    return c.join(_profiles(spark, sf), "user_id", "left").select("user_id", F.coalesce("data", F.lit("")).alias("data"))
+    return K.profile_of(read(spark, sf, "customer").select(F.col("c_custkey").alias("user_id")), _profiles(spark, sf), "user_id")
+
+
+@query("SELECT page_id, split_part(regexp_extract(url, '[^/]*$'), '_', 1) AS name FROM pages")
+def profile_key(spark, sf):
+    return read(spark, sf, "pages").select("page_id", T.name_key(F.col("url")).alias("name"))
 
 
 @query("SELECT event_id, key AS dst, CAST(props ->> ('$.' || key) AS DOUBLE) AS weight FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events)")
@@ -416,13 +439,12 @@ def metrics_overall(spark, sf):
     return M.summary(scored(spark, sf))
 
 
-NAMES = "CASE turn % 6 + 1 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in M.CATEGORIES.items()) + " ELSE 'Unknown' END"
+NAMES = "CASE turn % 6 + 1 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in T.CATEGORIES.items()) + " ELSE 'Unknown' END"
 
 
 @query(f"WITH {SCORED} SELECT {NAMES} AS category, count(*) AS n, {STATS} FROM m GROUP BY 1")
 def metrics_by_category(spark, sf):
-    name = F.coalesce(F.get(F.array(F.lit(None).cast("string"), *map(F.lit, M.CATEGORIES.values())), (F.col("turn") % 6 + 1).cast("int")), F.lit("Unknown"))
-    return M.summary(scored(spark, sf).withColumn("category", name), "category")
+    return M.by_category(scored(spark, sf).withColumn("category", (F.col("turn") % 6 + 1).cast("string")))
 
 
 @query(f"WITH {SCORED} SELECT conv_id, count(*) AS n, {STATS} FROM m GROUP BY 1")
@@ -432,8 +454,7 @@ def metrics_by_sample(spark, sf):
 
 @query(f"WITH {SCORED} SELECT conv_id, turn, round(avg(f1) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING), 9) AS running_f1 FROM m")
 def running_metrics(spark, sf):
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    return scored(spark, sf).select("conv_id", "turn", F.round(F.avg("f1").over(w), 9).alias("running_f1"))
+    return M.running(scored(spark, sf), "conv_id", "turn", "f1", "running_f1").select("conv_id", "turn", "running_f1")
 
 
 FORMS = ["Yes.", "y", "Yes, it is", "No, yes", "no yes", "", "correct", "No"]
@@ -460,8 +481,7 @@ def judge_accuracy(spark, sf):
 @query("SELECT doc_id, CASE WHEN doc_id % 97 = 0 THEN 'corrupted' WHEN quality IS NULL THEN 'missing' WHEN toxic = 1 THEN 'empty' ELSE 'evaluated' END AS status FROM documents LEFT JOIN labels USING (doc_id)")
 def item_status(spark, sf):
     d = read(spark, sf, "documents").join(read(spark, sf, "labels"), "doc_id", "left")
-    s = F.when(F.col("doc_id") % 97 == 0, "corrupted").when(F.col("quality").isNull(), "missing").when(F.col("toxic") == 1, "empty").otherwise("evaluated")
-    return d.select("doc_id", s.alias("status"))
+    return d.select("doc_id", S.status(F.col("doc_id") % 97 == 0, F.col("quality").isNull(), F.col("toxic") == 1).alias("status"))
 
 
 # --- selection and summaries --------------------------------------------------
@@ -469,18 +489,17 @@ def item_status(spark, sf):
 
 @query("SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations) WHERE k BETWEEN 3 AND 5")
 def sample_slice(spark, sf):
-    k = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
-    return read(spark, sf, "conversations").withColumn("k", k).where("k BETWEEN 3 AND 5").select("conv_id", "turn")
+    return S.positions(read(spark, sf, "conversations"), "conv_id", "turn", 2, 3).select("conv_id", "turn")
 
 
 @query("SELECT doc_id, lang FROM documents SEMI JOIN labels USING (doc_id)")
 def sample_ids_semi(spark, sf):
-    return read(spark, sf, "documents").join(read(spark, sf, "labels"), "doc_id", "left_semi").select("doc_id", "lang")
+    return S.chosen(read(spark, sf, "documents"), read(spark, sf, "labels"), "doc_id").select("doc_id", "lang")
 
 
 @query("SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)")
 def missing_ids(spark, sf):
-    return read(spark, sf, "documents").join(read(spark, sf, "labels"), "doc_id", "left_anti").select("doc_id")
+    return S.unknown(read(spark, sf, "labels"), read(spark, sf, "documents"), "doc_id")
 
 
 SUMMARY = f"WITH {TURNS} SELECT count(DISTINCT conv_id) AS n_graphs, count(*) AS n_nodes, sum(length(user_text) + length(ai_text))::BIGINT AS n_chars FROM tu"
@@ -488,7 +507,7 @@ SUMMARY = f"WITH {TURNS} SELECT count(DISTINCT conv_id) AS n_graphs, count(*) AS
 
 @query(SUMMARY)
 def encode_summary(spark, sf):
-    return turns(spark, sf).agg(F.countDistinct("conv_id").alias("n_graphs"), F.count("*").alias("n_nodes"), F.sum(F.length("user_text") + F.length("ai_text")).cast("long").alias("n_chars"))
+    return M.encode_totals(turns(spark, sf), "conv_id")
 
 
 @query(f"WITH s AS ({SUMMARY}) SELECT '{{\"n_graphs\":' || n_graphs || ',\"n_nodes\":' || n_nodes || ',\"n_chars\":' || n_chars || '}}' AS summary FROM s")
@@ -580,21 +599,33 @@ def consolidate(spark, sf):
 
 
 def conv_questions(spark, sf):
-    """Each conversation is asked its own last user text; its vector comes from the default encoder."""
+    """Each conversation is asked its own last user text."""
     q = turns(spark, sf).groupBy("conv_id").agg(F.max_by("user_text", "turn").alias("question"))
-    return q.select(F.col("conv_id").alias("query_id"), F.col("conv_id").alias("graph_id"), "question", models.embedding(F.col("question")).alias("q_embedding"))
+    return q.select(F.col("conv_id").alias("query_id"), F.col("conv_id").alias("graph_id"), F.lit(0).alias("qa_index"), "question", F.lit("2024-02-01").alias("asked_on"))
+
+
+def _answered(spark, sf):
+    t = conv_turns(spark, sf)
+    found = E.extract(batch_texts(spark, sf))
+    told = E.facts(found, "assistant").select("graph_id", (F.col("batch") * 1000 + F.col("line_no")).alias("ak_seq"), F.col("content").alias("knowledge"))
+    nodes, edges = E.knowledge_graph(E.facts(found, "private"), ["batch", "line_no"])
+    none = spark.createDataFrame([], "graph_id long, node_seq long, node_id long, content string, embedding array<float>")
+    knowledge = {"profiles": E.fold_extracted(found), "assistant": told, "nodes": nodes, "edges": edges, "fallback": none}
+    return A.answer_questions(E.memory_graph(t), knowledge, conv_questions(spark, sf), LONGMEMEVAL.top_k, c=LONGMEMEVAL)
 
 
 @query()
 def answer_question(spark, sf):
-    """Prompt and answer of one question per conversation over its own memories."""
-    n, e = E.memory_graph(conv_turns(spark, sf))
-    q = conv_questions(spark, sf)
-    found = R.retrieve(n, e, q.drop("question"), k=LONGMEMEVAL.top_k, c=LONGMEMEVAL)
-    blank = spark.createDataFrame([], "graph_id long, query_id long, out_rank long, seq long, content string, data string")
-    profiles = E.fold_extracted(E.extract(batch_texts(spark, sf)))
-    asked = q.select("query_id", "graph_id", "question", F.lit("2024-02-01").alias("asked_on"))
-    return A.answers(A.answer_prompts(asked, found, n.select("graph_id", "node_id", "content", "ts"), profiles, blank, blank, LONGMEMEVAL))
+    """Prompt and answer of one question per conversation over its memories, knowledge, profile and traits."""
+    return _answered(spark, sf)[0]
+
+
+@query()
+def scored_answers(spark, sf):
+    """From logs to scores: each conversation's question, answered from its memories and scored against the reply that followed it."""
+    reply = turns(spark, sf).groupBy(F.col("conv_id").alias("query_id")).agg(F.max_by("ai_text", "turn").alias("reference"))
+    rows = _answered(spark, sf)[0].select("query_id", F.col("answer").alias("prediction")).join(reply, "query_id")
+    return M.token_scores(rows).select("query_id", F.round("f1", 9).alias("f1"), F.round("bleu1", 9).alias("bleu1"))
 
 
 @query()

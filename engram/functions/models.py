@@ -40,6 +40,16 @@ def extractive_model() -> TextModel:
     return reply
 
 
+def recalling_model() -> TextModel:
+    """Answers with the first line of the memory that ranks first."""
+
+    def reply(prompt: str) -> str:
+        found = re.search(r"^Content: (?:User: )?(.*)$", prompt, re.M)
+        return found[1] if found else ""
+
+    return reply
+
+
 def embedding(c: Column, make: Callable[[], Encoder] = hashed_encoder) -> Column:
     """Unit vectors, zero vectors unchanged; null texts count as empty. The encoder is made once per task."""
 
@@ -54,22 +64,32 @@ def embedding(c: Column, make: Callable[[], Encoder] = hashed_encoder) -> Column
     return run(c)
 
 
-def completion(prompt: Column, make: Callable[[], TextModel] = extractive_model, tries: int = 3, wait: float = 0.0) -> Column:
-    """Replies to prompts; one whose tries all fail, or a null prompt, gets an empty reply. ``wait`` seconds grow with each try."""
+def replies(prompt: Column, make: Callable[[], TextModel] = extractive_model, tries: int = 3, wait: float = 0.0) -> Column:
+    """struct<reply, error> of prompts: a prompt whose tries all fail has the last error's text and an empty reply, and so has a null prompt.
 
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    ``wait`` seconds grow with each try.
+    """
+
+    @F.pandas_udf("struct<reply: string, error: string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = make()
 
-        def reply(text):
+        def one(text: str | None) -> tuple[str, str | None]:
+            error = "no prompt"
             for n in range(tries if text is not None else 0):
                 try:
-                    return model(text)
-                except Exception:
+                    return model(text), None
+                except Exception as e:  # whatever the hook raises is told in the result
+                    error = f"{type(e).__name__}: {e}"
                     time.sleep(wait * (n + 1))
-            return ""
+            return "", error
 
         for texts in batches:
-            yield texts.map(reply).astype(object)
+            yield pd.DataFrame([one(t) for t in texts], columns=["reply", "error"], dtype=object)
 
     return run(prompt)
+
+
+def completion(prompt: Column, make: Callable[[], TextModel] = extractive_model, tries: int = 3, wait: float = 0.0) -> Column:
+    """Replies to prompts; empty where all tries failed (``replies`` tells why)."""
+    return replies(prompt, make, tries, wait)["reply"]

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.config import DEFAULT, MemoryConfig
-from engram.functions.text import dot
+from engram.functions.text import direction, dot
 
 
 def both_ways(e: DataFrame) -> DataFrame:
@@ -37,14 +37,24 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("graph_id", "node_id", "node_seq").join(d, ["graph_id", "node_id"], "left").fillna(0, ["degree", "total_weight"])
 
 
+#: Nodes of a graph in a cell of the similarity join, about.
+CELL_NODES = 2_000
+
+
 def similarity_edges(nodes: DataFrame, existing: DataFrame, c: MemoryConfig = DEFAULT) -> DataFrame:
-    """Each node's nearest neighbours in its graph; pairs above the cutoff that are not yet linked."""
-    a = nodes.select("graph_id", F.col("node_id").alias("src"), F.col("embedding").alias("ea"))
-    b = nodes.select("graph_id", F.col("node_id").alias("dst"), F.col("node_seq").alias("dseq"), F.col("embedding").alias("eb"))
-    norm = F.greatest(F.sqrt(dot(F.col("ea"), F.col("ea"))), F.lit(1e-10)) * F.greatest(F.sqrt(dot(F.col("eb"), F.col("eb"))), F.lit(1e-10))
-    s = a.join(b, "graph_id").where("src <> dst").withColumn("sim", dot(F.col("ea"), F.col("eb")) / norm)
+    """Each node's nearest neighbours in its graph; pairs above the cutoff that are not yet linked.
+
+    Directions are made before nodes meet. A large graph's nodes are dealt into cells, each of which meets
+    all nodes in a task of its own, and pairs below the cutoff go before they are ranked.
+    """
+    unit = nodes.select("graph_id", "node_id", "node_seq", direction(F.col("embedding")).alias("e"))
+    cells = nodes.groupBy("graph_id").agg(F.ceil(F.count("*") / F.lit(CELL_NODES)).cast("int").alias("cells"))
+    dealt = unit.join(cells, "graph_id")
+    a = dealt.select("graph_id", F.pmod(F.xxhash64("node_id"), F.col("cells")).cast("int").alias("cell"), F.col("node_id").alias("src"), F.col("e").alias("ea"))
+    b = dealt.select("graph_id", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.col("node_id").alias("dst"), F.col("node_seq").alias("dseq"), F.col("e").alias("eb"))
+    s = a.join(b, ["graph_id", "cell"]).where("src <> dst").withColumn("sim", dot(F.col("ea"), F.col("eb"))).where(F.col("sim") > c.min_similarity)
     rank = F.row_number().over(Window.partitionBy("graph_id", "src").orderBy(F.round("sim", 12).desc(), F.col("dseq").desc()))
-    near = s.withColumn("r", rank).where((F.col("r") <= c.neighbours) & (F.col("sim") > c.min_similarity))
+    near = s.select("graph_id", "src", "dst", "dseq", "sim").withColumn("r", rank).where(F.col("r") <= c.neighbours)
     pair = near.groupBy("graph_id", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg((F.max("sim") * F.lit(c.similarity_gain)).alias("weight"))
     return both_ways(pair.join(existing, ["graph_id", "src", "dst"], "left_anti"))
 
@@ -85,3 +95,22 @@ def forget(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFra
     g = gone.select("graph_id", "node_id")
     e = edges.join(g.withColumnRenamed("node_id", "src"), ["graph_id", "src"], "left_anti").join(g.withColumnRenamed("node_id", "dst"), ["graph_id", "dst"], "left_anti")
     return nodes.join(g, ["graph_id", "node_id"], "left_anti"), e
+
+
+def forgetting_preview(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """A row per candidate: its weight and age, the edges that would go with it, and the beginning of its text; nothing is removed.
+
+    ``gone`` are rows of ``forget_candidates`` over nodes with a content.
+    """
+    ends = edges.select("graph_id", F.col("src").alias("node_id")).unionByName(edges.select("graph_id", F.col("dst").alias("node_id")))
+    n = ends.groupBy("graph_id", "node_id").agg(F.count("*").alias("n_edges"))
+    seen = gone.join(n, ["graph_id", "node_id"], "left")
+    return seen.select("graph_id", "node_id", F.round("total_weight", 9).alias("total_weight"), F.col("age_days").cast("long").alias("age_days"), F.coalesce("n_edges", F.lit(0)).alias("n_edges"), F.left("content", F.lit(50)).alias("preview"))
+
+
+def adaptive_forgetting(nodes: DataFrame, edges: DataFrame, as_of: Column, min_weight: float = 0.1, min_age: int = 30, dry_run: bool = True, enabled: bool = False):
+    """(candidates, nodes, edges): candidates are found only where forgetting is enabled and removed only without ``dry_run``."""
+    gone = forget_candidates(nodes, edges, as_of, min_weight, min_age)
+    if not enabled:
+        gone = gone.limit(0)
+    return gone, *((nodes, edges) if dry_run or not enabled else forget(nodes, edges, gone))

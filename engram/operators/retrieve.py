@@ -14,27 +14,37 @@ def base_scores(nodes: DataFrame, queries: DataFrame, c: MemoryConfig = DEFAULT)
     return s.withColumn("enh", F.col("base") + F.lit(c.keyword_weight) * kw).drop("embedding", "q_embedding")
 
 
-def spread(scores: DataFrame, edges: DataFrame, c: MemoryConfig = DEFAULT) -> DataFrame:
-    """final = enh + sum of alpha * enh * weight over sources strictly above the threshold."""
+def boosts(scores: DataFrame, edges: DataFrame, c: MemoryConfig = DEFAULT) -> DataFrame:
+    """Per query and target: the sum of alpha * enh * weight over sources strictly above the threshold."""
     src = scores.where(F.col("enh") > c.spread_threshold).select("graph_id", "query_id", F.col("node_id").alias("src"), F.col("enh").alias("se"))
-    boost = src.join(edges, ["graph_id", "src"]).groupBy("query_id", F.col("dst").alias("node_id")).agg(F.sum(F.col("se") * F.col("weight") * F.lit(c.alpha)).alias("boost"))
-    return scores.join(boost, ["query_id", "node_id"], "left").withColumn("fin", F.col("enh") + F.coalesce("boost", F.lit(0.0)))
+    return src.join(edges, ["graph_id", "src"]).groupBy("query_id", F.col("dst").alias("node_id")).agg(F.sum(F.col("se") * F.col("weight") * F.lit(c.alpha)).alias("boost"))
+
+
+def spread(scores: DataFrame, edges: DataFrame, c: MemoryConfig = DEFAULT) -> DataFrame:
+    """fin = enh + boost."""
+    scored = scores.join(boosts(scores, edges, c), ["query_id", "node_id"], "left")
+    return scored.withColumn("fin", F.col("enh") + F.coalesce("boost", F.lit(0.0)))
 
 
 def retrieve(nodes: DataFrame, edges: DataFrame, queries: DataFrame, k: int = DEFAULT.top_k, c: MemoryConfig = DEFAULT) -> DataFrame:
-    """Base top-k, then those of the spread top-k that it lacks, at most max_flipped."""
-    s = spread(base_scores(nodes, queries, c), edges, c)
+    """Base top-k, then those of the spread top-k that it lacks, at most max_flipped.
+
+    Each ranking is cut to k rows a query on its own, so that Spark can cut them before the shuffle,
+    too; what follows handles 2 k rows a query.
+    """
+    s = spread(base_scores(nodes, queries, c), edges, c).select("query_id", "graph_id", "node_id", "node_seq", "base", "enh", "fin")
     by = Window.partitionBy("query_id")
-    s = s.withColumns({
-        "br": F.row_number().over(by.orderBy(F.round("enh", 12).desc(), F.col("node_seq").desc())),
-        "sr": F.row_number().over(by.orderBy(F.round("fin", 12).desc(), F.col("node_seq").desc())),
-    }).where((F.col("br") <= k) | (F.col("sr") <= k))
-    flipped = F.col("br") > k
-    s = s.withColumns({"flipped": flipped, "fr": F.sum(flipped.cast("int")).over(by.orderBy("sr").rowsBetween(Window.unboundedPreceding, 0)), "nb": F.sum((~flipped).cast("int")).over(by)})
+    rank = lambda score: F.row_number().over(by.orderBy(F.round(score, 12).desc(), F.col("node_seq").desc()))
+    base = s.withColumn("br", rank("enh")).where(F.col("br") <= k).withColumn("sr", F.lit(None).cast("int"))
+    top = s.withColumn("sr", rank("fin")).where(F.col("sr") <= k).withColumn("br", F.lit(None).cast("int"))
+    same = Window.partitionBy("query_id", "node_id")
+    both = base.unionByName(top).withColumn("in_base", F.max("br").over(same).isNotNull())
+    both = both.where(F.col("br").isNotNull() | ~F.col("in_base")).withColumn("flipped", F.col("br").isNull())
+    both = both.withColumns({"fr": F.row_number().over(by.orderBy(F.col("sr").asc_nulls_last())), "nb": F.count("br").over(by)})
     most = c.max_flipped if c.alpha > 0 else 0
-    s = s.where(~F.col("flipped") | (F.col("fr") <= most))
-    return s.select("query_id", "graph_id", "node_id", F.when(F.col("flipped"), F.col("nb") + F.col("fr")).otherwise(F.col("br")).cast("long").alias("out_rank"),
-                    F.round("fin", 9).alias("score"), F.round("base", 9).alias("base_score"), "flipped", F.when(F.col("flipped"), "spreading").otherwise("base").alias("source"))
+    both = both.where(~F.col("flipped") | (F.col("fr") <= most))
+    return both.select("query_id", "graph_id", "node_id", F.when(F.col("flipped"), F.col("nb") + F.col("fr")).otherwise(F.col("br")).cast("long").alias("out_rank"),
+                       F.round("fin", 9).alias("score"), F.round("base", 9).alias("base_score"), "flipped", F.when(F.col("flipped"), "spreading").otherwise("base").alias("source"))
 
 
 def context(results: DataFrame, contents: DataFrame, c: MemoryConfig = DEFAULT) -> DataFrame:

@@ -1,15 +1,16 @@
 """From conversation logs to memory graphs and extracted knowledge."""
 
+import re
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.config import DEFAULT, MemoryConfig
 from engram.functions import prompts as P
 from engram.functions.models import Encoder, TextModel, completion, embedding, extractive_model, hashed_encoder
-from engram.functions.text import clean_line, fact_line
+from engram.functions.text import clean_line, fact_line, lines, strip
 from engram.operators import dialogue as D
 from engram.operators import graph as G
 from engram.operators.knowledge import stated, with_keywords
@@ -18,10 +19,10 @@ from engram.sources.store import dialogs
 Make = Callable[[], TextModel]
 
 
-def item_turns(items: DataFrame) -> DataFrame:
-    """Turns of session lists: a user row directly followed by an assistant row. A session without a date has a null ts."""
+def item_turns(items: DataFrame, now: Column | None = None) -> DataFrame:
+    """Turns of session lists: a user row directly followed by an assistant row. A session without a date gets ``now``, null where none is given."""
     s = items.select(F.col("question_id").alias("graph_id"), "haystack_dates", F.posexplode("haystack_sessions").alias("session_seq", "rows"))
-    s = s.withColumn("ts", F.get("haystack_dates", F.col("session_seq")))
+    s = s.withColumn("ts", F.coalesce(F.get("haystack_dates", F.col("session_seq")), F.lit(None).cast("string") if now is None else now))
     rows = s.select("graph_id", "session_seq", "ts", F.posexplode("rows").alias("pos", "r")).select("*", "r.role", F.col("r.content").alias("text")).drop("r")
     return D.pair_adjacent(rows, ["graph_id", "session_seq"], "pos").select("graph_id", "session_seq", F.col("pos").alias("turn_seq"), "ts", "user_text", "ai_text")
 
@@ -58,20 +59,44 @@ def extract(batches: DataFrame, make: Make = extractive_model) -> DataFrame:
     """
     ask = lambda text: completion(P.about(text, F.col("text")), make)
     r = batches.select("graph_id", "batch", ask(P.PROFILE.format(marker=P.MARKER)).alias("r"), ask(P.TRAITS).alias("assistant"))
-    parts = F.split("r", P.MARKER.replace("[", r"\[").replace("]", r"\]"))
-    r = r.withColumn("p", parts).where(F.size("p") <= 2)
-    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
-    return r.select("graph_id", "batch", strip(F.col("p")[0]).alias("profile"), F.coalesce(strip(F.get("p", F.lit(1))), F.lit("None")).alias("private"), "assistant")
+    r = r.withColumn("p", split_reply(F.col("r"), P.MARKER)).where("NOT p.failed")
+    return r.select("graph_id", "batch", strip(F.col("p.profile")).alias("profile"), strip(F.col("p.private")).alias("private"), "assistant")
 
 
-def facts(extracted: DataFrame, column: str) -> DataFrame:
-    """Clean lines of private or assistant facts; lines that state nothing go."""
-    rows = extracted.select("graph_id", "batch", F.posexplode(F.split(column, r"\R")).alias("line_no", "raw"))
+def split_reply(reply: Column, marker: str) -> Column:
+    """(profile, private, failed) of a reply: cut at the marker; without it there is nothing private, with several the reply has failed."""
+    parts = F.split(reply, re.sub(r"([\[\]])", r"\\\1", marker))
+    n = F.size(parts)
+    private = F.when(n == 1, "None").when(n == 2, F.get(parts, F.lit(1)))
+    return F.struct(F.when(n <= 2, parts[0]).alias("profile"), private.alias("private"), (n > 2).alias("failed"))
+
+
+def facts(extracted: DataFrame, column: str, whole: bool = False) -> DataFrame:
+    """Clean lines of private or assistant facts; lines that state nothing go.
+
+    ``whole``: as the session-list style has it, a text that is "none" as a whole goes first, and only line feeds end a line.
+    """
+    rows, text = extracted, strip(F.coalesce(F.col(column), F.lit("")))
+    if whole:
+        rows = rows.where(~F.lower(text).isin("", "none", "- none"))
+    cut = F.split(column, "\n") if whole else lines(F.col(column))
+    rows = rows.select("graph_id", "batch", F.posexplode(cut).alias("line_no", "raw"))
     return rows.withColumn("content", clean_line(F.col("raw"))).where(F.col("content").isNotNull() & stated(F.col("content"))).drop("raw")
 
 
-def fold_extracted(extracted: DataFrame, make: Make = extractive_model) -> DataFrame:
-    """One profile per graph. Each step needs the one before, so a graph's short profile texts are folded in one task."""
+def knowledge_graph(found: DataFrame, order: list[str], ts: Column | None = None, make: Callable[[], Encoder] = hashed_encoder) -> tuple[DataFrame, DataFrame]:
+    """Facts (graph_id, content) as nodes of a knowledge graph, in that order, and the edges between following ones."""
+    seq = (F.row_number().over(Window.partitionBy("graph_id").orderBy(*order)) - 1).cast("long")
+    nodes = found.select("graph_id", seq.alias("node_seq"), seq.alias("node_id"), "content", F.lit("system").alias("role"), (F.lit(None).cast("string") if ts is None else ts).alias("ts"))
+    nodes = nodes.withColumn("metadata", F.create_map(F.lit("type"), F.lit("fact")))
+    return with_keywords(nodes, "content").withColumn("embedding", embedding(F.col("content"), make)), G.temporal_edges(nodes)
+
+
+def fold_extracted(extracted: DataFrame, make: Make = extractive_model, stored: DataFrame | None = None) -> DataFrame:
+    """One profile per graph, going on from the stored one (graph_id, data) where there is one.
+
+    Each step needs the one before, so a graph's short profile texts are folded in one task.
+    """
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         model, profile = make(), ""
@@ -79,7 +104,9 @@ def fold_extracted(extracted: DataFrame, make: Make = extractive_model) -> DataF
             profile = model(f"{P.MERGE}\n\n{P.MATERIAL}\n{profile}\n{new}") if profile else new
         return pd.DataFrame({"graph_id": rows["graph_id"].iloc[:1], "data": [profile]})
 
-    rows = extracted.select("graph_id", "batch", "profile")
+    rows = extracted.select("graph_id", F.col("batch").cast("long").alias("batch"), "profile")
+    if stored is not None:
+        rows = rows.unionByName(stored.select("graph_id", F.lit(-1).cast("long").alias("batch"), F.col("data").alias("profile")))
     return rows.groupBy("graph_id").applyInPandas(fold, f"graph_id {rows.schema['graph_id'].dataType.simpleString()}, data string")
 
 
@@ -101,3 +128,13 @@ def consolidate(nodes: DataFrame, edges: DataFrame, make: Make = extractive_mode
     r = cluster_texts(nodes, edges, c).select("graph_id", "hub", completion(P.about(P.FACTS, F.col("text")), make).alias("r"))
     rows = r.select("graph_id", "hub", F.posexplode(F.split("r", "\n")).alias("line_no", "raw"))
     return rows.withColumn("content", fact_line(F.col("raw"))).where("content IS NOT NULL").drop("raw")
+
+
+def grown_knowledge(stored: DataFrame, found: DataFrame, ts: Column, make: Callable[[], Encoder] = hashed_encoder) -> tuple[DataFrame, DataFrame]:
+    """Stored knowledge nodes and, behind them, the facts (graph_id, hub, line_no, content); edges link following ones."""
+    names = ["graph_id", "node_seq", "node_id", "content", "role", "ts", "keywords", "embedding"]
+    last = stored.groupBy("graph_id").agg((F.max("node_seq") + 1).alias("base"))
+    new = knowledge_graph(found, ["hub", "line_no"], ts, make)[0].join(last, "graph_id", "left")
+    seq = F.col("node_seq") + F.coalesce("base", F.lit(0))
+    nodes = stored.select(*names).unionByName(new.withColumns({"node_seq": seq, "node_id": seq}).select(*names))
+    return nodes, G.temporal_edges(nodes)

@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,3 +60,33 @@ def test_retrieval_plan_has_no_python(spark):
 @pytest.mark.parametrize("name", ["retrieve_topk", "pair_adjacent", "judge_accuracy"])
 def test_queries_run(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("text, want", [("　- fact　", "fact"), ("\xa0【H】", None), ("none\xa0", None), ("-\t fact", "fact")])
+def test_clean_line_strips_all_scripts(spark, text, want):
+    assert one(spark, text, T.clean_line) == want
+
+
+@pytest.mark.parametrize("text, want", [("it is y:es", False), ("well, yes", True), ("yes\rno", True), ("maybe yes", False), ("...", False), ("　Yes", True)])
+def test_judged_lines(spark, text, want):
+    assert one(spark, text, T.judged) is want
+
+
+def test_token_lists_against_counters(spark):
+    r = random.Random(5)
+    rows = [(i, [r.choice("abcdef") for _ in range(r.randrange(12))], [r.choice("abcdef") for _ in range(r.randrange(12))]) for i in range(80)]
+    df = spark.createDataFrame(rows, "i int, a array<string>, b array<string>")
+    got = {x.i: (x.n, x.top) for x in df.select("i", T.common_tokens(F.col("a"), F.col("b")).alias("n"), T.frequent(F.col("a"), 3).alias("top")).collect()}
+    for i, a, b in rows:
+        top = sorted(Counter(a).items(), key=lambda kv: (-kv[1], kv[0]))[:3]
+        assert got[i] == (sum((Counter(a) & Counter(b)).values()), [w for w, _ in top])
+
+
+def test_scalar_functions(spark):
+    row = spark.createDataFrame([("/a/b/q1_abs_hebbian.json", "0", "", " 3 ", "x")], "p string, a string, e string, c string, bad string")
+    got = row.select(
+        T.name_key(F.col("p")).alias("key"), T.reference_answer(F.col("a"), F.col("bad")).alias("zero"), T.reference_answer(F.col("e"), F.col("bad")).alias("other"),
+        T.category_name(F.col("c")).alias("c"), T.category_name(F.col("bad")).alias("u"), T.category_name(F.lit(-2)).alias("m"), T.category_name(F.lit(9)).alias("h"), T.new_id("n_").alias("i"),
+    ).first()
+    assert (got.key, got.zero, got.other, got.c, got.u, got.m, got.h) == ("q1", "0", "x", "Open-domain", "Unknown", "Unknown", "Unknown")
+    assert got.i.startswith("n_") and len(got.i) == 10

@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from engram import catalog
+from engram import catalog, jobs
 from engram.config import replace
 from engram.functions import models, prompts
 from engram.functions import text as T
@@ -155,3 +155,126 @@ def test_ingest(spark, tmp_path):
     assert got["content"].tolist() == ["User: u1\nAI: a1", "User: u2\nAI: a2", "User: v1\nAI: b1"]
     assert got["node_seq"].tolist() == [0, 1, 0] and got["closes_batch"].tolist() == [False, True, False]
     assert pd.isna(got["prev_seq"][0]) and got["prev_seq"][1] == 0
+
+
+TALK = [{"speaker": "A", "text": "I moved to Lyon in May and I like the river very much"}, {"speaker": "B", "text": "Lyon is lovely, I grew up close to the river there"}]
+
+
+def sample(i, n_turns=4):
+    body = [{**t, "text": f"{t['text']} {i} {k}"} for k in range(n_turns) for t in TALK]
+    qa = [{"question": "Where did A move?", "answer": "Lyon", "category": 1, "evidence": []}, {"question": "Who likes the river?", "adversarial_answer": "A likes the river", "category": "5", "evidence": ["D1"]}]
+    return {"sample_id": f"s{i}", "conversation": {"speaker_a": "A", "speaker_b": "B", "session_1": body, "session_1_date_time": "1:56 pm on 8 May, 2023"}, "qa": qa}
+
+
+def test_speakers_end_to_end(spark, tmp_path):
+    (tmp_path / "s.json").write_text(json.dumps([sample(1), sample(2), {**sample(3), "conversation": {"speaker_a": "A", "speaker_b": "B"}}]))
+    (tmp_path / "later.json").write_text(json.dumps({"samples": [sample(1), sample(9)]}))
+    source, memory, out = str(tmp_path / "s.json"), str(tmp_path / "m"), str(tmp_path / "out")
+    first = jobs.encode(spark, "speakers", source, memory, "2024-02-01 00:00:00").first()
+    assert (first.n_graphs, first.n_nodes, first.n_failed, first.failed) == (2, 8, 1, ["s3"])
+    nodes, edges = store.load_graph(spark, f"{memory}/episodic")
+    before = {(r.graph_id, r.src, r.dst): r.weight for r in edges.collect()}
+    assert nodes.count() == 8 and len(before) == 12
+    known = store.load_knowledge(spark, f"{memory}/knowledge")
+    assert known["profiles"].count() == 2 and known["fallback"].count() == 0
+    got = jobs.evaluate_speakers(spark, str(tmp_path / "later.json"), memory, out, "2024-02-01 00:00:00").first()
+    assert (got.n, got.n_samples, got.failed) == (2, 1, ["s9"]) and [c.category for c in got.per_category] == ["Adversarial", "Multi-hop"]
+    rows = spark.read.json(f"{out}/results").orderBy("qa_index").collect()
+    assert [r.answer for r in rows] == ["Lyon", "A likes the river"] and all("Lyon" in r.system_answer and len(r.retrieved) == 4 and 0 < r.f1 < 1 for r in rows)
+    after = {(r.graph_id, r.src, r.dst): r.weight for r in store.load_graph(spark, f"{memory}/episodic")[1].collect()}
+    assert all(after[k] == w for k, w in before.items() if k[0] == "s2")  # not asked
+    assert after["s1", 0, 1] == pytest.approx(0.5 + 2 * 0.02) and after["s1", 0, 3] == pytest.approx(2 * 0.02)
+
+
+def test_sessions_end_to_end(spark, tmp_path):
+    turns = [{"role": r, "content": f"{r} says that the garden needs water every day {k}"} for k in range(5) for r in ("user", "assistant")]
+    item = lambda i, kind, sessions: {"question_id": i, "question": "What needs water?", "answer": "the garden", "question_type": kind, "question_date": "2023", "haystack_dates": ["2023-05-08"], "haystack_sessions": sessions}
+    items = [item("q1", "multi-session", [turns, turns]), item("q2_abs", "temporal-reasoning", [turns]), item("q3", "temporal-reasoning", [turns]), item("q4", "multi-session", [[]])]
+    (tmp_path / "items.json").write_text(json.dumps(items))
+    (tmp_path / "more.json").write_text(json.dumps([*items, item("q5", "multi-session", [turns])]))
+    memory, out = str(tmp_path / "m"), str(tmp_path / "out")
+    jobs.encode(spark, "sessions", str(tmp_path / "items.json"), memory, "2024-02-01 00:00:00")
+    with pytest.raises(ValueError, match="unknown graph_id: nobody"):
+        jobs.encode(spark, "sessions", str(tmp_path / "items.json"), memory, "2024-02-01 00:00:00", ids=["q1", "nobody"])
+    judge = lambda: lambda p: "Yes." if "can't be answered" not in p else "no"
+    rows = jobs.evaluate_sessions(spark, str(tmp_path / "more.json"), memory, out, "2024-02-01 00:00:00", corrupted=["q3"], judge=judge).collect()
+    assert {r.question_type: (r.n, r.n_correct) for r in rows} == {"multi-session": (3, 1), "temporal-reasoning": (2, 0), None: (5, 1)}
+    summary = spark.read.json(f"{out}/summary").first()
+    assert summary["items"].asDict() == {"corrupted": 1, "empty": 1, "evaluated": 2, "missing": 1} and summary.n_failed == 0
+    assert spark.read.json(f"{out}/results").count() == 2
+    known = store.load_knowledge(spark, f"{memory}/knowledge")
+    assert known["nodes"].where("graph_id = 'q1'").count() > 0 and {r[0] for r in known["nodes"].select("role").distinct().collect()} == {"system"}
+
+
+def test_stored_state(spark, tmp_path):
+    nodes, edges = store.load_graph(spark, str(tmp_path / "none"))
+    assert nodes.count() == edges.count() == 0 and nodes.schema["embedding"].dataType.simpleString() == "array<float>"
+    n = spark.createDataFrame([(g, i) for g in ("x", "y") for i in range(2)], "graph_id string, node_id long")
+    e = spark.createDataFrame([("x", 0, 1, 0.5), ("y", 0, 1, 0.5)], "graph_id string, src long, dst long, weight double")
+    store.save_graph(n, e, str(tmp_path / "g"))
+    store.save_graph(n.where("graph_id = 'x'"), e.limit(0), str(tmp_path / "g"))  # all edges of x are gone
+    assert [r.graph_id for r in store.load_graph(spark, str(tmp_path / "g"))[1].collect()] == ["y"]
+    store.save_graph(n.limit(0), e.limit(0), str(tmp_path / "g"), n.where("graph_id = 'y'"))
+    nodes, edges = store.load_graph(spark, str(tmp_path / "g"))
+    assert {r.graph_id for r in nodes.collect()} == {"x"} and edges.count() == 0
+    assert {r[0] for r in store.stored_graphs(spark, str(tmp_path / "g")).collect()} == {"x", "y"}
+
+
+def test_graph_documents(spark, tmp_path):
+    doc = {"nodes": {str(i): {"id": str(i), "content": f"c{i}", "role": "interaction", "embedding": [1.0, 0.0], "timestamp": "t", "keywords": ["k"], "metadata": {}} for i in range(2)}, "edges": {"0": {"1": 0.5}, "1": {"0": 0.5}}}
+    (tmp_path / "g7_memory.json").write_text(json.dumps(doc))
+    n, e = store.read_graph_documents(spark, str(tmp_path / "g7_memory.json"))
+    assert sorted((r.graph_id, r.node_id, r.content) for r in n.collect()) == [("g7", 0, "c0"), ("g7", 1, "c1")]
+    assert sorted((r.src, r.dst, r.weight) for r in e.collect()) == [(0, 1, 0.5), (1, 0, 0.5)]
+
+
+def test_malformed_samples_raise(spark, tmp_path):
+    for text in ('{"other": 1}', "[1, 2", '"text"'):
+        (tmp_path / "bad.json").write_text(text)
+        with pytest.raises(Exception):
+            store.read_samples(spark, str(tmp_path / "bad.json")).collect()
+    (tmp_path / "s.json").write_text(json.dumps([{k: v for k, v in sample(i).items() if k != "sample_id"} for i in (1, 1, 2)]))
+    ids = [r[0] for r in store.read_samples(spark, str(tmp_path / "s.json")).select("sample_id").collect()]
+    assert len(set(ids)) == 2 and all(i.startswith("sample_") for i in ids)
+
+
+def test_replies_tell_errors(spark):
+    def make():
+        return lambda p: p.upper() if p != "bad" else 1 / 0
+
+    got = [tuple(r[0]) for r in spark.createDataFrame([("ok",), ("bad",), (None,)], "v string").select(models.replies(F.col("v"), make)).collect()]
+    assert got[0] == ("OK", None) and got[1][0] == "" and "ZeroDivisionError" in got[1][1] and got[2] == ("", "no prompt")
+
+
+def test_assistant_knowledge_append(spark):
+    kinds = "graph_id long, ak_seq long, knowledge string"
+    old, new = spark.createDataFrame([(1, 0, "a"), (1, 1, "b")], kinds), spark.createDataFrame([(1, 0, "c"), (1, 1, " - None "), (1, 2, "d"), (2, 5, "e")], kinds)
+    got = sorted(map(tuple, K.add_assistant_knowledge(old, new, 3).collect()))
+    assert got == [(1, 1, "b"), (1, 2, "c"), (1, 3, "d"), (2, 0, "e")]
+
+
+def test_stored_profile_goes_on(spark):
+    found = spark.createDataFrame([("g", 0, "new")], "graph_id string, batch long, profile string")
+    stored = spark.createDataFrame([("g", "old"), ("h", "kept")], "graph_id string, data string")
+    got = {r.graph_id: r.data for r in encode.fold_extracted(found, lambda: lambda p: "|".join(p.split("\n")[-2:]), stored).collect()}
+    assert got == {"g": "old|new", "h": "kept"}
+
+
+def test_forgetting_dry_run(spark):
+    n = spark.createDataFrame([("g", i, "2020-01-01 00:00:00", 0, "text " * 30) for i in range(3)], "graph_id string, node_id long, ts string, access_count int, content string").withColumn("node_seq", F.col("node_id"))
+    e = spark.createDataFrame([("g", 0, 1, 0.5), ("g", 1, 0, 0.5)], "graph_id string, src long, dst long, weight double")
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    assert G.adaptive_forgetting(n, e, now)[0].count() == 0  # off unless enabled
+    gone, left, _ = G.adaptive_forgetting(n, e, now, enabled=True)
+    assert [r.node_id for r in gone.collect()] == [2] and left.count() == 3
+    assert G.adaptive_forgetting(n, e, now, enabled=True, dry_run=False)[1].count() == 2
+    row = G.forgetting_preview(n, e, gone).first()
+    assert (row.node_id, row.n_edges, len(row.preview)) == (2, 0, 50)
+
+
+def test_cells_of_a_large_graph(spark, monkeypatch):
+    n, e = catalog.vec_nodes(spark, SF), catalog.vec_nodes(spark, SF)
+    e = G.temporal_edges(n)
+    want = sorted(map(tuple, G.similarity_edges(n, e, catalog.LINKED).collect()))
+    monkeypatch.setattr(G, "CELL_NODES", 7)
+    assert sorted(map(tuple, G.similarity_edges(n, e, catalog.LINKED).collect())) == want
