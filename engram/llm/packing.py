@@ -40,12 +40,14 @@ class TokenBytes:
     """Token ids of texts as little-endian unsigned 32-bit bytes.
 
     Texts go whole through a merge table made of the tokenizer's file (ids are merge ranks
-    there, which is checked), several times as fast as the tokenizer with the same ids; where
-    the file isn't of that kind, through the tokenizer.
+    there, which is checked), several times as fast as the tokenizer with the same ids. Texts
+    that hold the string of an added token, which is that token's id, go through the
+    tokenizer, and so do all where the file isn't of that kind.
     """
 
     def __init__(self, path: str):
-        self.path, self.merge = path, self._merge_table(path)
+        self.path, self.added = path, []
+        self.merge = self._merge_table(path)
         self.tokenizer = None if self.merge else self._tokenizer(path)
 
     @staticmethod
@@ -53,12 +55,9 @@ class TokenBytes:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings are ordinary text
-        return tokenizer
+        return Tokenizer.from_file(path)
 
-    @staticmethod
-    def _merge_table(path: str):
+    def _merge_table(self, path: str):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
@@ -70,13 +69,17 @@ class TokenBytes:
         if [vocabulary.get(a + b) for a, b in pairs] != list(range(256, 256 + len(pairs))):
             return None
         letters = byte_letters()
-        special = {x["content"] for x in model.get("added_tokens", [])}
-        ranks = {bytes(letters[c] for c in token): i for token, i in vocabulary.items() if token not in special}
+        self.added = [x["content"] for x in model.get("added_tokens", [])]
+        ranks = {bytes(letters[c] for c in token): i for token, i in vocabulary.items() if token not in self.added}
         return tiktoken.Encoding("engram", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
+    def _slow(self, text: str):
+        self.tokenizer = self.tokenizer or self._tokenizer(self.path)
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         if self.merge:
-            got = (array("I", self.merge(t)) for t in texts)
+            got = (array("I", self._slow(t) if any(x in t for x in self.added) else self.merge(t)) for t in texts)
             return [(x if sys.byteorder == "little" else np.array(x, "<u4")).tobytes() for x in got]
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -161,7 +164,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bo
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (, ids).
 
     A document is the ids of its text (null: empty) and then id 1, so an empty text is one
-    token. Repeated rows are packed as often as they occur; a null doc_id stays null; very
+    token; the string of an added token in a text is that token, as the tokenizer has it. Repeated rows are packed as often as they occur; a null doc_id stays null; very
     long texts fill sequences of their own; an empty table gives an empty result; other
     columns are ignored. ``tokenizer`` is a file that every worker can open.
     """
