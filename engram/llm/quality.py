@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted, unused
+from .common import quoted, text_key, unused
 
 SYMBOLS = b"#$%&*@|<>{}[]=_~^\\/+"
 STOPS = b".,;:!?\"'()-"
@@ -130,17 +130,24 @@ def fold(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5, F.lit(0))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Trees:
-    """Fit on at most ``max_rows`` labelled rows outside the held-out fold."""
-    usable = labels.where(F.col("quality").isin(0, 1) & (fold() != 0)).select("doc_id", "quality").dropDuplicates(["doc_id"])
-    sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # bounded by max_rows
+def sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> pd.DataFrame:
+    """(doc_id, y, x) of at most ``max_rows`` labelled documents outside the held-out fold; of a repeated doc_id, one row."""
+    usable = labels.where(F.col("quality").isin(0, 1) & (fold() != 0)).groupBy("doc_id").agg(F.max("quality").cast("int").alias("y"))
+    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("text_key", text_key())  # bounded by max_rows
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["quality"], "x": list(feature_matrix(b["text"].tolist()))})
+            yield b[["doc_id", "y", "text_key"]].assign(x=list(feature_matrix(b["text"].tolist())))
+
+    found = rows.mapInPandas(work, "doc_id long, y int, text_key long, x array<double>")
+    one = found.groupBy("doc_id").agg(F.min_by(F.struct("y", "x"), "text_key").alias("r")).select("doc_id", "r.y", "r.x")
+    return one.toPandas().sort_values("doc_id", kind="stable")
 
-    got = rows.mapInPandas(work, "doc_id long, y int, x array<double>").toPandas().sort_values("doc_id", kind="stable")
+
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Trees:
+    """Fit on the labelled rows of ``sample``."""
+    got = sample(docs, labels, max_rows)
     return fit(np.array(got["x"].tolist(), np.float64).reshape(-1, N_FEATURES), got["y"].to_numpy(np.float64))
 
 
