@@ -13,6 +13,7 @@ corpus holds is no hot key.
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, stage, text_key, windows, word_hashes
+from .common import mix, settle, stage, text_key, windows, word_hashes
 
 _PUNCTUATION = bytes(c for c in range(128) if not chr(c).isalnum())
 _BLANK = bytes.maketrans(_PUNCTUATION, b" " * len(_PUNCTUATION))
@@ -75,32 +76,64 @@ def best_region(item: np.ndarray, doc: np.ndarray, diagonals: np.ndarray, counts
 
 
 class Items:
-    """A block of test items, by row, and the positions of their n-grams by hash."""
+    """A block of test items, by row, and where their n-grams stand: arrays sorted by hash, per width of n-grams."""
 
     def __init__(self, rows: list[tuple[int | None, str]], n: int):
         self.ids = [i for i, _ in rows]
         self.words = {k: word_hashes(w) for k, (_, t) in enumerate(rows) if (w := fold_words(t))}
-        self.grams: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for i, w in self.words.items():
+        by_width = defaultdict(list)
+        for k, w in self.words.items():
             width = min(n, len(w))  # an item of fewer words is one seed
-            for q, g in enumerate(windows(w, width).tolist()):
-                self.grams[width][g].append((i, q))
-        self.grams = {k: dict(v) for k, v in self.grams.items()}
-        self.sorted = {k: np.array(sorted(v), np.uint64) for k, v in self.grams.items()}
-
-    def hits(self, doc: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """Width, position and n-gram of those in the document that some item has."""
-        for width, known in self.sorted.items():
-            w = windows(doc, width)
-            if len(w):
-                at = np.searchsorted(known, w)
-                at[at == len(known)] = 0
-                for p in np.flatnonzero(known[at] == w).tolist():
-                    yield width, p, int(w[p])
-
-
-def signed(g: int) -> int:
-    return g - (1 << 64) if g >= 1 << 63 else g
+            by_width[width].append((k, windows(w, width)))
+        self.index = {}
+        for width, found in sorted(by_width.items()):
+            grams = mix(np.concatenate([g for _, g in found]) + np.uint64(width))
+            item = np.repeat([k for k, _ in found], [len(g) for _, g in found])
+            place = np.concatenate([np.arange(len(g)) for _, g in found])
+            order = np.argsort(grams, kind="stable")
+            known, first = np.unique(grams[order], return_index=True)
+            self.index[width] = (known, np.append(first, len(grams)), item[order], place[order])
+
+    def hits(self, doc: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Per width: positions in the document whose n-gram some item has, and the n-gram's number in the index."""
+        for width, (known, *_) in self.index.items():
+            w = mix(windows(doc, width) + np.uint64(width))
+            at = np.searchsorted(known, w)
+            at[at == len(known)] = 0
+            p = np.flatnonzero(known[at] == w)
+            if len(p):
+                yield width, p, at[p]
+
+    def grams(self, doc: np.ndarray) -> list[int]:
+        """The document's distinct seeds, as signed numbers."""
+        found = [self.index[width][0][at] for width, _, at in self.hits(doc)]
+        return np.unique(np.concatenate(found)).view(np.int64).tolist() if found else []
+
+    def seeds(self, doc: np.ndarray, counts: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Per item: the diagonals of its seeds in the document, and in how many documents each seed stands."""
+        found = []
+        for width, p, at in self.hits(doc):
+            known, first, item, place = self.index[width]
+            n = first[at + 1] - first[at]
+            flat = np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            rarity = counts[1][np.searchsorted(counts[0], known[at])]
+            found.append((item[flat], np.repeat(p, n) - place[flat], np.repeat(rarity, n)))
+        if found:
+            item, diagonal, rarity = map(np.concatenate, zip(*found, strict=True))
+            order = np.argsort(item, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(item[order])) + 1):
+                yield int(item[part[0]]), diagonal[part], rarity[part]
+
+
+_made: dict[str, Items] = {}
+
+
+def _items(key: str, rows, n: int) -> Items:
+    """The index of a block, made once per worker; only the last one is held."""
+    if key not in _made:
+        _made.clear()
+        _made[key] = Items(rows.value, n)
+    return _made[key]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, min_score: float = 0.6, block_bytes: int = 16_000_000) -> DataFrame:
@@ -134,35 +167,34 @@ def _found(docs: DataFrame, benchmark: DataFrame, n: int = 4, min_score: float =
 
 
 def _block(docs: DataFrame, rows, n: int, min_score: float) -> DataFrame:
+    key = uuid.uuid4().hex
+
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        items = Items(rows.value, n)
+        items = _items(key, rows, n)
         for b in batches:
             out = []
             for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
-                got = sorted({signed(g) for _, _, g in items.hits(word_hashes(fold_words(text)))})
+                got = items.grams(word_hashes(fold_words(text)))
                 if got:
                     out.append((None if pd.isna(doc_id) else int(doc_id), text, got))
             yield pd.DataFrame(out, columns=["doc_id", "text", "grams"]).astype({"doc_id": "Int64"})
 
     hit = stage(docs.select("doc_id", "text").mapInPandas(find, "doc_id long, text string, grams array<long>"), "seed-hits")
-    counts = {r[0] & (1 << 64) - 1: r[1] for r in hit.select(F.explode("grams").alias("g")).groupBy("g").count().collect()}  # at most the block's n-grams
-    frequency = docs.sparkSession.sparkContext.broadcast(counts)
+    seen = hit.select(F.explode("grams").alias("g")).groupBy("g").count().toPandas()  # at most the block's n-grams
+    seen = seen.assign(g=seen["g"].to_numpy(np.int64).view(np.uint64)).sort_values("g")
+    frequency = docs.sparkSession.sparkContext.broadcast((seen["g"].to_numpy(), seen["count"].to_numpy(np.int64)))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        items, counts = Items(rows.value, n), frequency.value
+        items = _items(key, rows, n)
         for b in batches:
             out = []
-            for doc_id, text, key in zip(b["doc_id"], b["text"], b["text_key"], strict=True):
+            for doc_id, text, of_text in zip(b["doc_id"], b["text"], b["text_key"], strict=True):
                 doc = word_hashes(fold_words(text))
-                diagonals = defaultdict(list)
-                for width, p, g in items.hits(doc):
-                    for i, q in items.grams[width][g]:
-                        diagonals[i].append((p - q, counts[g]))
-                for i, d in sorted(diagonals.items()):
-                    item, (on, rarity) = items.words[i], np.array(d).T
-                    got, start, end = best_region(item, doc, on, rarity, min_score * 2 * len(item))
+                for i, diagonals, rarity in items.seeds(doc, frequency.value):
+                    item = items.words[i]
+                    got, start, end = best_region(item, doc, diagonals, rarity, min_score * 2 * len(item))
                     if got >= min_score * 2 * len(item):
-                        out.append((None if pd.isna(doc_id) else int(doc_id), items.ids[i], got / (2 * len(item)), len(item), start, end, key))
+                        out.append((None if pd.isna(doc_id) else int(doc_id), items.ids[i], got / (2 * len(item)), len(item), start, end, of_text))
             columns = ["doc_id", "item_id", "score", "n_item_words", "start_word", "end_word", "text_key"]
             yield pd.DataFrame(out, columns=columns, dtype=object).astype({"doc_id": "Int64", "item_id": "Int64"})
 
