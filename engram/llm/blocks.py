@@ -103,7 +103,7 @@ def unpack_sorted(data: bytes) -> np.ndarray:
 
 def bucket_edges(keys: np.ndarray, n_buckets: int) -> np.ndarray:
     """Where each bucket begins in sorted keys: buckets are equal slices of the 64-bit range."""
-    step = (1 << 64) // n_buckets + 1
+    step = -(-(1 << 64) // n_buckets)
     return np.append(np.searchsorted(keys, np.array([i * step for i in range(n_buckets)], np.uint64)), len(keys))
 
 

@@ -1,18 +1,21 @@
 """Substring dedup over words by a log-structured fingerprint index.
 
 The index is a set of immutable sorted runs of window fingerprints, cut into buckets by
-leading bits. A batch of documents becomes new runs; each bucket merge-joins its runs, and
-equal fingerprints are verified by a second 64-bit hash of another base. ``compact`` merges
-the runs of a bucket into one, after which later batches meet a single historical run.
-
-The query takes the whole table as one batch, in blocks that are each a run: words covered
-by a window that also starts elsewhere go, in every place it starts. Only windows whose
-anchor (see blocks.Anchors) repeats are sent; that filter loses no repeated window.
+leading bits. A batch of documents becomes a new run; runs of one level are compacted into
+one of the next as soon as there are ``fan_in`` of them; and the fingerprints of blocks of
+documents are merge-joined with all runs, which tell those that more than one block has.
+
+The query adds its table batch by batch. What goes into its index are the fingerprints that
+windows select as their anchors (see blocks.Anchors): a window whose anchor occurs once has
+no equal. The windows with repeated anchors are then verified by 128 bits, two hashes of
+different bases, and every word covered by a window that also starts elsewhere goes.
+``IncrementalDedup`` holds all windows of its history by 128 bits and judges each new batch.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
@@ -25,7 +28,8 @@ from .common import covered, free_shuffles, new_path, stage, windows, word_hashe
 
 WINDOW, GRAM = 35, 8
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-HISTORY = -1
+#: The rows of a run: a bucket's fingerprints as packed_run has them, and their number.
+LEVEL = "bucket int, n long, data binary"
 
 
 def read(payload: bytes):
@@ -74,10 +78,10 @@ def _kept(ids, words: list[list[bytes]], gone: np.ndarray, with_text: bool) -> p
     return pa.table({n: pa.array(c, k) for n, c, k in zip(names, columns, kinds, strict=False)})
 
 
-def substring_dedup(docs: DataFrame, with_text: bool = True, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+def substring_dedup(docs: DataFrame, with_text: bool = True, block_bytes: int = B.BLOCK_BYTES, batches: int = 4, fan_in: int = 4) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_sha256 (, kept_text).
 
-    Words are runs of bytes outside ASCII white space, unchanged; null text has none. A text
+    The table goes into the index in ``batches``. Words are runs of bytes outside ASCII white space, unchanged; null text has none. A text
     of fewer words than a window loses nothing. Windows are judged on the input. Repeated rows
     are different documents with equal words, so their windows repeat; a null doc_id stays
     null. An empty table gives an empty result; other columns are ignored.
@@ -85,7 +89,19 @@ def substring_dedup(docs: DataFrame, with_text: bool = True, block_bytes: int =
     spark = docs.sparkSession
     held = B.make_blocks(docs, block_bytes)
     n_anchor, n_window = _widths(B.total_bytes(held))
-    anchors = B.anchor_answers(held, read, WINDOW, GRAM, n_anchor)
+    index = FingerprintIndex(spark, n_anchor, fan_in)
+
+    def name(block: int, payload: bytes) -> pa.Table:
+        *_, hashes, sizes = read(payload)
+        return B.run_table(B.runs_of(B.Anchors(hashes, sizes, WINDOW, GRAM).keys, block, n_anchor))
+
+    added = None
+    for batch in batches_of(held, batches):
+        runs = stage(B.per_block(batch, name, B.RUN), "batch")
+        index.add(runs)
+        added = runs if added is None else added.unionByName(runs)
+    index.compact()
+    anchors = stage(index.judge(added), "anchors")
     free_shuffles(spark)
 
     def send(block: int, payload: bytes, answers: pa.Table) -> pa.Table:
@@ -113,31 +129,192 @@ def substring_dedup(docs: DataFrame, with_text: bool = True, block_bytes: int =
     return B.with_answers(held, both, remove, RESULT + ", kept_text string" * with_text)
 
 
+def batches_of(held: DataFrame, batches: int) -> list[DataFrame]:
+    """Blocks by the task that made them, which Parquet's statistics tell apart, so that a batch reads its own files."""
+    last = held.agg(F.max("block")).first()[0]
+    n = 1 if last is None else (last >> 33) + 1
+    edges = sorted({n * k // batches for k in range(batches + 1)})
+    return [held.where((F.col("block") >= a << 33) & (F.col("block") < b << 33)) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def packed_run(keys: np.ndarray, second: np.ndarray | None, many: np.ndarray) -> bytes:
+    """Sorted fingerprints of 64 or 128 bits, with a bit for those that more than one block has."""
+    return B.pack_sorted(keys) + (b"" if second is None else second.astype("<u8").tobytes()) + np.packbits(many).tobytes()
+
+
+def unpacked_run(data: bytes, wide: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+    keys, at = B.unpack_sorted(data), B.packed_size(data)
+    n = len(keys)
+    second = np.frombuffer(data, "<u8", n, at) if wide else None
+    many = np.unpackbits(np.frombuffer(data, np.uint8, -(-n // 8), at + 8 * n * wide), count=n).astype(bool)
+    return keys, second, many
+
+
+def merged(parts: list[tuple[np.ndarray, np.ndarray | None, np.ndarray]]) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+    """One sorted run of several: a fingerprint in two of them is in more than one block."""
+    keys, many = np.concatenate([p[0] for p in parts]), np.concatenate([p[2] for p in parts])
+    second = None if parts[0][1] is None else np.concatenate([p[1] for p in parts])
+    order = np.argsort(keys, kind="stable") if second is None else np.lexsort((second, keys))
+    keys, many = keys[order], many[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    if second is not None:
+        second = second[order]
+        new[1:] |= second[1:] != second[:-1]
+    first = np.flatnonzero(new)
+    held = np.diff(np.append(first, len(keys)))
+    return keys[first], None if second is None else second[first], (np.maximum.reduceat(many, first) if len(first) else many) | (held > 1)
+
+
+def many_of(index: tuple, keys: np.ndarray, second: np.ndarray | None) -> np.ndarray:
+    """Whether the index, which holds these sorted fingerprints, knows each from more than one block."""
+    held, other, many = index
+    at = np.searchsorted(held, keys, "left")
+    while second is not None:  # fingerprints that agree in 64 bits only stand next to each other
+        wrong = other[at] != second
+        if not wrong.any():
+            break
+        at[wrong] += 1
+    return many[at]
+
+
 class FingerprintIndex:
-    """Windows of all batches so far, for incremental dedup.
+    """A log-structured set of fingerprints of 64 bits, or of 128 (wide).
 
-    Runs lie in one folder each, written once. ``add`` merge-joins a batch with the historical
-    runs and returns one row per document of the batch: doc_id, n_words, n_removed (words
-    covered by a window that history or the batch itself also has), kept_sha256 (, kept_text).
-    Documents of earlier batches are not judged again. ``compact`` merges all runs of a bucket
-    into one. The number of buckets is fixed when the index is made. No query uses the index.
+    A run lies in a folder of its own, written once; names are never used again. Every change
+    ends with a new manifest, so an index is reopened as its last one lists it, and the files of a change
+    that was cut short are never read. The number of buckets is a parameter; ``grow`` doubles it
+    before a batch that would fill buckets beyond ``per_bucket`` fingerprints, and runs with
+    fewer buckets are cut when they are read.
     """
 
-    def __init__(self, spark: SparkSession, n_buckets: int = 12, folder: str | None = None):
-        self.spark, self.n_buckets = spark, n_buckets
+    def __init__(self, spark: SparkSession, n_buckets: int = 16, fan_in: int = 4, wide: bool = False, folder: str | None = None, per_bucket: int = 3_000_000):
+        self.spark, self.n_buckets, self.fan_in, self.wide, self.per_bucket = spark, n_buckets, fan_in, wide, per_bucket
         self.folder = folder or new_path(spark, "index")
-        self.runs: list[str] = []
-        self.written = 0  # names are never used again, also after compaction
+        self.runs: list[tuple[int, int, int, str]] = []  # level, buckets, fingerprints, path
+        self.written = 0
+
+    @classmethod
+    def reopen(cls, spark: SparkSession, folder: str, **options) -> FingerprintIndex:
+        out = cls(spark, folder=folder, **options)
+        last = spark.read.parquet(f"{folder}/manifest-*").orderBy(F.desc("written")).first()
+        out.written, out.n_buckets, out.wide = last["written"], last["n_buckets"], last["wide"]
+        out.runs = [tuple(r) for r in last["runs"]]
+        return out
+
+    def _commit(self) -> None:
+        self.written += 1
+        row = [(self.written, self.n_buckets, self.wide, self.runs)]
+        schema = "written long, n_buckets int, wide boolean, runs array<struct<level: int, n_buckets: int, n: long, path: string>>"
+        self.spark.createDataFrame(row, schema).coalesce(1).write.parquet(f"{self.folder}/manifest-{self.written:06d}")
 
-    def _next(self, kind: str) -> str:
+    def _write(self, rows: DataFrame, level: int) -> None:
         self.written += 1
-        return f"{self.folder}/{kind}-{self.written:05d}"
+        path = f"{self.folder}/run-{self.written:06d}"
+        rows.write.parquet(path)
+        n = self.spark.read.schema(LEVEL).parquet(path).agg(F.sum("n")).first()[0] or 0
+        self.runs.append((level, self.n_buckets, n, path))
+
+    def _read(self, runs: list) -> DataFrame:
+        """The rows of the runs, in today's buckets."""
+        wide, n_buckets, out = self.wide, self.n_buckets, self.spark.createDataFrame([], LEVEL)
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for data in batch.column(2).to_pylist():
+                    keys, second, many = unpacked_run(data, wide)
+                    edges, rows = B.bucket_edges(keys, n_buckets), []
+                    for i in np.flatnonzero(np.diff(edges)).tolist():
+                        part = slice(edges[i], edges[i + 1])
+                        rows.append({"bucket": i, "n": int(edges[i + 1] - edges[i]), "data": packed_run(keys[part], second[part] if wide else None, many[part])})
+                    yield pa.RecordBatch.from_pylist(rows, pa.schema([("bucket", pa.int32()), ("n", pa.int64()), ("data", pa.binary())]))
+
+        for _, n, _, path in runs:
+            rows = self.spark.read.schema(LEVEL).parquet(path)
+            out = out.unionByName(rows if n == n_buckets else rows.mapInArrow(cut, LEVEL))
+        return out
+
+    def grow(self, n_new: int) -> None:
+        """Room for that many new fingerprints, before their runs are made with ``n_buckets``."""
+        while sum(r[2] for r in self.runs) + n_new > self.per_bucket * self.n_buckets:
+            self.n_buckets *= 2
+
+    def add(self, batch: DataFrame) -> None:
+        """Adds the fingerprints of a batch, given as the runs (bucket, block, data) of its blocks; every block once."""
+        wide = self.wide
+
+        def one(table: pa.Table) -> pa.Table:
+            parts = []
+            for data in table.column("data").to_pylist():
+                keys = B.unpack_sorted(data)
+                parts.append((keys, np.frombuffer(data, "<u8", len(keys), B.packed_size(data)) if wide else None, np.zeros(len(keys), bool)))
+            run = merged(parts)
+            return _level_row(table.column("bucket")[0].as_py(), run)
+
+        self._write(batch.groupBy("bucket").applyInArrow(one, LEVEL), 0)
+        level = 0
+        while len(full := [r for r in self.runs if r[0] == level]) >= self.fan_in:
+            self._merge(full, level + 1)
+            level += 1
+        self._commit()
+
+    def compact(self) -> None:
+        """Merges all runs into one."""
+        if len(self.runs) > 1:
+            self._merge(self.runs, max(r[0] for r in self.runs))
+            self._commit()
+
+    def _merge(self, runs: list, level: int) -> None:
+        wide = self.wide
+
+        def one(table: pa.Table) -> pa.Table:
+            return _level_row(table.column("bucket")[0].as_py(), merged([unpacked_run(d, wide) for d in table.column("data").to_pylist()]))
+
+        rows = self._read(runs).groupBy("bucket").applyInArrow(one, LEVEL)
+        self.runs = [r for r in self.runs if r not in runs]
+        self._write(rows, level)
+
+    def judge(self, blocks: DataFrame) -> DataFrame:
+        """Answers the runs of blocks that were added with a bit per fingerprint: whether more than one block has it."""
+        wide = self.wide
+
+        def one(table: pa.Table, history: pa.Table) -> pa.Table:
+            index = merged([unpacked_run(d, wide) for d in history.column("data").to_pylist()])
+            out = []
+            for data in table.column("data").to_pylist():
+                keys = B.unpack_sorted(data)
+                second = np.frombuffer(data, "<u8", len(keys), B.packed_size(data)) if wide else None
+                out.append(np.packbits(many_of(index, keys, second)).tobytes())
+            return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "flags": pa.array(out, pa.binary())}) if out else _NO_ANSWER
+
+        history = self._read(self.runs)
+        return blocks.groupBy("bucket").cogroup(history.groupBy("bucket")).applyInArrow(one, B.ANSWER)
+
+
+_NO_ANSWER = pa.table({"block": pa.array([], pa.int64()), "bucket": pa.array([], pa.int32()), "flags": pa.array([], pa.binary())})
 
-    def history(self) -> DataFrame:
-        return self.spark.read.schema(B.RUN).parquet(*self.runs) if self.runs else self.spark.createDataFrame([], B.RUN)
 
-    def add(self, batch: DataFrame, with_text: bool = False) -> DataFrame:
-        held, n_buckets = B.make_blocks(batch), self.n_buckets
+def _level_row(bucket: int, run: tuple) -> pa.Table:
+    return pa.table({"bucket": pa.array([bucket], pa.int32()), "n": pa.array([len(run[0])], pa.int64()), "data": pa.array([packed_run(*run)], pa.binary())})
+
+
+class IncrementalDedup:
+    """Dedup of batches against all batches before them; the index has every window by 128 bits.
+
+    ``add`` returns one row per document of the batch: doc_id, n_words, n_removed (words covered
+    by a window that the history or the batch itself also has), kept_sha256 (, kept_text).
+    Documents of earlier batches are not judged again. Nulls, empty texts and repeated rows are
+    treated as by ``substring_dedup``; an empty batch gives an empty result. A later session goes
+    on with the reopened index.
+    """
+
+    def __init__(self, index: FingerprintIndex):
+        self.index = index
+
+    def add(self, batch: DataFrame, with_text: bool = False, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+        held, index = B.make_blocks(batch, block_bytes), self.index
+        index.grow(B.total_bytes(held) // 6)  # words, about
+        n_buckets = index.n_buckets
 
         def every(payload: bytes):
             ids, words, hashes, sizes = read(payload)
@@ -147,34 +324,16 @@ class FingerprintIndex:
             w = every(payload)[3]
             return B.run_table(B.runs_of(w.keys, block, n_buckets, w.second))
 
-        new = stage(B.per_block(held, send, B.RUN), "batch")
-        answers = B.merge(new.unionByName(self.history().withColumn("block", F.lit(HISTORY).cast("long")))).where(F.col("block") != HISTORY)
+        runs = stage(B.per_block(held, send, B.RUN), "batch")
+        index.add(runs)
 
         def remove(block: int, payload: bytes, answers: pa.Table) -> pa.Table:
             ids, words, hashes, w = every(payload)
             again = w.local | B.flags_of(answers, w.keys, n_buckets)
             return _kept(ids, words, covered(w.starts[again[w.key_of]], WINDOW, len(hashes)), with_text)
 
-        out = stage(B.with_answers(held, stage(answers, "answers"), remove, RESULT + ", kept_text string" * with_text), "batch-result")
-        path = self._next("run")
-        new.write.parquet(path)
-        self.runs.append(path)
-        return out
-
-    def compact(self) -> None:
-        def one(table: pa.Table) -> pa.Table:
-            data = table.column("data").to_pylist()
-            a = np.concatenate([B.unpack_sorted(d) for d in data])
-            b = np.concatenate([np.frombuffer(d, "<u8", offset=B.packed_size(d)) for d in data])
-            order = np.lexsort((b, a))
-            a, b = a[order], b[order]
-            new = np.ones(len(a), bool)
-            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            return B.run_table([(table.column("bucket")[0].as_py(), HISTORY, B.pack_sorted(a[new]) + b[new].astype("<u8").tobytes())])
-
-        path = self._next("compact")
-        self.history().groupBy("bucket").applyInArrow(one, B.RUN).write.parquet(path)
-        self.runs = [path]
+        answers = stage(index.judge(runs), "answers")
+        return stage(B.with_answers(held, answers, remove, RESULT + ", kept_text string" * with_text), "batch-result")
 
 
 ORACLE = r"""
