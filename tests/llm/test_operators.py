@@ -1,11 +1,13 @@
 import hashlib
 import random
+import time
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from engram.llm import decontam, exact_dedup, html_extract, jaccard_join, packing, sharding, substring_dedup, suffix_dedup, warc_zip
+from engram.llm import decontam, exact_dedup, html_extract, jaccard_join, packing, quality, sharding, substring_dedup, suffix_dedup, warc_zip
 from engram.llm.queries import tokenizer_file
 
 DOC = "doc_id long, text string, run int"
@@ -46,8 +48,9 @@ def test_exact(docs):
         assert got[i] == (keep, len(group), i == keep, hashlib.sha256(k.encode()).hexdigest())
 
 
-def test_substring(docs):
-    got = rows(substring_dedup.substring_dedup(docs, with_text=False, block_bytes=2000))
+@pytest.mark.parametrize("batches, fan_in", [(4, 4), (3, 2), (1, 2)])
+def test_substring(docs, batches, fan_in):
+    got = rows(substring_dedup.substring_dedup(docs, with_text=False, block_bytes=2000, batches=batches, fan_in=fan_in))
     words = {i: (t or "").encode().split() for i, t, _ in corpus()}
     count = Counter(tuple(w[s : s + 35]) for w in words.values() for s in range(len(w) - 34))
     for i, w in words.items():
@@ -56,21 +59,29 @@ def test_substring(docs):
         assert got[i] == (len(w), len(gone), hashlib.sha256(kept).hexdigest())
 
 
-def test_fingerprint_index(spark):
-    index, history = substring_dedup.FingerprintIndex(spark, n_buckets=3), Counter()
-    for k, compacted in enumerate((False, True, True, False)):
-        batch = corpus()[k::4]
-        words = {i: (t or "").encode().split() for i, t, _ in batch}
-        history.update(tuple(w[s : s + 35]) for w in words.values() for s in range(len(w) - 34))
-        got = rows(index.add(spark.createDataFrame(batch, DOC).repartition(2)))
-        for i, w in words.items():
+def test_incremental_dedup(spark):
+    """Six batches against plain counting: runs are compacted on the way and at the end, buckets grow, the index is reopened."""
+    index, history = substring_dedup.FingerprintIndex(spark, n_buckets=2, fan_in=2, wide=True, per_bucket=600), Counter()
+    for k in range(6):
+        batch = corpus()[k::6] if k < 5 else [*corpus()[5::6], *corpus()[:3], (None, None, 0)]
+        words = [(i, (t or "").encode().split()) for i, t, _ in batch]
+        history.update(tuple(w[s : s + 35]) for _, w in words for s in range(len(w) - 34))
+        got = substring_dedup.IncrementalDedup(index).add(spark.createDataFrame(batch, DOC).repartition(2)).collect()
+        want = []
+        for i, w in words:
             gone = {x for s in range(len(w) - 34) if history[tuple(w[s : s + 35])] > 1 for x in range(s, s + 35)}
             kept = b" ".join(x for j, x in enumerate(w) if j not in gone)
-            assert got[i] == (len(w), len(gone), hashlib.sha256(kept).hexdigest())
-        if compacted:
+            want.append((i, len(w), len(gone), hashlib.sha256(kept).hexdigest()))
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+        if k == 2:
+            index.compact()
             index.compact()
             assert len(index.runs) == 1
-    assert any(n > 1 for n in history.values())
+        if k == 3:
+            index = substring_dedup.FingerprintIndex.reopen(spark, index.folder, fan_in=2, per_bucket=600)
+    assert index.n_buckets > 2 and any(n > 1 for n in history.values())
+    index.compact()
+    assert index.runs[0][2] == len(history)
 
 
 def test_suffix(docs):
@@ -102,33 +113,60 @@ def test_jaccard(docs, subsets):
     assert got == {i: (len(sets[i]), label[i]) for i in sets}
 
 
-def test_packing(docs):
+def test_packing(spark):
+    """ids, start, crc32, doc_tokens, sequences and padding against the tokenizer; odd and very long texts among them."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_file())
-    got = packing.pack(docs, tokenizer_file()).collect()
-    texts = {i: t or "" for i, t, _ in corpus()}
-    sequences = {}
-    for i, t in texts.items():
-        want = [*tokenizer.encode(t, add_special_tokens=False).ids, 1]
-        mine = sorted((r for r in got if r.doc_id == i), key=lambda r: r.start)
-        assert [x for r in mine for x in np.frombuffer(r.ids, "<u4").tolist()] == want
+    odd = ["<|endoftext|>", "a <|endoftext|>b<|endoftext|>", "<|endoftext", "\u3000 \n\n  x", "🙂" * 50, "0123456789" * 40_000, "word and другой текст, " * 220_000]
+    texts = [t or "" for _, t, _ in corpus()] + odd
+    got = packing.pack(spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], DOC).repartition(3), tokenizer_file()).collect()
+    of_doc, sequences = {}, {}
     for r in got:
+        of_doc.setdefault(r.doc_id, []).append(r)
         sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for i, t in enumerate(texts):
+        want, at = [*tokenizer.encode(t, add_special_tokens=False).ids, 1], 0
+        for r in sorted(of_doc[i], key=lambda r: r.start):
+            ids = np.array(want[at : at + r.length], "<u4").tobytes()
+            assert (r.start, r.doc_tokens, bytes(r.ids), r.ids_crc32) == (at, len(want), ids, zlib.crc32(ids))
+            at += r.length
+        assert at == len(want)
+    padding = 0
     for pieces in sequences.values():
         at = 0
         for offset, length in sorted(pieces):
             assert offset == at
             at += length
         assert at <= 2048
-
-
-def test_sharding(docs):
-    got = sharding.shard(docs, n_shards=4).collect()
-    for k in range(4):
-        slots = sorted(r.slot for r in got if r.shard == k)
-        assert slots == list(range(len(slots)))
-    assert len(got) == len(corpus())
+        padding += 0 if at & (at - 1) == 0 else 2048 - at
+    assert padding <= 0.01 * sum(r.length for r in got)
+
+
+@pytest.mark.parametrize("rows_per_range", [1_000_000, 1])
+def test_sharding(spark, rows_per_range):
+    """The law, sizes, checksums, slots and equal texts: a few hundred texts, pairs, and one text that a third of the rows hold."""
+    r = random.Random(4)
+    texts = [f"{r.random()} " * r.randint(1, 12) + "é" * r.randint(0, 9) for _ in range(900)]
+    texts += r.sample(texts, 60) + ["a very common text"] * 480 + [None, "", None, ""]
+    ids = [None if i % 50 == 0 else i for i in range(len(texts))]
+    got = sharding.shard(spark.createDataFrame(list(zip(ids, texts, ids, strict=True)), DOC).repartition(3), n_shards=8, rows_per_range=rows_per_range).collect()
+    size = lambda t: len((t or "").encode()) + 16
+    want = sorted((i or -1, size(t), zlib.crc32((t or "").encode())) for i, t in zip(ids, texts, strict=True))
+    assert sorted((x.doc_id or -1, x.size, x.text_crc32) for x in got) == want
+    assert {(x.law, x.grown_shard) for x in got} == {("bytes", None)}
+    share = sum(map(size, texts)) / 8
+    for k in range(8):
+        mine = [x for x in got if x.shard == k]
+        assert sorted(x.slot for x in mine) == list(range(len(mine)))
+        assert abs(sum(x.size for x in mine) - share) <= share / 8 + max(map(size, texts))
+    by_text = {}
+    for x in got:
+        by_text.setdefault((x.text_crc32, x.size), []).append(x)
+    for copies in by_text.values():
+        if sum(x.size for x in copies) <= share / 16:
+            assert len({x.shard for x in copies}) == 1
+    assert any(len({x.shard for x in copies}) > 1 for copies in by_text.values())
 
 
 def test_warc(spark):
@@ -152,6 +190,44 @@ def test_html_host(spark):
         assert {i: got[i][1] for i in range(5)} == {i: f"text number {i}" for i in range(5)}
 
 
+def test_html_copies_of_a_page(spark):
+    body = "<div>all our rights are reserved by the owner of this site</div><div>%s</div>"
+    texts = ["a story that was printed three times without any change at all"] * 3 + [f"a story of its own, number {i}, told at some length to the end" for i in range(3)]
+    pages = spark.createDataFrame([(i, "http://h/%d" % i, body % t) for i, t in enumerate(texts)], "page_id long, url string, html string")
+    got = rows(html_extract.extract(pages))
+    assert [got[i][1] for i in range(6)] == texts
+
+
+CONTENT_PAGES = [
+    ('<article><header class="entry-header"><h1>Title</h1></header><p>x</p></article>', ["Title", "x"]),
+    ('<article><div class="article-header"><h1>Title</h1></div><p>x</p><div class="entry-footer">f</div></article>', ["Title", "x"]),
+    ('<aside class="related"><article>Teaser</article></aside><article>Main</article>', ["Main"]),
+    ("<nav><article>Teaser</article></nav><main>Main</main>", ["Main"]),
+    ("<nav><ul><li>a<article>Main</article>", ["Main"]),
+    ('<main><div class="comment-list"><p>no</p></div><p>yes<div id="newsletter">no</div><form>no</form></main>', ["yes"]),
+    ("<article>a<script>b</script><style>c</style>&eacute;&#33; \n d<!-- e --><div style='display:none'>f</div></article>", ["aé! d"]),
+]
+
+
+@pytest.mark.parametrize("page, want", CONTENT_PAGES)
+def test_html_content(page, want):
+    assert [t for k, t in html_extract.blocks(page) if k == html_extract.CONTENT] == want
+
+
+def test_html_without_article():
+    assert html_extract.blocks('<body><div class="content no-sidebar"><p>text</p></div></body>') == [(html_extract.OTHER, "text")]
+    for cell in ("menu", "<div>menu</div>"):
+        page = f'<table><tr><td class="sidebar">{cell}</td><td>text</td></tr><tr><td>more</td></tr></table>'
+        assert html_extract.blocks(page) == [(html_extract.CHROME, "menu"), (html_extract.OTHER, "text"), (html_extract.OTHER, "more")]
+
+
+def test_html_deep_pages_take_linear_time():
+    began = time.process_time()
+    for page in ("<div>" * 40_000, "<span>" * 40_000 + "x" + "</span>" * 40_000, "<nav><article>x</article>" * 20_000, "<span class=ad>" + "<div>a</span>" * 20_000):
+        html_extract.blocks(page)
+    assert time.process_time() - began < 20  # a walk over the open elements at each tag took a minute for the first alone
+
+
 def test_html_edges(spark):
     kinds = "page_id long, url string, html string, host string, chunk int"
     assert html_extract.extract(spark.createDataFrame([], kinds)).count() == 0
@@ -241,6 +317,38 @@ def test_empty_and_null(spark, f):
     assert f(spark.createDataFrame([(None, None, 1), (None, "a b", 2)], DOC)).count() == 2
 
 
+def test_flattened_trees():
+    """The arrays walked in numpy against a walk node by node, and what the trees learn."""
+    r = np.random.default_rng(1)
+    x = r.normal(size=(600, quality.N_FEATURES))
+    y = ((x[:, 3] > 0) ^ (x[:, 7] > 0.3)).astype(float)
+    trees = quality.fit(x[:400], y[:400], n_trees=30, depth=3)
+
+    def walk(row):
+        total = trees.base
+        for feature, threshold, leaf in zip(trees.feature, trees.threshold, trees.leaf, strict=True):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if row[feature[node]] > threshold[node] else 1)
+            total += leaf[node - len(feature)]
+        return 1 / (1 + np.exp(-total))
+
+    scores = trees.score(x)
+    assert scores == pytest.approx([walk(row) for row in x])
+    assert ((scores[400:] > 0.5) == y[400:]).mean() > 0.9
+    assert len(trees.score(x[:0])) == 0
+
+
+def test_quality_repeated_rows(spark):
+    """A repeated doc_id gives one row of the sample, so its bound holds; odd texts are scored."""
+    docs = [(i, f"text number {i}! " * (i % 9 + 1), 0) for i in range(60)] + [(7, "the same doc_id again", k) for k in range(40)] + [(None, None, 0), (61, "", 0), (62, "x" * 2_000_000, 0)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    frame = spark.createDataFrame(docs, DOC).repartition(3)
+    assert len(quality.sample(frame, labels, 1000)) <= 60
+    got = quality.score(frame, labels).collect()
+    assert len(got) == len(docs) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
+
+
 def test_packing_empty_and_null(spark):
     assert packing.pack(spark.createDataFrame([], DOC), tokenizer_file()).count() == 0
     pieces = packing.pack(spark.createDataFrame([(None, None, 1), (None, "a b", 2)], DOC), tokenizer_file()).collect()
