@@ -8,7 +8,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from engram.config import DEFAULT, LONGMEMEVAL
-from engram.functions import models
 from engram.functions import prompts as P
 from engram.functions import text as T
 from engram.operators import dialogue as D

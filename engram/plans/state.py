@@ -1,13 +1,17 @@
 """Cutting of lineage between rounds, in the folder that the cluster shares."""
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in spark.checkpoint.dir; a folder is made only where the session names none, as in tests."""
+    """A reliable checkpoint in spark.checkpoint.dir; a folder is made only where the session names none and all runs in one process, as in tests."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not path and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp())
     return df.checkpoint()

@@ -278,3 +278,98 @@ def test_cells_of_a_large_graph(spark, monkeypatch):
     want = sorted(map(tuple, G.similarity_edges(n, e, catalog.LINKED).collect()))
     monkeypatch.setattr(G, "CELL_NODES", 7)
     assert sorted(map(tuple, G.similarity_edges(n, e, catalog.LINKED).collect())) == want
+
+
+def test_greedy_clusters_against_loops(spark):
+    n, e = catalog._linked(spark, SF)
+    hubs = G.hubs(G.degrees(n, e)).collect()
+    near = {}
+    for r in e.collect():
+        near.setdefault((r.graph_id, r.src), []).append((-round(r.weight, 12), r.dst))
+    want = []
+    for g in sorted({r.graph_id for r in hubs}):
+        done = set()
+        for h in sorted((r for r in hubs if r.graph_id == g), key=lambda r: r.hub_rank):
+            if h.node_id in done:
+                continue
+            members = [h.node_id] + [d for _, d in sorted(near[g, h.node_id])[:7] if d not in done and d != h.node_id]
+            done.update(members)
+            if len(members) >= 2:
+                want.append((g, h.node_id, ",".join(map(str, members))))
+    got = [tuple(r) for r in catalog.QUERIES["greedy_clusters"](spark, SF).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 20
+
+
+def test_consolidation_plan_against_loops(spark):
+    clusters = catalog.QUERIES["greedy_clusters"](spark, SF).collect()
+    want = {(r.graph_id, r.hub): "\n".join(f"node {m}" for m in r.members.split(",")) for r in clusters}
+    assert {(r.graph_id, r.hub): r.texts for r in catalog.QUERIES["consolidation_plan"](spark, SF).collect()} == want
+
+
+def conversations(spark):
+    """Turns of each conversation by plain loops."""
+    by_conv, turns = {}, {}
+    for r in catalog.read(spark, SF, "conversations").collect():
+        by_conv.setdefault(r.conv_id, []).append(r)
+    for conv, rows in by_conv.items():
+        rows.sort(key=lambda r: r.turn)
+        turns[conv] = [(a.text, b.text) for a, b in zip(rows, rows[1:], strict=False) if (a.role, b.role) == ("user", "assistant")]
+    return {k: v for k, v in turns.items() if v}
+
+
+def test_memory_graph_against_loops(spark):
+    encode_one = models.hashed_encoder()
+    got = {}
+    for r in catalog.QUERIES["memory_graph"](spark, SF).collect():
+        got.setdefault(r.graph_id, {})[r.node_seq] = r
+    turns = conversations(spark)
+    assert set(got) == set(turns)
+    for conv, pairs in turns.items():
+        assert sorted(got[conv]) == list(range(len(pairs)))
+        for k, (user, ai) in enumerate(pairs):
+            r, text = got[conv][k], f"User: {user}\nAI: {ai}"
+            v = encode_one([text])[0]
+            assert (r.content, r.role, r.node_id) == (text, "interaction", k)
+            assert r.embedding == pytest.approx((v / ((v**2).sum() ** 0.5 or 1)).tolist(), abs=1e-6)
+
+
+def first_lines(text):
+    return [x.strip() for x in text.splitlines() if x.strip()][:3]
+
+
+def test_extraction_against_loops(spark):
+    """Buffers of ten turns, the default model's three lines of each, and the profile that is folded from them."""
+    turns = conversations(spark)
+    facts, profiles = [], {}
+    for conv, pairs in turns.items():
+        profile = ""
+        for batch in range(-(-len(pairs) // 10)):
+            found = first_lines("\n".join(f"User: {u}\nAI: {a}" for u, a in pairs[10 * batch : 10 * batch + 10]))
+            facts += [(conv, batch, k, x.lstrip("- ").strip(), "assistant") for k, x in enumerate(found)]
+            new = "\n".join(f"- {x}" for x in found)
+            profile = "\n".join(f"- {x}" for x in first_lines(f"{profile}\n{new}")) if profile else new
+        profiles[conv] = profile
+    got = catalog.QUERIES["extracted_facts"](spark, SF).collect()
+    assert sorted((r.graph_id, r.batch, r.line_no, r.content, r.kind) for r in got) == sorted(facts)
+    assert {r.graph_id: r.data for r in catalog.QUERIES["profile_fold"](spark, SF).collect()} == profiles
+
+
+def test_consolidated_facts_against_loops(spark):
+    plan = catalog.QUERIES["greedy_clusters"](spark, SF).collect()
+    want = []
+    for r in plan:
+        texts = "\n\n---\n\n".join(f"passage of node {m}" for m in r.members.split(","))
+        want += [(r.graph_id, r.hub, k, x) for k, x in enumerate(first_lines(texts)) if len(x) > 10]
+    got = [(r.graph_id, r.hub, r.line_no, r.content) for r in catalog.QUERIES["consolidate"](spark, SF).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_answers_against_loops(spark):
+    """The prompt's parts and the answer, which is the first line of the best memory."""
+    turns = conversations(spark)
+    got = {r.query_id: r for r in catalog.QUERIES["answer_question"](spark, SF).collect()}
+    assert set(got) == set(turns)
+    for conv, r in got.items():
+        users = [u.split("\n")[0] for u, _ in turns[conv]]
+        assert r.prompt.startswith(answer.INSTRUCTION) and r.prompt.endswith(f"Today: 2024-02-01\n\nQuestion: {turns[conv][-1][0]}")
+        assert "About the assistant:\n- " in r.prompt and "About the user:\n- " in r.prompt and r.error is None and r.answer in users
