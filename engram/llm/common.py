@@ -6,6 +6,7 @@ Word rule of the contracts: words are maximal runs of bytes outside
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,19 +17,30 @@ from pyspark.sql import functions as F
 #: The white space deleted or split on by the contracts.
 WHITESPACE = " \t\n\x0b\x0c\r"
 _own_dirs: dict[str, str] = {}
+_cleaned: set[str] = set()
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share; a temporary one only where none is set."""
+    """Folder that driver and executors share: spark.checkpoint.dir, or a temporary one where all runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         base = _own_dirs.setdefault(app, "file://" + tempfile.mkdtemp(prefix="engram-"))
     return base.rstrip("/")
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_dir(spark)}/engram/{uuid.uuid4().hex}-{label}"
+    """A new path in the application's part of the shared folder, which is deleted when the driver's JVM ends."""
+    top = f"{scratch_dir(spark)}/engram/{spark.sparkContext.applicationId}"
+    if top not in _cleaned:
+        path = spark._jvm.org.apache.hadoop.fs.Path(top)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _cleaned.add(top)
+    return f"{top}/{uuid.uuid4().hex}-{label}"
 
 
 #: Rows in a file of a staged table whose number of rows is known.
@@ -82,6 +94,15 @@ def doc_text(text: str = "text"):
     return F.coalesce(F.col(text), F.lit(""))
 
 
+def beside(df: DataFrame, key: str) -> DataFrame:
+    """The rows with a second join key made of the first.
+
+    A join by both keys shuffles its sides on its own account, also one that was just grouped by
+    the first key; only then can Spark split the rows of a hot key over tasks.
+    """
+    return df.withColumn("beside", F.pmod(F.hash(key), F.lit(7)))
+
+
 def text_key(text: str = "text"):
     """64 bits of a text, which tell rows of one doc_id apart; null text counts as empty."""
     return F.xxhash64(doc_text(text))

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import beside, new_path
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -193,14 +193,15 @@ def _open(uri: str):
 def resolve(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
     """page_id, url, html, digest and refers_to (null: the record is a response) of every row.
 
-    Identities are settled on (page_id, digest) pairs alone; the html itself is joined once,
-    by a key that no group of copies makes hot.
+    Null html is empty. Of equal payloads of at least ``min_bytes`` the smallest page_id is referred
+    to; a null page_id only by none. Repeated rows are kept. Identities are settled on
+    (page_id, digest) pairs alone; the html itself is joined once, by a key that no group of copies makes hot.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("n"))
     ids = rows.select("page_id", "digest", "n").where(F.col("n") >= min_bytes).groupBy("page_id", "digest").agg(F.lit(1).alias("one"))
     first = ids.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("m")).where("m > 1")
-    later = ids.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "refers_to")
+    later = beside(ids, "digest").join(beside(first, "digest"), ["digest", "beside"]).where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "refers_to")
     return rows.join(later, rows["page_id"].eqNullSafe(later["_id"]) & (rows["digest"] == later["_digest"]), "left").select("page_id", "url", "html", "digest", "refers_to")
 
 
@@ -252,7 +253,8 @@ def read_packages(spark: SparkSession, packages: DataFrame) -> DataFrame:
     """One row per record of the packages: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     A response's length and digest are taken from the payload that was read and checked against
-    its header; a revisit's are those of the full payload, from its headers.
+    its header; a revisit's are those of the full payload, from its headers. A record without a
+    page_id has a null one; repeated records are repeated rows; without packages there are none.
     """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -276,7 +278,11 @@ def read_packages(spark: SparkSession, packages: DataFrame) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, **options) -> DataFrame:
-    """Writes ``pages`` as packages in the shared folder and reads all of them back."""
+    """Writes ``pages`` as packages in the shared folder and reads all of them back.
+
+    One row per input row, repeated ones too; nulls are treated as by ``write_packages``; an empty
+    table gives an empty result; other columns are ignored.
+    """
     spark = pages.sparkSession
     folder = folder or new_path(spark, "packages")
     listed = new_path(spark, "package-list")
