@@ -122,8 +122,8 @@ def evaluate_sessions(spark: SparkSession, source: str, memory: str, out: str, a
     state = kept(state.withColumn("status", S.status(F.col("bad").isNotNull(), F.col("known").isNull(), F.col("filled").isNull())).drop("bad", "known", "filled"))
     ready = state.where("status = 'evaluated'")
     nodes_now, edges_now = (df.join(ready.select("graph_id"), "graph_id", "left_semi") for df in (nodes, edges))
-    facts = E.consolidate(nodes_now, edges_now, extractor, c)
-    own = knowledge["nodes"].join(ready.select("graph_id"), "graph_id", "left_semi")
+    facts = kept(E.consolidate(nodes_now, edges_now, extractor, c))
+    own = tuple(knowledge[k].join(ready.select("graph_id"), "graph_id", "left_semi") for k in ("nodes", "edges"))
     fact_nodes, fact_edges = (kept(df) for df in E.grown_knowledge(own, facts, F.lit(as_of), encoder))
     store.save_graph(fact_nodes, fact_edges, f"{memory}/knowledge/knowledge")
     knowledge = {**knowledge, "nodes": fact_nodes, "edges": fact_edges}

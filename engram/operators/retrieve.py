@@ -4,14 +4,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.config import DEFAULT, MemoryConfig
-from engram.functions.text import dot, keyword_score
+from engram.functions.text import dot, keyword_score, time_decay
 
 
 def base_scores(nodes: DataFrame, queries: DataFrame, c: MemoryConfig = DEFAULT) -> DataFrame:
-    """Similarity rescaled to 0..1 and the enhanced score; queries meet the nodes of their graph only."""
+    """Similarity rescaled to 0..1 and the enhanced score; queries meet the nodes of their graph only.
+
+    With ``decay_mode`` "exponential" the enhanced score decays with the time from a node's ts to the query's
+    ``asked_at`` (a timestamp); by default it does not.
+    """
     s = nodes.join(queries, "graph_id").withColumn("base", (dot(F.col("embedding"), F.col("q_embedding")) + 1) / 2)
     kw = keyword_score(F.col("q_keywords"), F.col("keywords")) if c.use_keywords and "q_keywords" in queries.columns else F.lit(0.0)
-    return s.withColumn("enh", F.col("base") + F.lit(c.keyword_weight) * kw).drop("embedding", "q_embedding")
+    enh = F.col("base") + F.lit(c.keyword_weight) * kw
+    if c.decay_mode == "exponential":
+        enh = enh * time_decay(F.col("ts"), F.col("asked_at"), c.tau)
+    return s.withColumn("enh", enh).drop("embedding", "q_embedding")
 
 
 def boosts(scores: DataFrame, edges: DataFrame, c: MemoryConfig = DEFAULT) -> DataFrame:

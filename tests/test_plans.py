@@ -10,6 +10,7 @@ from engram.functions import models, prompts
 from engram.functions import text as T
 from engram.operators import graph as G
 from engram.operators import knowledge as K
+from engram.operators import retrieve as R
 from engram.plans import answer, encode
 from engram.sources import store
 from engram.streaming.ingest import ingest
@@ -373,3 +374,21 @@ def test_answers_against_loops(spark):
         users = [u.split("\n")[0] for u, _ in turns[conv]]
         assert r.prompt.startswith(answer.INSTRUCTION) and r.prompt.endswith(f"Today: 2024-02-01\n\nQuestion: {turns[conv][-1][0]}")
         assert "About the assistant:\n- " in r.prompt and "About the user:\n- " in r.prompt and r.error is None and r.answer in users
+
+
+def test_remember_goes_on(spark):
+    kinds = "graph_id string, session_seq int, turn_seq int, ts string, user_text string, ai_text string"
+    n, e = encode.memory_graph(spark.createDataFrame([("x", 1, i, None, f"u{i}", "a") for i in range(2)] + [("y", 1, 0, None, "v", "a")], kinds))
+    e = e.withColumn("weight", F.lit(0.7))
+    nodes, edges = encode.remember((n, e), spark.createDataFrame([("x", 2, i, "t", f"w{i}", "a") for i in range(2)] + [("z", 1, 0, "t", "z", "a")], kinds))
+    assert sorted((r.graph_id, r.node_id, r.content.split("\n")[0]) for r in nodes.collect()) == [("x", 0, "User: u0"), ("x", 1, "User: u1"), ("x", 2, "User: w0"), ("x", 3, "User: w1"), ("y", 0, "User: v"), ("z", 0, "User: z")]
+    assert {(r.src, r.dst): r.weight for r in edges.where("graph_id = 'x' AND src < dst").collect()} == {(0, 1): 0.7, (1, 2): 0.5, (2, 3): 0.5}
+    assert edges.where("graph_id <> 'x'").count() == 0
+
+
+def test_decay_mode(spark):
+    n = catalog.vec_nodes(spark, SF).withColumn("ts", F.lit("2024-01-01 00:00:00"))
+    q = catalog.vec_queries(n).withColumn("asked_at", F.lit("2024-01-02 00:00:00").cast("timestamp"))
+    plain = {(r.query_id, r.node_id): r.enh for r in R.base_scores(n, q).collect()}
+    decayed = {(r.query_id, r.node_id): r.enh for r in R.base_scores(n, q, replace(catalog.DEFAULT, decay_mode="exponential", tau=86400.0)).collect()}
+    assert all(decayed[k] == pytest.approx(v / 2.718281828459045) for k, v in plain.items())
