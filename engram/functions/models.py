@@ -1,5 +1,6 @@
 """Hooks for text models: embedding and completion. The defaults are deterministic and need no network."""
 
+import itertools
 import re
 import time
 import zlib
@@ -50,6 +51,23 @@ def recalling_model() -> TextModel:
     return reply
 
 
+def key_list(listed: str | None = None, path: str | None = None, single: str | None = None) -> list[str]:
+    """Access keys for a hosted model: of a comma list, else the lines of a file, else the single one; the first that has any."""
+    found = [k.strip() for k in (listed or "").split(",") if k.strip()]
+    if not found and path:
+        with open(path, encoding="utf-8") as f:
+            found = [k.strip() for k in f if k.strip()]
+    return found or [k for k in [(single or "").strip()] if k]
+
+
+def rotating(make: Callable[[str], TextModel], keys: list[str]) -> TextModel:
+    """A model that takes the keys in turn, a worker on its own; the next try of a failed prompt thus has another key."""
+    if not keys:
+        raise ValueError("no keys")
+    models, turn = [make(k) for k in keys], itertools.cycle(range(len(keys)))
+    return lambda prompt: models[next(turn)](prompt)
+
+
 def embedding(c: Column, make: Callable[[], Encoder] = hashed_encoder) -> Column:
     """Unit vectors, zero vectors unchanged; null texts count as empty. The encoder is made once per task."""
 

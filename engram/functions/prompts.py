@@ -8,6 +8,7 @@ from engram.functions.models import MATERIAL
 FACTS = "List the facts that these related passages state: people, events, preferences and dates. One sentence a line, each behind '- '."
 PROFILE = "Describe the user of this dialogue in one paragraph. Then write the line {marker} and list what is private to the user, one fact a line."
 TRAITS = "List what this dialogue shows about the assistant, one fact a line."
+KEYWORDS = "Name up to three keywords of this text, separated by commas, and nothing else."
 MERGE = "Merge both descriptions of one user; where they disagree, the second holds."
 #: The reply to PROFILE is cut here.
 MARKER = "[PRIVATE]"

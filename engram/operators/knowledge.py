@@ -4,7 +4,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.config import DEFAULT, MemoryConfig
-from engram.functions.text import direction, dot, frequent, strip, tokens
+from engram.functions.models import completion
+from engram.functions.prompts import KEYWORDS, about
+from engram.functions.text import direction, dot, frequent, keywords, strip, tokens
 from engram.operators.retrieve import retrieve
 
 UPDATED = "\n\n--- Updated ---\n"  # a fixed value
@@ -15,6 +17,11 @@ def with_keywords(rows: DataFrame, text: str, most: int = 3, name: str = "keywor
     return rows.withColumn(name, frequent(tokens(F.coalesce(F.col(text), F.lit(""))), most))
 
 
+def with_model_keywords(rows: DataFrame, text: str, make, name: str = "keywords") -> DataFrame:
+    """The keywords that a text model names, however many; none where it fails."""
+    return rows.withColumn(name, keywords(completion(about(KEYWORDS, F.coalesce(F.col(text), F.lit(""))), make)))
+
+
 def fold_profiles(updates: DataFrame, key: str, order: list[Column], data: str, merge: Column) -> DataFrame:
     """One profile a key: a replacing update drops what came before it, a merging one is appended."""
     by = Window.partitionBy(key)

@@ -13,7 +13,7 @@ from engram.functions.models import Encoder, TextModel, completion, embedding, e
 from engram.functions.text import clean_line, fact_line, lines, strip
 from engram.operators import dialogue as D
 from engram.operators import graph as G
-from engram.operators.knowledge import stated, with_keywords
+from engram.operators.knowledge import stated, with_keywords, with_model_keywords
 from engram.sources.store import dialogs
 
 Make = Callable[[], TextModel]
@@ -37,11 +37,15 @@ def sample_turns(samples: DataFrame) -> DataFrame:
     return out.select(F.col("sample_id").alias("graph_id"), "session_seq", "turn_seq", "ts", "user_text", "ai_text")
 
 
-def memory_graph(turns: DataFrame, make: Callable[[], Encoder] = hashed_encoder) -> tuple[DataFrame, DataFrame]:
-    """Nodes with vectors and keywords, and the edges between following nodes. Identifiers are the order in the graph."""
+def memory_graph(turns: DataFrame, make: Callable[[], Encoder] = hashed_encoder, keyword_model: Make | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes with vectors and keywords, and the edges between following nodes. Identifiers are the order in the graph.
+
+    Keywords are the most frequent words, unless a model is given to name them.
+    """
     t = turns.withColumn("order", F.struct("session_seq", "turn_seq"))
     nodes = D.memory_nodes(t, "graph_id", "order", "ts").withColumn("node_id", F.col("node_seq"))
-    return with_keywords(nodes, "content").withColumn("embedding", embedding(F.col("content"), make)), G.temporal_edges(nodes)
+    named = with_model_keywords(nodes, "content", keyword_model) if keyword_model else with_keywords(nodes, "content")
+    return named.withColumn("embedding", embedding(F.col("content"), make)), G.temporal_edges(nodes)
 
 
 def batch_texts(turns: DataFrame, key: str, order: str, c: MemoryConfig = DEFAULT) -> DataFrame:

@@ -392,3 +392,27 @@ def test_decay_mode(spark):
     plain = {(r.query_id, r.node_id): r.enh for r in R.base_scores(n, q).collect()}
     decayed = {(r.query_id, r.node_id): r.enh for r in R.base_scores(n, q, replace(catalog.DEFAULT, decay_mode="exponential", tau=86400.0)).collect()}
     assert all(decayed[k] == pytest.approx(v / 2.718281828459045) for k, v in plain.items())
+
+
+def test_keys_in_turn(spark, tmp_path):
+    (tmp_path / "keys").write_text("a\n\n b \n")
+    assert models.key_list(" x, ,y", str(tmp_path / "keys"), "z") == ["x", "y"]
+    assert models.key_list(None, str(tmp_path / "keys"), "z") == ["a", "b"] and models.key_list("", None, " z ") == ["z"] and models.key_list() == []
+
+    def make():
+        def one(key):
+            return lambda p: 1 / 0 if key == "bad" else f"{key}: {p}"
+
+        return models.rotating(one, ["bad", "good"])
+
+    got = [r[0] for r in spark.createDataFrame([("p",), ("q",)], "v string").coalesce(1).select(models.completion(F.col("v"), make)).collect()]
+    assert got == ["good: p", "good: q"]
+    with pytest.raises(ValueError):
+        models.rotating(lambda key: None, [])
+
+
+def test_model_keywords(spark):
+    turns = spark.createDataFrame([("x", 1, 0, None, "tea", "a"), ("x", 1, 1, None, "bad", "a")], "graph_id string, session_seq int, turn_seq int, ts string, user_text string, ai_text string")
+    nodes = encode.memory_graph(turns, keyword_model=lambda: lambda p: 1 / 0 if "bad" in p else " tea, pot ,, tea, cup, milk")[0]
+    assert {r.node_id: r.keywords for r in nodes.collect()} == {0: ["tea", "pot", "cup", "milk"], 1: []}
+
