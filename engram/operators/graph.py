@@ -1,10 +1,11 @@
 """Edges: making, reinforcing, decay, similarity, degrees, hubs, clusters and forgetting."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.config import DEFAULT, MemoryConfig
-from engram.functions.text import direction, dot
 
 
 def both_ways(e: DataFrame) -> DataFrame:
@@ -41,20 +42,52 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 CELL_NODES = 2_000
 
 
+def _near(most: int, cutoff: float):
+    """For the nodes of a pair of cells: each node's best partners above the cutoff, ties with the last of them included."""
+
+    def best(sims: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keep = sims > cutoff
+        if sims.shape[1] > most:
+            keep &= sims >= np.partition(sims, -most, axis=1)[:, -most, None] - 1e-11
+        return np.nonzero(keep)
+
+    def work(table: pa.Table) -> pa.Table:
+        e = table.column("e").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(table.num_rows, -1)
+        e /= np.maximum(np.sqrt((e * e).sum(1, keepdims=True)), 1e-10)
+        second = table.column("second").to_numpy(zero_copy_only=False)
+        node, seq = table.column("node_id"), table.column("node_seq")
+        a = np.flatnonzero(~second)
+        b = np.flatnonzero(second) if second.any() else a
+        sims = e[a] @ e[b].T
+        if b is a:
+            np.fill_diagonal(sims, -np.inf)
+        x, y = best(sims)
+        src, dst, sim = a[x], b[y], sims[x, y]
+        if b is not a:
+            y, x = best(sims.T)
+            src, dst, sim = np.append(src, b[y]), np.append(dst, a[x]), np.append(sim, sims[x, y])
+        graph = table.column("graph_id").take(pa.array(src))
+        return pa.table({"graph_id": graph, "src": node.take(pa.array(src)), "dst": node.take(pa.array(dst)), "dseq": seq.take(pa.array(dst)), "sim": pa.array(sim)})
+
+    return work
+
+
 def similarity_edges(nodes: DataFrame, existing: DataFrame, c: MemoryConfig = DEFAULT) -> DataFrame:
     """Each node's nearest neighbours in its graph; pairs above the cutoff that are not yet linked.
 
-    Directions are made before nodes meet. A large graph's nodes are dealt into cells, each of which meets
-    all nodes in a task of its own, and pairs below the cutoff go before they are ranked.
+    A graph's nodes are dealt into cells; every pair of cells is a task that multiplies their vectors, which
+    have one length in a graph, and keeps a few partners a node, so no list of pairs is made. Nodes without a vector have no neighbours.
     """
-    unit = nodes.select("graph_id", "node_id", "node_seq", direction(F.col("embedding")).alias("e"))
+    held = nodes.where("embedding IS NOT NULL").select("graph_id", "node_id", F.col("node_seq").cast("long").alias("node_seq"), F.col("embedding").alias("e"))
     cells = nodes.groupBy("graph_id").agg(F.ceil(F.count("*") / F.lit(CELL_NODES)).cast("int").alias("cells"))
-    dealt = unit.join(cells, "graph_id")
-    a = dealt.select("graph_id", F.pmod(F.xxhash64("node_id"), F.col("cells")).cast("int").alias("cell"), F.col("node_id").alias("src"), F.col("e").alias("ea"))
-    b = dealt.select("graph_id", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.col("node_id").alias("dst"), F.col("node_seq").alias("dseq"), F.col("e").alias("eb"))
-    s = a.join(b, ["graph_id", "cell"]).where("src <> dst").withColumn("sim", dot(F.col("ea"), F.col("eb"))).where(F.col("sim") > c.min_similarity)
+    dealt = held.join(cells, "graph_id").withColumn("cell", F.pmod(F.xxhash64("node_id"), F.col("cells")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    paired = dealt.select("graph_id", "node_id", "node_seq", "e", F.least("cell", "other").alias("c1"), F.greatest("cell", "other").alias("c2"), (F.col("cell") > F.col("other")).alias("second"))
+    kinds = {f.name: f.dataType.simpleString() for f in held.schema}
+    schema = f"graph_id {kinds['graph_id']}, src {kinds['node_id']}, dst {kinds['node_id']}, dseq long, sim double"
+    s = paired.groupBy("graph_id", "c1", "c2").applyInArrow(_near(c.neighbours, c.min_similarity), schema)
     rank = F.row_number().over(Window.partitionBy("graph_id", "src").orderBy(F.round("sim", 12).desc(), F.col("dseq").desc()))
-    near = s.select("graph_id", "src", "dst", "dseq", "sim").withColumn("r", rank).where(F.col("r") <= c.neighbours)
+    near = s.withColumn("r", rank).where(F.col("r") <= c.neighbours)
     pair = near.groupBy("graph_id", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg((F.max("sim") * F.lit(c.similarity_gain)).alias("weight"))
     return both_ways(pair.join(existing, ["graph_id", "src", "dst"], "left_anti"))
 
