@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, stage, windows
+from .common import mix, stage, trim, windows
 
 BLOCK_BYTES = 8_000_000
 MOST_DOCS = 200_000
@@ -66,6 +66,8 @@ def make_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, doc_bytes: int
                 held += len(data) + doc_bytes
         if ids:
             yield out()
+        del ids, texts
+        trim()
 
     return stage(docs.select("doc_id", "text").mapInArrow(work, "block long, n_docs long, n_bytes long, payload binary"), "blocks")
 
@@ -166,7 +168,9 @@ def with_answers(blocks: DataFrame, answers: DataFrame, work: Callable, schema:
     """Calls work(block, payload, answers) for each block; it gives an Arrow table."""
 
     def call(left: pa.Table, right: pa.Table) -> pa.Table:
-        return work(left.column("block")[0].as_py(), left.column("payload")[0].as_py(), right)
+        out = work(left.column("block")[0].as_py(), left.column("payload")[0].as_py(), right)
+        trim()
+        return out
 
     return blocks.select("block", "payload").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(call, schema)
 
@@ -178,6 +182,7 @@ def per_block(blocks: DataFrame, work: Callable, schema: str) -> DataFrame:
         for batch in batches:
             for block, payload in zip(batch.column(0), batch.column(1), strict=True):
                 yield from work(block.as_py(), payload.as_py()).to_batches()
+                trim()
 
     return blocks.select("block", "payload").mapInArrow(call, schema)
 

@@ -6,6 +6,7 @@ Word rule of the contracts: words are maximal runs of bytes outside
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -68,6 +69,14 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def trim() -> None:
+    """Give a worker's freed memory back, which it would otherwise hold between tasks; without effect where that can't be asked for."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        return
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -196,7 +205,5 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 
 def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
     """Mask over n elements of those inside [s, s + width) for some start s."""
-    edge = np.zeros(n + 1, np.int32)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, np.minimum(starts + width, n), -1)
+    edge = np.bincount(starts, minlength=n + 1) - np.bincount(np.minimum(starts + width, n), minlength=n + 1)
     return np.cumsum(edge[:n]) > 0

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, settle, stage, text_key, windows, word_hashes
+from .common import mix, settle, stage, text_key, trim, windows, word_hashes
 
 _PUNCTUATION = bytes(c for c in range(128) if not chr(c).isalnum())
 _BLANK = bytes.maketrans(_PUNCTUATION, b" " * len(_PUNCTUATION))
@@ -178,6 +178,7 @@ def _block(docs: DataFrame, rows, n: int, min_score: float) -> DataFrame:
                 if got:
                     out.append((None if pd.isna(doc_id) else int(doc_id), text, got))
             yield pd.DataFrame(out, columns=["doc_id", "text", "grams"]).astype({"doc_id": "Int64"})
+        trim()
 
     hit = stage(docs.select("doc_id", "text").mapInPandas(find, "doc_id long, text string, grams array<long>"), "seed-hits")
     seen = hit.select(F.explode("grams").alias("g")).groupBy("g").count().toPandas()  # at most the block's n-grams

@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import trim
+
 CAPACITY = 2048
 END_OF_TEXT = 1
 #: Fixed value: the public pattern of byte-level pre-tokens.
@@ -188,5 +190,6 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bo
                 yield out()
         bins.flush()
         yield out()
+        trim()
 
     return docs.select("doc_id", "text").mapInArrow(work, PIECES + ", ids binary" * with_ids)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted, text_key, unused
+from .common import quoted, text_key, trim, unused
 
 SYMBOLS = b"#$%&*@|<>{}[]=_~^\\/+"
 STOPS = b".,;:!?\"'()-"
@@ -164,6 +164,7 @@ def score(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, threshold:
     def rate(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for t in texts:
             yield pd.Series(model.value.score(feature_matrix(t.tolist())))
+        trim()
 
     value = docs.withColumn("score", rate("text"))
     shown = quoted(docs) if keep_columns else [F.col("doc_id")]
