@@ -91,7 +91,10 @@ def _judged(docs: DataFrame, rows_per_run: int = 4096, fan_in: int = 16) -> Data
 
 
 def drop_copies(docs: DataFrame, **options) -> DataFrame:
-    """The documents that stay, with all their columns; of repeated rows one stays."""
+    """The documents that stay, with all their columns; of repeated rows one stays.
+
+    Nulls are treated as by ``exact_dedup``; rows that share a doc_id but not a text are judged apart.
+    """
     flags = _judged(docs.select("doc_id", "text"), **options)
     marks = flags.groupBy("doc_id", F.col("check").alias("key")).agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
     return settle(docs, marks.where("NOT kept OR n > 1"), F.xxhash64(normalised(doc_text())))

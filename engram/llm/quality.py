@@ -172,7 +172,11 @@ def score(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, threshold:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents that the classifier does not reject, with all their columns."""
+    """The documents that the classifier does not reject, with all their columns.
+
+    Every row is judged by its own text, null counting as empty, so repeated rows stay or go together; a null
+    doc_id plays no part. An empty table gives an empty result.
+    """
     own = {c: unused(docs, f"_own_{c}") for c in docs.columns if c.lower() in ("held_out", "score", "predicted")}
     kept = score(docs.withColumnsRenamed(own), labels, keep_columns=True, **options).where("predicted = 1").drop("held_out", "score", "predicted")
     return kept.withColumnsRenamed({mine: c for c, mine in own.items()})
