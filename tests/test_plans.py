@@ -1,4 +1,7 @@
 import json
+import math
+import re
+from collections import Counter
 
 import pandas as pd
 import pytest
@@ -417,3 +420,20 @@ def test_model_keywords(spark):
     nodes = encode.memory_graph(turns, keyword_model=lambda: lambda p: 1 / 0 if "bad" in p else " tea, pot ,, tea, cup, milk")[0]
     assert {r.node_id: r.keywords for r in nodes.collect()} == {0: ["tea", "pot", "cup", "milk"], 1: []}
 
+
+
+def test_scored_answers_against_counters(spark):
+    def words(s):
+        s = re.sub(r"\s+", " ", re.sub(r"[^\w\s]", " ", s.lower())).strip()
+        return re.sub(r"(^|\s)(a|an|the)(\s|$)", " ", s).split()
+
+    turns = conversations(spark)
+    said = {r.query_id: r.answer for r in catalog.QUERIES["answer_question"](spark, SF).collect()}
+    got = {r.query_id: (r.f1, r.bleu1) for r in catalog.QUERIES["scored_answers"](spark, SF).collect()}
+    assert set(got) == set(turns)
+    for conv, pairs in turns.items():
+        p, r = words(said[conv]), words(pairs[-1][1])
+        n = sum((Counter(p) & Counter(r)).values())
+        f1 = 1.0 if not p and not r else 2 * n / (len(p) + len(r)) if n else 0.0
+        bleu = 0.0 if not p or not r else (math.exp(1 - len(r) / len(p)) if len(p) < len(r) else 1.0) * n / len(p)
+        assert got[conv] == pytest.approx((f1, bleu), abs=1e-8)
