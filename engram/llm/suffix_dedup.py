@@ -7,7 +7,8 @@ where its anchor goes (see blocks.Anchors; equal windows select equal anchors),
 whose anchor is nowhere else are known to be unique. A block sends one context per repeated
 anchor, the bytes of all its windows, once for equal contexts.
 
-Each bucket builds the suffix array of its distinct contexts by the difference cover modulo
+Each bucket builds suffix arrays of its distinct contexts, a bounded number of bytes at a time
+and never two for one anchor, unless its contexts are too many, by the difference cover modulo
 3: the suffixes at positions 1 and 2 modulo 3 are named by sorted triples, the names are
 ranked by recursion until they reach 100 bytes, the remaining suffixes are sorted by their
 first byte and the rank behind it, and both are merged. Neighbours are then compared over
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import covered, free_shuffles, mix, stage
+from .common import covered, free_shuffles, mix, stage, windows
 
 WIDTH, GRAM = 100, 32
 BLOCK_BYTES = 2_000_000
@@ -165,8 +166,63 @@ class Contexts:
         return np.concatenate(found) if found else np.empty(0, np.int64)
 
 
-def judge(rows: DataFrame) -> DataFrame:
-    """Answers each block with a bit per window it sent: whether the window also starts earlier."""
+#: Bytes of the contexts that share a suffix array, about; those of one anchor beyond twice that are compared by windows.
+CHUNK = 1_000_000
+
+
+def late_windows(texts: list[bytes], document: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """For all windows of the texts, one text after the other: whether the window also starts earlier.
+
+    A text stands in a document, by its number in order, at a place.
+    """
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    n = np.array([len(t) for t in texts], np.int64)
+    begin, windows = np.cumsum(n) - n, n - WIDTH + 1
+    text = np.repeat(np.arange(len(n)), windows)
+    inside = np.arange(len(text)) - (np.cumsum(windows) - windows)[text]
+    starts, when = begin[text] + inside, (document[text] << 36) + place[text] + inside
+    number = np.empty(len(data), np.int64)
+    number[starts] = np.arange(len(starts))
+    ordered, group = equal_prefixes(data, starts, WIDTH)
+    which = number[ordered]
+    least = np.minimum.reduceat(when[which], np.flatnonzero(np.append(True, group[1:] != group[:-1])))
+    late = np.empty(len(starts), bool)
+    late[which] = when[which] > least[group]
+    return late
+
+
+def late_of_anchor(texts: list[bytes], document: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The same for more contexts of one anchor than a suffix array should hold: windows of equal hash are compared byte by byte."""
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    n = np.array([len(t) for t in texts], np.int64)
+    count = n - WIDTH + 1
+    text = np.repeat(np.arange(len(n)), count)
+    inside = np.arange(len(text)) - (np.cumsum(count) - count)[text]
+    starts, when = (np.cumsum(n) - n)[text] + inside, (document[text] << 36) + place[text] + inside
+    hashed = windows(_LETTERS[data], WIDTH)[starts]
+    order = np.lexsort((when, hashed))
+    new = np.append(True, hashed[order][1:] != hashed[order][:-1])
+    first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    strings, late = np.lib.stride_tricks.sliding_window_view(data, WIDTH), np.zeros(len(order), bool)
+    again = np.flatnonzero(~new)
+    for at in range(0, len(again), 100_000):
+        mine = again[at : at + 100_000]
+        late[order[mine]] = (strings[starts[order[mine]]] == strings[starts[first[mine]]]).all(1)
+    odd = again[~late[order[again]]]
+    if len(odd):  # different windows of equal hash: those groups are told apart by their bytes
+        seen = set()
+        for i in order[np.isin(hashed[order], hashed[order[odd]])].tolist():  # by hash, then in order of time
+            window = strings[starts[i]].tobytes()
+            late[i] = window in seen
+            seen.add(window)
+    return late
+
+
+def judge(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Answers each block with a bit per window it sent: whether the window also starts earlier.
+
+    Equal windows have equal anchors, so a bucket's contexts are judged anchor by anchor, several in one suffix array.
+    """
 
     def work(table: pa.Table) -> pa.Table:
         blocks = table.column("block").to_pylist()
@@ -185,36 +241,47 @@ def judge(rows: DataFrame) -> DataFrame:
             anchors.append(head[:, 3])
             owner.append(np.full(n, k))
         size, key, place, anchor, owner = map(np.concatenate, (sizes, keys, places, anchors, owner))
-        order = np.lexsort((place, np.array(blocks, np.int64)[owner], key))
-        time = np.empty(len(order), np.int64)
-        time[order] = np.arange(len(order))  # of whole contexts; inside a document by place
+        block = np.array(blocks, np.int64)[owner]
+        order = np.lexsort((place, block, key))
         seen: dict[bytes, int] = {}
-        distinct = [i for i in order.tolist() if seen.setdefault(texts[i], i) == i]
+        distinct = np.array([i for i in order.tolist() if seen.setdefault(texts[i], i) == i], np.int64)
+        del seen
+        k, b = key[order], block[order]
+        document = np.empty(len(order), np.int64)
+        document[order] = np.append(0, np.cumsum((k[1:] != k[:-1]) | (b[1:] != b[:-1])))
         gone = [None] * len(texts)  # None: all of its windows start earlier in an equal context
-        d = np.array(distinct, np.int64)
-        _, which, count = np.unique(anchor[d], return_inverse=True, return_counts=True)
-        for i in d[count[which] == 1].tolist():
-            gone[i] = np.zeros(size[i] - WIDTH + 1, bool)
-        d = d[count[which] > 1]
-        if len(d):
-            data = np.frombuffer(b"".join(texts[i] for i in d.tolist()), np.uint8)
-            n = size[d]
-            begin = np.append(0, np.cumsum(n))[:-1]
-            windows = n - WIDTH + 1
-            context = np.repeat(np.arange(len(d)), windows)
-            starts = np.arange(len(context)) - np.repeat(np.cumsum(windows) - windows, windows) + begin[context]
-            source = np.column_stack([key[d], np.array(blocks, np.int64)[owner[d]]])
-            document = np.unique(source, axis=0, return_inverse=True)[1].reshape(-1).astype(np.int64)
-            when = (document[context] << 36) + place[d][context] + (starts - begin[context])
-            by_place = np.empty(len(data), np.int64)
-            by_place[starts] = when
-            ordered, group = equal_prefixes(data, starts, WIDTH)
-            w = by_place[ordered]
-            least = np.minimum.reduceat(w, np.flatnonzero(np.append(True, group[1:] != group[:-1])))
-            late = np.zeros(len(data), bool)
-            late[ordered] = w > least[group]
-            for i, a, m in zip(d.tolist(), begin.tolist(), windows.tolist(), strict=True):
-                gone[i] = late[a : a + m]
+        d = distinct[np.argsort(anchor[distinct], kind="stable")]
+        edges = np.append(np.flatnonzero(np.append(True, anchor[d][1:] != anchor[d][:-1])), len(d))
+        held: list[int] = []
+        full = 0
+
+        def settle_held() -> None:
+            if held:
+                x = np.array(held, np.int64)
+                late, at = late_windows([texts[i] for i in held], document[x], place[x]), 0
+                for i, m in zip(held, (size[x] - WIDTH + 1).tolist(), strict=True):
+                    gone[i] = late[at : at + m]
+                    at += m
+                held.clear()
+
+        for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False):
+            mine = d[a:b]
+            if len(mine) == 1:
+                gone[mine[0]] = np.zeros(size[mine[0]] - WIDTH + 1, bool)
+                continue
+            n = int(size[mine].sum())
+            if n > 2 * chunk:
+                late, at = late_of_anchor([texts[i] for i in mine.tolist()], document[mine], place[mine]), 0
+                for i, m in zip(mine.tolist(), (size[mine] - WIDTH + 1).tolist(), strict=True):
+                    gone[i] = late[at : at + m]
+                    at += m
+                continue
+            if full + n > chunk:
+                settle_held()
+                full = 0
+            held += mine.tolist()
+            full += n
+        settle_held()
         bits = [np.ones(s - WIDTH + 1, bool) if g is None else g for s, g in zip(size.tolist(), gone, strict=True)]
         out, at = [], 0
         for s in sizes:
@@ -226,7 +293,7 @@ def judge(rows: DataFrame) -> DataFrame:
     return rows.groupBy("bucket").applyInArrow(work, B.ANSWER)
 
 
-def suffix_dedup(docs: DataFrame, with_bytes: bool = True, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = 10_000_000) -> DataFrame:
+def suffix_dedup(docs: DataFrame, with_bytes: bool = True, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = 10_000_000, chunk: int = CHUNK) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (, kept_bytes).
 
     Texts are UTF-8 bytes, null is empty, and texts under 100 bytes lose nothing. Earlier: a
@@ -244,7 +311,7 @@ def suffix_dedup(docs: DataFrame, with_bytes: bool = True, block_bytes: int = BL
     def send(block: int, payload: bytes, answers: pa.Table) -> pa.Table:
         return B.run_table(Contexts(*read(payload), answers, n_anchor, n_bucket).rows(block))
 
-    judged = stage(judge(B.with_answers(held, anchors, send, B.RUN)), "windows")
+    judged = stage(judge(B.with_answers(held, anchors, send, B.RUN), chunk), "windows")
     free_shuffles(spark)
     both = judged.unionByName(anchors.withColumn("bucket", -1 - F.col("bucket")))
 

@@ -1,6 +1,8 @@
 import hashlib
+import io
 import random
 import time
+import zipfile
 import zlib
 from collections import Counter
 
@@ -84,8 +86,10 @@ def test_incremental_dedup(spark):
     assert index.runs[0][2] == len(history)
 
 
-def test_suffix(docs):
-    got = rows(suffix_dedup.suffix_dedup(docs, with_bytes=False, block_bytes=2000, bucket_bytes=2000))
+@pytest.mark.parametrize("chunk", [suffix_dedup.CHUNK, 900, 150])
+def test_suffix(docs, chunk):
+    """With small chunks, the contexts of one anchor are compared window by window."""
+    got = rows(suffix_dedup.suffix_dedup(docs, with_bytes=False, block_bytes=2000, bucket_bytes=2000, chunk=chunk))
     seen = set()
     for i, t, _ in corpus():
         b = (t or "").encode()
@@ -99,7 +103,7 @@ def test_suffix(docs):
         assert got[i] == (len(b), sum(mask), spans, hashlib.sha256(kept).hexdigest())
 
 
-@pytest.mark.parametrize("subsets", [(2, 1), (3, 1), (4, 2), (1, 0)])
+@pytest.mark.parametrize("subsets", [(2, 1), (3, 1), (4, 2)])
 def test_jaccard(docs, subsets):
     got = rows(jaccard_join.jaccard_components(docs, block_bytes=2000, subsets=subsets))
     words = {i: (t or "").lower().split() for i, t, _ in corpus()}
@@ -203,6 +207,7 @@ CONTENT_PAGES = [
     ('<article><div class="article-header"><h1>Title</h1></div><p>x</p><div class="entry-footer">f</div></article>', ["Title", "x"]),
     ('<aside class="related"><article>Teaser</article></aside><article>Main</article>', ["Main"]),
     ("<nav><article>Teaser</article></nav><main>Main</main>", ["Main"]),
+    ('<main><div class="site-header">Site</div><div class="post-header"><h1>Title</h1></div><p>Main</p></main>', ["Title", "Main"]),
     ("<nav><ul><li>a<article>Main</article>", ["Main"]),
     ('<main><div class="comment-list"><p>no</p></div><p>yes<div id="newsletter">no</div><form>no</form></main>', ["yes"]),
     ("<article>a<script>b</script><style>c</style>&eacute;&#33; \n d<!-- e --><div style='display:none'>f</div></article>", ["aé! d"]),
@@ -259,7 +264,7 @@ def test_decontamination(spark, docs):
 
 def test_decontamination_edited_copy_alone(spark):
     words = [f"q{i}" for i in range(30)]
-    edited = ["zz" if i in (3, 9, 15, 21) else w for i, w in enumerate(words)]  # 11 of 27 4-grams stay
+    edited = ["zz" if i in (3, 9, 15, 21) else w for i, w in enumerate(words)]
     bench = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
     for n in (1, 50):
         got = decontam.contaminated(spark.createDataFrame([(i, " ".join(edited), 0) for i in range(n)], DOC), bench).collect()
@@ -353,3 +358,102 @@ def test_packing_empty_and_null(spark):
     assert packing.pack(spark.createDataFrame([], DOC), tokenizer_file()).count() == 0
     pieces = packing.pack(spark.createDataFrame([(None, None, 1), (None, "a b", 2)], DOC), tokenizer_file()).collect()
     assert {r.doc_tokens for r in pieces} == {1, 3} and sum(r.length for r in pieces) == 4
+
+
+def test_exact_null_ids_and_repeats(spark):
+    docs = spark.createDataFrame([(None, "a a", 0), (3, "aa", 0), (3, "aa", 1), (None, None, 0), (4, " ", 0), (9, "b", 0), (9, "c", 0)], DOC)
+    got = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(docs, rows_per_run=1, fan_in=2).collect()), key=str)
+    want = [(None, None, 3, True), (3, None, 3, False), (3, None, 3, False), (None, 4, 2, False), (4, 4, 2, True), (9, 9, 1, True), (9, 9, 1, True)]
+    assert got == sorted(want, key=str)
+
+
+def test_substring_null_ids_and_repeats(spark):
+    t = " ".join(f"w{i}" for i in range(50))
+    docs = spark.createDataFrame([(None, t, 0), (5, t, 0), (5, t, 1), (6, "x " + t[:80], 0), (None, None, 0)], DOC).repartition(2)
+    got = sorted(((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.substring_dedup(docs, with_text=False).collect()), key=str)
+    assert got == sorted([(None, 50, 50), (5, 50, 50), (5, 50, 50), (6, len(("x " + t[:80]).split()), 0), (None, 0, 0)], key=str)
+
+
+@pytest.mark.parametrize("letters", [None, 0])
+def test_contexts_of_one_anchor(monkeypatch, letters):
+    """Window by window against plain slices, also where all windows have one hash."""
+    if letters is not None:
+        monkeypatch.setattr(suffix_dedup, "_LETTERS", np.zeros(256, np.uint64))
+    r = random.Random(6)
+    core = bytes(r.choices(b"abcd", k=120))
+    texts = [bytes(r.choices(b"abcd", k=r.randrange(60))) + core[r.randrange(15) :] + bytes(r.choices(b"ab", k=r.randrange(40))) for _ in range(40)]
+    document, place = np.array([r.randrange(12) for _ in texts], np.int64), np.arange(len(texts)) * 1000
+    windows = [(int(d), int(p) + i, t[i : i + 100]) for t, d, p in zip(texts, document, place, strict=True) for i in range(len(t) - 99)]
+    first = {}
+    for d, p, w in sorted(windows):
+        first.setdefault(w, (d, p))
+    want = [(d, p) > first[w] for d, p, w in windows]
+    assert suffix_dedup.late_of_anchor(texts, document, place).tolist() == want == suffix_dedup.late_windows(texts, document, place).tolist()
+
+
+def test_suffix_null_ids_and_repeats(spark):
+    """The smallest doc_id keeps its text, a null one counts as the largest; of repeated rows the first keeps it."""
+    t = "".join(random.Random(2).choices("abcdefgh ", k=300))
+    docs = spark.createDataFrame([(None, t, 0), (7, t, 0), (5, t, 0), (5, t, 1), (None, None, 0), (1, t[:99], 0)], DOC).repartition(2)
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.suffix_dedup(docs, with_bytes=False).collect()), key=str)
+    assert got == sorted([(None, 300, 300), (7, 300, 300), (5, 300, 0), (5, 300, 300), (None, 0, 0), (1, 99, 0)], key=str)
+
+
+def test_jaccard_null_ids_and_repeats(spark):
+    t = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(None, t, 0), (5, t + " x", 0), (5, t, 1), (5, t, 2), (None, "alone here", 0), (5, "quite another text of some words", 0), (None, None, 0), (3, "", 0)], DOC).repartition(2)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs).collect()), key=str)
+    assert got == sorted([(None, 56, 5), (5, 57, 5), (5, 56, 5), (5, 56, 5), (None, 1, None), (5, 2, 5), (None, 0, None), (3, 0, 3)], key=str)
+
+
+def test_jaccard_near_misses(spark):
+    """A cluster whose members are alike, but most below the limit, in many cells: compared with all pairs."""
+    r = random.Random(9)
+    core = [f"c{i}" for i in range(60)]
+    texts = [" ".join(core[: r.randint(40, 60)] + [f"own{i}_{k}" for k in range(r.randint(4, 14))]) for i in range(80)]
+    got = rows(jaccard_join.jaccard_components(spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], DOC).repartition(3), block_bytes=4000))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    label = list(range(len(sets)))
+    for _ in sets:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if 100 * len(a & b) >= 75 * len(a | b):
+                    label[i] = label[j] = min(label[i], label[j])
+    assert [got[i][1] for i in range(len(sets))] == label and 1 < len(set(label)) < len(sets)
+
+
+def test_cells_of_a_cluster(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "CELL_SETS", 9)
+    test_jaccard_near_misses(spark)
+
+
+def test_warc_null_and_repeated_ids(spark):
+    pages = [(None, None, "y" * 300), (4, "u", "y" * 300), (4, "u", "y" * 300), (9, "v", "y" * 300), (None, "w", "z" * 300), (None, "w", "z" * 300), (2, "w", "z" * 99)]
+    got = warc_zip.round_trip(spark.createDataFrame(pages, "page_id long, url string, html string"), package_bytes=100)
+    assert sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got.collect()), key=str) == sorted(
+        [(None, 300, "revisit", 4), (4, 300, "response", None), (4, 300, "response", None), (9, 300, "revisit", 4), (None, 300, "response", None), (None, 300, "response", None), (2, 99, "response", None)], key=str
+    )
+
+
+def test_zip64_directory(monkeypatch):
+    """Sizes, offsets and counts that only the ZIP64 records hold."""
+    monkeypatch.setattr(zipfile, "ZIP64_LIMIT", 5)
+    monkeypatch.setattr(zipfile, "ZIP_FILECOUNT_LIMIT", 1)
+    writer = warc_zip.PackageWriter()
+    records = [warc_zip.record(i, f"http://h/{i}", b"p" * i, "d", None, False) for i in range(50)]
+    for x in records:
+        writer.add(x, "http://h/ x", "response")
+    data = writer.finish()
+    assert b"PK\x06\x06" in data and b"PK\x06\x07" in data
+    assert list(warc_zip.PackageReader(io.BytesIO(data), len(data)).records(span=300)) == records
+    for broken in (data[:-30], data[: len(data) // 2], b"no archive"):
+        with pytest.raises(ValueError):
+            list(warc_zip.PackageReader(io.BytesIO(broken), len(broken)).records())
+
+
+def test_decontamination_empty_tables(spark):
+    bench, none = spark.createDataFrame([(7, "some words of an item")], "item_id long, text string"), spark.createDataFrame([], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "some words of an item", 0), (2, "x " * 400_000 + "some words of an item", 0)], DOC)
+    assert decontam.contaminated(docs, none).count() == 0 and decontam.drop_contaminated(docs, none).count() == 2
+    assert decontam.contaminated(docs.limit(0), bench).count() == 0
+    assert sorted((r.doc_id, r.start_word, r.score) for r in decontam.contaminated(docs, bench, block_bytes=4).collect()) == [(1, 0, 1.0), (2, 400_000, 1.0)]

@@ -6,10 +6,10 @@ import zlib
 import pytest
 
 import corpus_pipeline
-from engram.llm import decontam, exact_dedup, html_extract, jaccard_join, packing, quality, sharding, substring_dedup, suffix_dedup, warc_zip
+from engram.llm import common, decontam, exact_dedup, html_extract, jaccard_join, packing, quality, sharding, substring_dedup, suffix_dedup, warc_zip
 from engram.llm.queries import tokenizer_file
 
-CLASHES = "_id _rows _key _digest _bad score held_out predicted uid block bucket run range shard size salt component dotted.name".split()
+CLASHES = "_id _rows _key _digest _bad score held_out predicted uid block bucket run range shard size salt component dotted.name key kept n _of_id _mark_id _mark_key check slot points beside text_key a b other open pages".split()
 KIND = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` int" for c in CLASHES)
 BENCH = [(1, " ".join(f"item{i}" for i in range(24))), (2, ""), (3, None)]
 
@@ -113,3 +113,31 @@ def test_clashing_columns(spark, folder):
     assert html_extract.extract(pages).count() == n
     assert warc_zip.round_trip(pages).count() == n
     assert warc_zip.round_trip(pages.limit(0)).count() == 0
+
+
+def test_stages_on_nulls_and_repeats(spark, folder):
+    """Rows without an identifier, or that share one, are judged one by one; of repeated rows one stays."""
+    good = " ".join(f"word{i}" for i in range(40)) + "."
+    leak = "start " + BENCH[0][1]
+    rows = [(None, good), (None, leak), (5, good + " x"), (5, leak), (7, good), (7, good), (None, None), (None, ""), (8, "other words entirely, six of them")]
+    docs = spark.createDataFrame([(i, t, "en", None, 0, *range(len(CLASHES))) for i, t in rows], KIND).repartition(3)
+    seen = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    order = lambda x: sorted(x, key=str)
+    clean = [x for x in rows if x[1] != leak]
+    assert seen(decontam.drop_contaminated(docs, spark.read.parquet(f"{folder}/benchmark.parquet"))) == order(clean)
+    exact = seen(exact_dedup.drop_copies(docs))  # of the leaks and of the equal texts the row with the smaller doc_id stays
+    assert [x for x in exact if x[1]] == order([(5, leak), (5, good + " x"), (7, good), (8, rows[8][1])]) and len(exact) == 5
+    near = seen(jaccard_join.drop_near_copies(docs))
+    assert [x for x in near if x[1]] == order([(5, leak), (5, good + " x"), (8, rows[8][1])])
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert seen(quality.keep_good(docs, labels)) == order(rows)  # without labels all score 0.5
+    total = sum(r.length for r in packing.pack(docs, tokenizer_file()).collect())
+    assert total == sum(len(tokens) // 4 + 1 for tokens in packing.TokenBytes(tokenizer_file())([t or "" for _, t in rows]))
+
+
+def test_many_marks_are_not_broadcast(spark, folder, monkeypatch):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    keep = lambda: sorted(r.doc_id for r in jaccard_join.drop_near_copies(docs).collect())
+    want = keep()
+    monkeypatch.setattr(common, "BROADCAST_MARKS", -1)
+    assert keep() == want and len(want) == len(set(want))
