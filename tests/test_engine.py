@@ -83,7 +83,7 @@ def test_token_lists_against_counters(spark):
 
 
 def test_scalar_functions(spark):
-    row = spark.createDataFrame([("/a/b/q1_abs_hebbian.json", "0", "", " 3 ", "x")], "p string, a string, e string, c string, bad string")
+    row = spark.createDataFrame([("/a/b/q1_abs_memory.json", "0", "", " 3 ", "x")], "p string, a string, e string, c string, bad string")
     got = row.select(
         T.name_key(F.col("p")).alias("key"), T.reference_answer(F.col("a"), F.col("bad")).alias("zero"), T.reference_answer(F.col("e"), F.col("bad")).alias("other"),
         T.category_name(F.col("c")).alias("c"), T.category_name(F.col("bad")).alias("u"), T.category_name(F.lit(-2)).alias("m"), T.category_name(F.lit(9)).alias("h"), T.new_id("n_").alias("i"),
