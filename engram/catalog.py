@@ -580,7 +580,13 @@ def memory_graph(spark, sf):
     return E.memory_graph(conv_turns(spark, sf))[0]
 
 
-@query()
+@query(f"""WITH {TURNS}, s AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k FROM tu),
+b AS (SELECT conv_id, k // 10 AS batch, string_agg('User: ' || user_text || chr(10) || 'AI: ' || ai_text, chr(10) ORDER BY k) AS text FROM s GROUP BY 1, 2),
+r AS (SELECT conv_id, batch, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS i FROM b),
+x AS (SELECT *, regexp_replace(raw, '^{T.SPACE}+|{T.SPACE}+$', '', 'g') AS line FROM r),
+f AS (SELECT conv_id, batch, row_number() OVER (PARTITION BY conv_id, batch ORDER BY i) - 1 AS line_no, regexp_replace(ltrim(line, '- '), '^{T.SPACE}+|{T.SPACE}+$', '', 'g') AS content FROM x WHERE line <> '')
+SELECT conv_id AS graph_id, batch, CAST(line_no AS INTEGER) AS line_no, content, 'assistant' AS kind FROM f
+WHERE line_no < 3 AND content <> '' AND lower(content) <> 'none' AND NOT starts_with(content, '【')""")
 def extracted_facts(spark, sf):
     found = E.extract(batch_texts(spark, sf))
     return E.facts(found, "private").withColumn("kind", F.lit("user")).unionByName(E.facts(found, "assistant").withColumn("kind", F.lit("assistant")))
