@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 
-from . import decontam, exact_dedup, html_extract, jaccard_join, packing, quality, sharding, substring_dedup, suffix_dedup, warc_zip
+from pyspark.sql import functions as F
+
+from . import decontam, exact_dedup, html_extract, importance, jaccard_join, packing, quality, sharding, substring_dedup, suffix_dedup, topk_search, warc_zip, whitening
 from .common import documents, table
 
 
@@ -55,6 +57,20 @@ def op10_suffix_array(spark, sf_dir):
     return suffix_dedup.suffix_dedup(documents(spark, sf_dir), with_bytes=False)
 
 
+def op11_whitening(spark, sf_dir):
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))  # beyond a long: null here, whole in the operator
+
+
+def op12_importance_resampling(spark, sf_dir):
+    out = importance.resample(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_topk_search(spark, sf_dir):
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -68,6 +84,9 @@ QUERIES = {
         op8_sharding,
         op9_jaccard_join,
         op10_suffix_array,
+        op11_whitening,
+        op12_importance_resampling,
+        op13_topk_search,
     )
 }
 ORACLES = {
@@ -76,4 +95,6 @@ ORACLES = {
     "op4_warc": warc_zip.ORACLE,
     "op9_jaccard_join": jaccard_join.ORACLE,
     "op10_suffix_array": suffix_dedup.ORACLE,
+    "op12_importance_resampling": importance.ORACLE,
+    "op13_topk_search": topk_search.ORACLE,
 }
