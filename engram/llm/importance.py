@@ -27,6 +27,13 @@ def lowered(word: Column) -> Column:
     return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(F.translate(word, string.ascii_uppercase, string.ascii_lowercase))
 
 
+def words(text: str) -> Column:
+    """The words of a text; a gap at either end leaves no empty one."""
+    w = F.split(text, GAP)
+    first, last = (F.get(w, F.lit(0)) == "").cast("int"), (F.element_at(w, -1) == "").cast("int")
+    return F.slice(w, first + 1, F.greatest(F.size(w) - first - last, F.lit(0)))
+
+
 def position_table(docs: DataFrame, key: str, orders: int, buckets: int, text: str = "text") -> DataFrame:
     """(uid, key, b1 .. b<orders>): for each position of each row the buckets of the n-grams that begin there, null where the text ends before.
 
@@ -35,16 +42,15 @@ def position_table(docs: DataFrame, key: str, orders: int, buckets: int, text: s
     whatever their keys; it follows the order of the rows of a partition, so ``docs`` should be
     read from files.
     """
-    of = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(key).alias("key"), F.split(doc_text(text), GAP).alias("w"))
+    of = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(key).alias("key"), doc_text(text).alias("text"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    first, last = (F.get("w", F.lit(0)) == "").cast("int"), (F.element_at("w", -1) == "").cast("int")
-    size = F.size("w") - last  # a gap at either end leaves an empty word
-    begins = F.when(size > first, F.sequence(first, size - 1, F.lit(SEGMENT)))
-    cut = of.select("uid", "key", "w", size.alias("end"), F.explode_outer(begins).alias("begin"))
-    reach = F.least(F.lit(SEGMENT + orders - 1), F.col("end") - F.col("begin"))
-    cut = cut.select("uid", "key", "begin", F.when(F.col("begin").isNotNull(), F.slice("w", F.col("begin") + 1, reach)).alias("w"))
-    dealt = cut.repartition(n, "uid", "begin")
-    rows = dealt.select("uid", "key", "begin", F.posexplode_outer("w").alias("pos", "word")).withColumn("word", lowered(F.col("word")))
+    far = F.octet_length("text") > 2 * SEGMENT  # a word and its gap take two bytes
+    of = of.withColumn("w", F.when(far, words("text")))
+    begins = F.sequence(F.lit(1), F.size("w"), F.lit(SEGMENT))
+    pieces = F.transform(begins, lambda i: F.array_join(F.slice("w", i, F.lit(SEGMENT + orders - 1)), " "))
+    cut = of.select("uid", "key", F.posexplode(F.when(F.size("w") > 0, pieces).otherwise(F.array("text"))).alias("begin", "piece"))
+    dealt = cut.repartition(n, "uid", "begin")  # texts are dealt, which are smaller than their words
+    rows = dealt.select("uid", "key", "begin", F.posexplode_outer(words("piece")).alias("pos", "word")).withColumn("word", lowered(F.col("word")))
     at = Window.partitionBy("uid", "begin").orderBy("pos")
     rows = rows.withColumns({f"w{i}": F.lead("word", i).over(at) for i in range(1, orders)}).where(F.coalesce("pos", F.lit(0)) < SEGMENT)
     grams, out = F.col("word"), {"b1": bucket(F.col("word"), buckets)}
