@@ -127,7 +127,7 @@ def resample(docs: DataFrame, target: DataFrame, orders: int = 3, buckets: int =
     """
     table = stage(position_table(docs, key, orders, buckets), "positions")
     aims = target.select(F.lit(0).alias("key"), "text")
-    gain = stage(gains(counts(table, orders, "s"), counts(position_table(aims, "key", orders, buckets), orders, "t"), buckets), "gains", buckets)
+    gain = stage(gains(counts(table, orders, "s"), counts(position_table(aims, "key", orders, buckets), orders, "t"), buckets), "gains")
     weighed = _melted(table, orders).join(F.broadcast(gain), "bucket").groupBy("uid").agg(F.count("*").alias("n_features"), F.sum("gain").alias("weight"))
     words = table.groupBy("uid").agg(F.first("key").alias("key"), F.count("b1").alias("n_words"))
     scored = words.join(weighed, "uid", "left").fillna(0, ["n_features", "weight"])
