@@ -18,6 +18,7 @@ from engram.operators import retrieve as R
 from engram.operators import select as S
 from engram.plans import answer as A
 from engram.plans import encode as E
+from engram.plans.rounds import sequential
 from engram.sources.store import dialog_text
 
 QUERIES, ORACLES = {}, {}
@@ -637,8 +638,8 @@ def scored_answers(spark, sf):
 def retrieve_sequential(spark, sf):
     """The first three and every hundredth node of each graph are its queries, in order; each reinforces what the next one reads.
 
-    So the rounds grow with the longest graph. A query has the identifier of its node.
+    So what is reinforced grows with the longest graph. A query has the identifier of its node.
     """
     n = vec_nodes(spark, sf)
     q = n.where("node_seq <= 3 OR node_seq % 100 = 0").select(F.col("node_id").alias("query_id"), "graph_id", F.col("node_seq").alias("qa_index"), F.col("embedding").alias("q_embedding"))
-    return A.sequential(n, G.temporal_edges(n), q.select("query_id", "graph_id", "qa_index", "q_embedding"), k=10)[0]
+    return sequential(n, G.temporal_edges(n), q.select("query_id", "graph_id", "qa_index", "q_embedding"), k=10)[0]

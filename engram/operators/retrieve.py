@@ -7,13 +7,20 @@ from engram.config import DEFAULT, MemoryConfig
 from engram.functions.text import dot, keyword_score, time_decay
 
 
+#: Parts of a graph's nodes, each of which meets the graph's queries in a task of its own.
+PARTS = 16
+
+
 def base_scores(nodes: DataFrame, queries: DataFrame, c: MemoryConfig = DEFAULT) -> DataFrame:
     """Similarity rescaled to 0..1 and the enhanced score; queries meet the nodes of their graph only.
 
     With ``decay_mode`` "exponential" the enhanced score decays with the time from a node's ts to the query's
-    ``asked_at`` (a timestamp); by default it does not.
+    ``asked_at`` (a timestamp); by default it does not. A graph's nodes are dealt into parts, so that a large
+    graph isn't one join key; queries go to every part.
     """
-    s = nodes.join(queries, "graph_id").withColumn("base", (dot(F.col("embedding"), F.col("q_embedding")) + 1) / 2)
+    dealt = nodes.withColumn("_part", F.pmod(F.xxhash64("node_id"), F.lit(PARTS)))
+    asked = queries.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+    s = dealt.join(asked, ["graph_id", "_part"]).drop("_part").withColumn("base", (dot(F.col("embedding"), F.col("q_embedding")) + 1) / 2)
     kw = keyword_score(F.col("q_keywords"), F.col("keywords")) if c.use_keywords and "q_keywords" in queries.columns else F.lit(0.0)
     enh = F.col("base") + F.lit(c.keyword_weight) * kw
     if c.decay_mode == "exponential":
@@ -33,18 +40,33 @@ def spread(scores: DataFrame, edges: DataFrame, c: MemoryConfig = DEFAULT) -> Da
     return scored.withColumn("fin", F.col("enh") + F.coalesce("boost", F.lit(0.0)))
 
 
+def ranking(score: str):
+    """Places of a query's nodes by a score; ties go to the later node."""
+    return F.row_number().over(Window.partitionBy("query_id").orderBy(F.round(score, 12).desc(), F.col("node_seq").desc()))
+
+
+def _tops(nodes: DataFrame, edges: DataFrame, queries: DataFrame, k: int, c: MemoryConfig) -> tuple[DataFrame, DataFrame]:
+    """The k leading rows of each ranking, with br or sr as the place."""
+    s = spread(base_scores(nodes, queries, c), edges, c).select("query_id", "graph_id", "node_id", "node_seq", "base", "enh", "fin")
+    base = s.withColumn("br", ranking("enh")).where(F.col("br") <= k).withColumn("sr", F.lit(None).cast("int"))
+    return base, s.withColumn("sr", ranking("fin")).where(F.col("sr") <= k).withColumn("br", F.lit(None).cast("int"))
+
+
+def contenders(nodes: DataFrame, edges: DataFrame, queries: DataFrame, k: int = DEFAULT.top_k, c: MemoryConfig = DEFAULT) -> DataFrame:
+    """(graph_id, node_id): the nodes that are among the first k of a ranking of any of the graph's queries."""
+    base, top = _tops(nodes, edges, queries, k, c)
+    return base.unionByName(top).select("graph_id", "node_id").distinct()
+
+
 def retrieve(nodes: DataFrame, edges: DataFrame, queries: DataFrame, k: int = DEFAULT.top_k, c: MemoryConfig = DEFAULT) -> DataFrame:
     """Base top-k, then those of the spread top-k that it lacks, at most max_flipped.
 
     Each ranking is cut to k rows a query on its own, so that Spark can cut them before the shuffle,
     too; what follows handles 2 k rows a query.
     """
-    s = spread(base_scores(nodes, queries, c), edges, c).select("query_id", "graph_id", "node_id", "node_seq", "base", "enh", "fin")
-    by = Window.partitionBy("query_id")
-    rank = lambda score: F.row_number().over(by.orderBy(F.round(score, 12).desc(), F.col("node_seq").desc()))
-    base = s.withColumn("br", rank("enh")).where(F.col("br") <= k).withColumn("sr", F.lit(None).cast("int"))
-    top = s.withColumn("sr", rank("fin")).where(F.col("sr") <= k).withColumn("br", F.lit(None).cast("int"))
+    base, top = _tops(nodes, edges, queries, k, c)
     same = Window.partitionBy("query_id", "node_id")
+    by = Window.partitionBy("query_id")
     both = base.unionByName(top).withColumn("in_base", F.max("br").over(same).isNotNull())
     both = both.where(F.col("br").isNotNull() | ~F.col("in_base")).withColumn("flipped", F.col("br").isNull())
     both = both.withColumns({"fr": F.row_number().over(by.orderBy(F.col("sr").asc_nulls_last())), "nb": F.count("br").over(by)})

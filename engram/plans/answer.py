@@ -7,37 +7,13 @@ from engram.config import DEFAULT, MemoryConfig
 from engram.functions import prompts as P
 from engram.functions.models import completion, embedding, hashed_encoder, recalling_model, replies
 from engram.functions.text import frequent, judged, tokens
-from engram.operators import graph as G
 from engram.operators.knowledge import search_knowledge
-from engram.operators.retrieve import retrieve
+from engram.plans.rounds import sequential
 from engram.plans.state import kept
 
 INSTRUCTION = "Answer the question from the memories, as briefly as possible."
 
 
-def sequential(nodes: DataFrame, edges: DataFrame, queries: DataFrame, k: int = DEFAULT.top_k, c: MemoryConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """Results and final edges where each query of a graph (in order of qa_index) reinforces what the next one reads.
-
-    A round serves one query of every graph that has one left, so there are as many rounds as the longest
-    graph has queries. A round reads the edges and reinforcements of its graphs only and writes its results;
-    reinforcements add up, as weights stop at 1 and never fall.
-    """
-    rounds, out, grown = [r[0] for r in queries.select("qa_index").distinct().orderBy("qa_index").collect()], None, None
-    for i in rounds:
-        asked = queries.where(F.col("qa_index") == i)
-        graphs = asked.select("graph_id").distinct()
-        now = edges.join(graphs, "graph_id", "left_semi")
-        if grown is not None:
-            now = G.upsert(now, grown.join(graphs, "graph_id", "left_semi"))
-        res = kept(retrieve(nodes.join(graphs, "graph_id", "left_semi"), now, asked, k, c).withColumn("qa_index", F.lit(i)))
-        more = G.reinforce_pairs(res, c.learning_rate)
-        grown = more if grown is None else grown.unionByName(more)
-        out = res if out is None else out.unionByName(res)
-    if out is None:
-        return retrieve(nodes, edges, queries, k, c).withColumn("qa_index", F.lit(0)), edges
-    return out, G.upsert(edges, grown)
-
-
 def _listed(rows: DataFrame, key: str, order: str, text: str, name: str) -> DataFrame:
     parts = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))).alias("l"))
     return parts.select(key, F.array_join(F.transform("l", lambda x: F.concat(F.lit("- "), x["t"])), "\n").alias(name))
@@ -68,23 +44,23 @@ def answers(prompts: DataFrame, make=recalling_model) -> DataFrame:
 
 def answer_questions(memory: tuple[DataFrame, DataFrame], knowledge: dict[str, DataFrame], asked: DataFrame, k: int = DEFAULT.top_k, kb_k: int = DEFAULT.kb_top_k,
                      c: MemoryConfig = DEFAULT, encode=hashed_encoder, make=recalling_model) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(answers, results, edges): what is retrieved from a graph's memories and its knowledge, its profile and the assistant's traits, in one prompt a question.
+    """(answers, results, gains): what is retrieved from a graph's memories and its knowledge, its profile and the assistant's traits, in one prompt a question.
 
     asked: query_id, graph_id, qa_index, question, asked_on. ``knowledge`` is as ``load_knowledge`` gives it. Questions of
-    a graph reinforce its memories in order; knowledge is read only. Without memories there are no results, and the
+    a graph reinforce its memories in order, and gains are what its edges gain; knowledge is read only. Without memories there are no results, and the
     question is asked all the same.
     """
     q = asked.select("query_id", "graph_id", "qa_index", embedding(F.col("question"), encode).alias("q_embedding"), frequent(tokens(F.col("question")), 3).alias("q_keywords"))
     q = kept(q)
     nodes, edges = memory
-    found, edges = sequential(nodes, edges, q, k, c)
+    found, gains = sequential(nodes, edges, q, k, c)
     kb = knowledge["nodes"].select("graph_id", "node_id", "node_seq", "content", "embedding", "keywords")
     seen = search_knowledge(kb, knowledge["edges"], knowledge["fallback"], q.drop("qa_index"), kb_k, c)
     texts = kb.select("graph_id", "node_id", "content", F.lit("graph").alias("origin")).unionByName(knowledge["fallback"].select("graph_id", "node_id", "content", F.lit("fallback").alias("origin")))
     known = seen.join(texts, ["graph_id", "node_id", "origin"]).select("query_id", "out_rank", "content")
     traits = knowledge["assistant"].select("graph_id", F.col("ak_seq").alias("seq"), F.col("knowledge").alias("content"))
     prompts = answer_prompts(asked, found, nodes.select("graph_id", "node_id", "content", "ts"), knowledge["profiles"], known, traits, c)
-    return answers(prompts, make), found, edges
+    return answers(prompts, make), found, gains
 
 
 def judgements(rows: DataFrame, make) -> DataFrame:

@@ -15,6 +15,7 @@ from engram.operators import graph as G
 from engram.operators import knowledge as K
 from engram.operators import retrieve as R
 from engram.plans import answer, encode
+from engram.plans import rounds as folds
 from engram.sources import store
 from engram.streaming.ingest import ingest
 
@@ -437,3 +438,54 @@ def test_scored_answers_against_counters(spark):
         f1 = 1.0 if not p and not r else 2 * n / (len(p) + len(r)) if n else 0.0
         bleu = 0.0 if not p or not r else (math.exp(1 - len(r) / len(p)) if len(p) < len(r) else 1.0) * n / len(p)
         assert got[conv] == pytest.approx((f1, bleu), abs=1e-8)
+
+
+def rounds(nodes, edges, queries, k, c):
+    """Round by round: retrieval over the edges as all earlier rounds have left them."""
+    out = []
+    for i in sorted({r[0] for r in queries.select("qa_index").distinct().collect()}):
+        res = R.retrieve(nodes, edges, queries.where(F.col("qa_index") == i), k, c).collect()
+        out += [(r.query_id, i, r.node_id, r.out_rank, r.score, r.base_score, r.flipped, r.source) for r in res]
+        spark = nodes.sparkSession
+        pairs = G.reinforce_pairs(spark.createDataFrame(res), c.learning_rate) if res else None
+        edges = spark.createDataFrame(G.upsert(edges, pairs).collect(), "graph_id long, src long, dst long, weight double") if res else edges
+    return sorted(out), {(r.graph_id, r.src, r.dst): round(r.weight, 9) for r in edges.collect()}
+
+
+def test_fold_equals_rounds(spark, monkeypatch):
+    """Six queries, of which two share a number; a steep rate, so that reinforced pairs do turn up by spreading and weights reach 1."""
+    c = replace(catalog.DEFAULT, learning_rate=0.3, alpha=0.6, spread_threshold=0.45)
+    n = catalog.vec_nodes(spark, SF).where("graph_id < 3").select("*", F.array(F.concat(F.lit("k"), F.col("node_seq") % 5)).alias("keywords"))
+    q = n.where("node_seq IN (2, 5, 9, 14, 20, 21)").select(F.concat(F.lit("q"), "node_id").alias("query_id"), "graph_id", F.when(F.col("node_seq") == 21, 20).otherwise(F.col("node_seq")).alias("qa_index"), F.col("embedding").alias("q_embedding"), F.col("keywords").alias("q_keywords"))
+    n, e, q = (spark.createDataFrame(df.collect(), df.schema) for df in (n, G.temporal_edges(n), q))
+    want, edges = rounds(n, e, q, 4, c)
+    for cell in (200, 3):
+        monkeypatch.setattr(folds, "CELL", cell)
+        found, gains = folds.sequential(n, e, q, 4, c)
+        got = sorted((r.query_id, r.qa_index, r.node_id, r.out_rank, r.score, r.base_score, r.flipped, r.source) for r in found.collect())
+        assert got == want and any(r[6] for r in got)
+        assert {(r.graph_id, r.src, r.dst): round(r.weight, 9) for r in G.upsert(e, gains).collect()} == edges and 1.0 in edges.values()
+
+
+def test_fold_of_many_queries(spark):
+    """The jobs of a fold don't grow with the questions of a graph."""
+    dims = 8
+    vector = F.transform(F.sequence(F.lit(1), F.lit(dims)), lambda i: F.sin(F.col("node_id") * i).cast("float"))
+    n = spark.range(300).select(F.lit("g").alias("graph_id"), F.col("id").alias("node_id"), F.col("id").alias("node_seq")).withColumn("embedding", vector)
+    sc, counts = spark.sparkContext, []
+    for most in (5, 150):
+        q = n.where(F.col("node_seq") < most).select(F.col("node_id").alias("query_id"), "graph_id", F.col("node_seq").alias("qa_index"), F.col("embedding").alias("q_embedding"))
+        sc.setJobGroup(f"fold {most}", "")
+        assert folds.sequential(n, G.temporal_edges(n), q, 5)[0].select("query_id").distinct().count() == most
+        counts.append(len(sc.statusTracker().getJobIdsForGroup(f"fold {most}")))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert counts[1] <= counts[0] + 3
+
+
+def test_fold_without_queries(spark):
+    n = catalog.vec_nodes(spark, SF)
+    q = catalog.vec_queries(n).withColumn("qa_index", F.lit(0)).limit(0)
+    found, gains = folds.sequential(n, G.temporal_edges(n), q)
+    assert found.count() == 0 and gains.count() == 0 and "qa_index" in found.columns
+    found, gains = folds.sequential(n.limit(0), G.temporal_edges(n), catalog.vec_queries(n).withColumn("qa_index", F.lit(0)))
+    assert found.count() == 0
