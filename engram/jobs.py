@@ -18,20 +18,23 @@ from pyspark.sql import functions as F
 from engram.config import LOCOMO, LONGMEMEVAL, MemoryConfig
 from engram.functions.models import extractive_model, hashed_encoder, recalling_model
 from engram.functions.text import category_name
+from engram.operators import graph as G
 from engram.operators import knowledge as K
 from engram.operators import metrics as M
 from engram.operators import select as S
 from engram.plans import answer as A
 from engram.plans import encode as E
 from engram.plans.state import kept
-from engram.sources import sinks, store
+from engram.sources import sinks
+from engram.sources.segments import Segments, knowledge, memory_graph
+from engram.sources.store import questions, read_items, read_samples
 
 STYLES = {"sessions": LONGMEMEVAL, "speakers": LOCOMO}
 
 
 def _source(spark: SparkSession, style: str, path: str, ids: list[str] | None, start: int, n: int | None) -> DataFrame:
     """The chosen samples with a graph_id: by identifier, of which unknown ones raise, or by position in order of identifier."""
-    rows = store.read_items(spark, path) if style == "sessions" else store.read_samples(spark, path)
+    rows = read_items(spark, path) if style == "sessions" else read_samples(spark, path)
     rows = rows.withColumn("graph_id", F.col("question_id" if style == "sessions" else "sample_id"))
     if ids:
         return S.chosen_or_raise(rows, spark.createDataFrame([(i,) for i in ids], "graph_id string"), "graph_id")
@@ -41,69 +44,90 @@ def _source(spark: SparkSession, style: str, path: str, ids: list[str] | None, s
     return rows
 
 
+#: What a run of evaluation stores: answers and scores by question, and metrics by sample or question type.
+RESULTS = {
+    "results": "graph_id {key}",
+    "samples": "graph_id {key}",
+    "failed": "graph_id {key}, error STRING",
+}
+
+
+def results(spark: SparkSession, out: str) -> Segments:
+    """The stored results under a path: tables ``results``, ``samples`` and ``failed``, as JSON lines. A run replaces what its own samples had, at one go."""
+    return Segments(spark, out, RESULTS, form="json")
+
+
 def encode(spark: SparkSession, style: str, source: str, memory: str, as_of: str, ids: list[str] | None = None, start: int = 0, n: int | None = None,
            skip_knowledge: bool = False, encoder=hashed_encoder, model=extractive_model) -> DataFrame:
-    """Stores the memories and the knowledge of every chosen sample; returns the summary, which is also written.
+    """Stores the memories and the knowledge of every chosen sample in one commit; returns the summary, which is also written.
 
-    Encoding a graph again replaces it. A graph without a turn is stored empty and counts as failed.
+    Encoding a graph again replaces it. A graph without a turn is stored empty and counts as failed; the
+    table encode_samples under ``memory`` has a row for each sample, with the error of those that failed.
     """
     rows, now, c = _source(spark, style, source, ids, start, n), F.lit(as_of), STYLES[style]
-    graphs = rows.select("graph_id").distinct()
+    graphs = kept(rows.select("graph_id").distinct())
     turns = kept(E.item_turns(rows, now) if style == "sessions" else E.sample_turns(rows))
     nodes, edges = E.memory_graph(turns, encoder)
-    store.save_graph(nodes, edges, f"{memory}/episodic", graphs)
+    state = {"nodes": nodes, "edges": edges}
     if not skip_knowledge:
         ordered = turns.withColumn("order", F.struct("session_seq", "turn_seq"))
         found = kept(E.extract(E.batch_texts(ordered, "graph_id", "order", c), model))
         whole = style == "sessions"
-        fact_nodes, fact_edges = E.knowledge_graph(E.facts(found, "private", whole), ["batch", "line_no"], now, encoder)
+        state["facts"], state["fact_edges"] = E.knowledge_graph(E.facts(found, "private", whole), ["batch", "line_no"], now, encoder)
         seq = E.knowledge_graph(E.facts(found, "assistant", whole), ["batch", "line_no"], now, encoder)[0]
         told = seq.select("graph_id", F.col("node_seq").alias("ak_seq"), F.col("content").alias("knowledge"), "ts", "embedding")
-        assistant = K.add_assistant_knowledge(spark.createDataFrame([], told.schema), told)
-        profiles = E.fold_extracted(found, model).withColumn("last_updated", now)
-        store.save_knowledge(profiles, assistant, fact_nodes, fact_edges, f"{memory}/knowledge")
-    failed = graphs.join(turns.select("graph_id").distinct(), "graph_id", "left_anti")
-    summary = sinks.encode_summary(M.encode_totals(turns, "graph_id"), failed, style=style, **vars(c))
-    sinks.write_summary(summary, f"{memory}/encode_summary")
-    return summary
-
-
-def _memory(spark: SparkSession, memory: str) -> tuple[tuple[DataFrame, DataFrame], dict[str, DataFrame]]:
-    return store.load_graph(spark, f"{memory}/episodic"), store.load_knowledge(spark, f"{memory}/knowledge")
-
-
-def _remember(edges: DataFrame, graphs: DataFrame, memory: str) -> None:
-    """Stores the edges that the answered questions have reinforced; last of all, as it replaces what was read."""
-    graphs = kept(graphs.select("graph_id").distinct())
-    store.save_edges(kept(edges.join(graphs, "graph_id", "left_semi")), graphs, f"{memory}/episodic")
+        state["assistant"] = K.add_assistant_knowledge(spark.createDataFrame([], told.schema), told)
+        state["profiles"] = E.fold_extracted(found, model).withColumn("last_updated", now)
+    Segments(spark, memory).commit(state, graphs=graphs)
+    size = turns.groupBy("graph_id").agg(F.count("*").alias("n_nodes"), F.sum(F.length("user_text") + F.length("ai_text")).alias("n_chars"))
+    samples = graphs.join(size, "graph_id", "left").withColumn("error", F.when(F.col("n_nodes").isNull(), "no turn")).fillna(0, ["n_nodes", "n_chars"])
+    fine = F.col("error").isNull()
+    samples, seen = sinks.observed(samples, n_graphs=F.count_if(fine), n_failed=F.count_if(~fine), n_nodes=F.sum("n_nodes"), n_chars=F.sum("n_chars"))
+    Segments(spark, f"{memory}/encode_samples", {"samples": "graph_id {key}"}, form="json").commit({"samples": samples})
+    totals = {name: total or 0 for name, total in seen.of.items()}
+    return sinks.write_summary(spark, f"{memory}/encode_summary", totals, "n_graphs BIGINT, n_failed BIGINT, n_nodes BIGINT, n_chars BIGINT", {"style": style, **vars(c)})
 
 
 def evaluate_speakers(spark: SparkSession, source: str, memory: str, out: str, as_of: str, ids: list[str] | None = None, start: int = 0, n: int | None = None,
                       most: int | None = None, c: MemoryConfig = LOCOMO, encoder=hashed_encoder, model=recalling_model) -> DataFrame:
-    """Answers and scores the questions of every sample that is stored; others are counted as failed.
+    """Answers and scores the questions of every sample that is stored; others are rows of ``failed``.
 
-    Writes results by sample, metrics by sample and the summary, and returns the summary.
+    Stores results with running means by sample, metrics by sample and failed samples; writes the summary, whose
+    metrics are gathered while the results are written, and returns it. What the answers have reinforced is stored last.
     """
     samples = _source(spark, "speakers", source, ids, start, n)
-    (nodes, edges), knowledge = _memory(spark, memory)
+    store = Segments(spark, memory)
+    nodes, edges = memory_graph(store)
     stored = nodes.select("graph_id").distinct()
-    asked = store.questions(samples, most).withColumnRenamed("sample_id", "graph_id").withColumn("query_id", F.concat("graph_id", F.lit("#"), "qa_index"))
+    asked = questions(samples, most).withColumnRenamed("sample_id", "graph_id").withColumn("query_id", F.concat("graph_id", F.lit("#"), "qa_index"))
     asked = asked.join(stored, "graph_id", "left_semi").withColumn("asked_on", F.lit(None).cast("string"))
-    answers, found, grown = A.answer_questions((nodes, edges), knowledge, asked, c.top_k, c.kb_top_k, c, encoder, model)
+    names = _speakers(samples)
+    answers, found, gains = A.answer_questions((nodes, edges), knowledge(store), asked.join(names, "graph_id", "left"), c.top_k, c.kb_top_k, c, encoder, model)
     texts = found.join(nodes.select("graph_id", "node_id", "content"), ["graph_id", "node_id"]).groupBy("query_id")
     texts = texts.agg(F.transform(F.array_sort(F.collect_list(F.struct("out_rank", "content"))), lambda x: x["content"]).alias("retrieved"))
     rows = answers.select("query_id", F.col("answer").alias("system_answer"), "error").join(asked.drop("asked_on"), "query_id").join(texts, "query_id", "left")
     rows = rows.withColumns({"prediction": F.col("system_answer"), "reference": F.col("answer"), "category_name": category_name(F.col("category"))})
-    scored = kept(M.token_scores(rows).withColumnRenamed("graph_id", "sample_id").drop("query_id"))
-    sinks.write_results(scored, f"{out}/results", "sample_id", ["qa_index"])
-    per_sample = M.summary(scored, "sample_id")
-    sinks.write_results(per_sample, f"{out}/samples", order=["sample_id"])
-    failed = samples.select("graph_id").distinct().join(stored, "graph_id", "left_anti")
-    summary = sinks.metrics_summary(M.summary(scored), M.by_category(scored), per_sample, as_of=as_of, **vars(c))
-    summary = sinks.encode_summary(summary.drop("parameters"), failed, as_of=as_of, **vars(c))
-    sinks.write_summary(summary, f"{out}/summary")
-    _remember(grown, asked, memory)
-    return spark.read.json(f"{out}/summary")
+    scored = M.token_scores(rows).drop("query_id")
+    for m in ("f1", "bleu1"):
+        scored = M.running(scored, "graph_id", "qa_index", m, f"running_{m}")
+    scored, seen = sinks.observed(scored, **sinks.token_totals())
+    book, chosen = results(spark, out), kept(samples.select("graph_id").distinct())
+    missing = chosen.join(stored, "graph_id", "left_anti").withColumn("error", F.lit("not stored"))
+    missing, lost = sinks.observed(missing, n_failed=F.count("*"))
+    scored = kept(scored)
+    per_sample, each = sinks.observed(M.summary(scored, "graph_id"), n_samples=F.count("*"))
+    book.commit({"results": scored, "samples": per_sample, "failed": missing}, graphs=chosen)
+    totals = {**sinks.token_summary(seen.of), "n_samples": each.of["n_samples"] or 0, "n_failed": lost.of["n_failed"] or 0, "as_of": as_of}
+    kinds = f"{sinks.SCORES}, per_category ARRAY<STRUCT<category: STRING, {sinks.SCORES.replace(' BIGINT', ': BIGINT').replace(' DOUBLE', ': DOUBLE')}>>, n_samples BIGINT, n_failed BIGINT, as_of STRING"
+    summary = sinks.write_summary(spark, f"{out}/summary", totals, kinds, vars(c))
+    store.commit(add={"edges": G.both_ways(gains)})
+    return summary
+
+
+def _speakers(samples: DataFrame) -> DataFrame:
+    """(graph_id, speakers): the names of the two speakers of each sample, the asking one first."""
+    name = lambda x: F.expr(f"try_element_at(conversation, '{x}')")
+    return samples.select("graph_id", F.array_compact(F.array(name("speaker_a"), name("speaker_b"))).alias("speakers"))
 
 
 def evaluate_sessions(spark: SparkSession, source: str, memory: str, out: str, as_of: str, corrupted: list[str] | None = None, ids: list[str] | None = None, start: int = 0,
@@ -111,34 +135,38 @@ def evaluate_sessions(spark: SparkSession, source: str, memory: str, out: str, a
     """Consolidates every item's memories, answers its question and has the answer judged.
 
     Items that are listed as corrupted, not stored or empty score 0 without a row of results. A failed
-    answer or judgement drops the item from the score. Writes results, accuracies and the summary, and returns the accuracies.
+    answer drops the item from the score and is a row of ``failed`` with its error; a failed judgement counts as
+    wrong. Stores results and failed items, writes accuracies (accuracy) and the summary, and returns the
+    accuracies. New facts and what the questions have reinforced are stored in one commit, last.
     """
     items = _source(spark, "sessions", source, ids, start, n)
-    (nodes, edges), knowledge = _memory(spark, memory)
+    store = Segments(spark, memory)
+    (nodes, edges), known = memory_graph(store), knowledge(store)
     marked = spark.createDataFrame([(i, True) for i in corrupted or []], "graph_id string, bad boolean")
-    known = store.stored_graphs(spark, f"{memory}/episodic").withColumn("known", F.lit(True))
+    held = store.graphs().withColumn("known", F.lit(True))
     filled = nodes.select("graph_id").distinct().withColumn("filled", F.lit(True))
-    state = items.join(marked, "graph_id", "left").join(known, "graph_id", "left").join(filled, "graph_id", "left")
+    state = items.join(marked, "graph_id", "left").join(held, "graph_id", "left").join(filled, "graph_id", "left")
     state = kept(state.withColumn("status", S.status(F.col("bad").isNotNull(), F.col("known").isNull(), F.col("filled").isNull())).drop("bad", "known", "filled"))
     ready = state.where("status = 'evaluated'")
     nodes_now, edges_now = (df.join(ready.select("graph_id"), "graph_id", "left_semi") for df in (nodes, edges))
     facts = kept(E.consolidate(nodes_now, edges_now, extractor, c))
-    own = tuple(knowledge[k].join(ready.select("graph_id"), "graph_id", "left_semi") for k in ("nodes", "edges"))
-    fact_nodes, fact_edges = (kept(df) for df in E.grown_knowledge(own, facts, F.lit(as_of), encoder))
-    store.save_graph(fact_nodes, fact_edges, f"{memory}/knowledge/knowledge")
-    knowledge = {**knowledge, "nodes": fact_nodes, "edges": fact_edges}
+    own = tuple(known[k].join(ready.select("graph_id"), "graph_id", "left_semi") for k in ("nodes", "edges"))
+    new = tuple(kept(df) for df in E.new_knowledge(own, facts, F.lit(as_of), encoder))
+    known |= {k: a.unionByName(b, allowMissingColumns=True) for k, a, b in zip(("nodes", "edges"), own, new, strict=True)}
     asked = ready.select(F.col("graph_id").alias("query_id"), "graph_id", F.lit(0).alias("qa_index"), "question", F.col("question_date").alias("asked_on"))
-    answers, _, grown = A.answer_questions((nodes_now, edges_now), knowledge, asked, c.top_k, c.kb_top_k, c, encoder, model)
-    rows = answers.select(F.col("query_id").alias("question_id"), "answer", "error").join(ready.select("question_id", "question_type", "question", F.col("answer").alias("reference")), "question_id")
-    rows = kept(A.judgements(rows.where("error IS NULL"), judge or model))
-    sinks.write_results(rows, f"{out}/results", order=["question_id"])
-    lost = state.where("status <> 'evaluated'").select("question_type", F.lit(0).alias("correct"))
-    accuracy = M.accuracy(rows.select("question_type", F.col("correct").cast("int").alias("correct")).unionByName(lost))
-    sinks.write_results(accuracy, f"{out}/accuracy", order=["question_type"])
-    totals = state.groupBy("status").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "n")))).alias("items"))
-    failed = ready.select("graph_id").join(rows.select(F.col("question_id").alias("graph_id")), "graph_id", "left_anti")
-    sinks.write_summary(sinks.encode_summary(totals, failed, as_of=as_of, **vars(c)), f"{out}/summary")
-    _remember(grown, asked, memory)
+    answers, _, gains = A.answer_questions((nodes_now, edges_now), known, asked, c.top_k, c.kb_top_k, c, encoder, model)
+    rows = answers.select(F.col("query_id").alias("question_id"), "answer", "error").join(ready.select("graph_id", "question_id", "question_type", "question", F.col("answer").alias("reference")), "question_id")
+    rows = kept(rows)
+    judged, failed = kept(A.judgements(rows.where("error IS NULL"), judge or model)), rows.where("error IS NOT NULL").select("graph_id", "error")
+    failed, lost = sinks.observed(failed, n_failed=F.count("*"))
+    results(spark, out).commit({"results": judged, "failed": failed}, graphs=state.select("graph_id"))
+    zero = state.where("status <> 'evaluated'").select("question_type", F.lit(0).alias("correct"))
+    accuracy = kept(M.accuracy(judged.select("question_type", F.col("correct").cast("int").alias("correct")).unionByName(zero)))
+    accuracy.orderBy("question_type").coalesce(1).write.mode("overwrite").json(f"{out}/accuracy")
+    counts = {r[0]: r[1] for r in state.groupBy("status").count().collect()}  # four states
+    totals = {"items": counts, "n_failed": lost.of["n_failed"] or 0, "as_of": as_of}
+    sinks.write_summary(spark, f"{out}/summary", totals, "items MAP<STRING, BIGINT>, n_failed BIGINT, as_of STRING", vars(c))
+    store.commit(add={"facts": new[0], "fact_edges": new[1], "edges": G.both_ways(gains)})
     return accuracy
 
 

@@ -22,7 +22,7 @@ def _listed(rows: DataFrame, key: str, order: str, text: str, name: str) -> Data
 def answer_prompts(questions: DataFrame, results: DataFrame, contents: DataFrame, profiles: DataFrame, knowledge: DataFrame, traits: DataFrame, c: MemoryConfig = DEFAULT) -> DataFrame:
     """(query_id, graph_id, prompt): memories in rank order, knowledge, profile and traits; sections without rows are left out.
 
-    questions: query_id, graph_id, question, asked_on (may be null); contents: graph_id, node_id, content, ts;
+    questions: query_id, graph_id, question, asked_on (may be null) and, where there are any, speakers (a list of names); contents: graph_id, node_id, content, ts;
     profiles: graph_id, data; knowledge: query_id, out_rank, content; traits: graph_id, seq, content.
     """
     r = results if c.flipped_in_context else results.where("NOT flipped")
@@ -34,6 +34,9 @@ def answer_prompts(questions: DataFrame, results: DataFrame, contents: DataFrame
     q = q.join(profiles.select("graph_id", "data"), "graph_id", "left").join(_listed(traits, "graph_id", "seq", "content", "traits"), "graph_id", "left")
     part = lambda head, col: F.concat(F.lit(f"{head}\n"), F.nullif(F.col(col), F.lit("")))
     sections = [part("About the assistant:", "traits"), part("About the user:", "data"), part("Knowledge:", "known"), part("Memories:", "memories"), F.concat(F.lit("Today: "), "asked_on")]
+    if "speakers" in questions.columns:
+        named = F.when(F.size("speakers") > 0, F.concat(F.lit("This is a conversation between "), F.array_join("speakers", " and "), F.lit(".")))
+        sections.insert(0, named)
     return q.select("query_id", "graph_id", F.concat_ws("\n\n", F.lit(INSTRUCTION), *sections, F.concat(F.lit("Question: "), "question")).alias("prompt"))
 
 

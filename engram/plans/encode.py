@@ -134,20 +134,26 @@ def consolidate(nodes: DataFrame, edges: DataFrame, make: Make = extractive_mode
     return rows.withColumn("content", fact_line(F.col("raw"))).where("content IS NOT NULL").drop("raw")
 
 
-def append(stored: tuple[DataFrame, DataFrame], new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Stored nodes and edges with new nodes behind them. Identifiers go on from the graph's last one and are never used again.
+def additions(stored: tuple[DataFrame, DataFrame], new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The nodes and edges that come on top when new nodes go behind the stored ones. Identifiers go on from the graph's last one and are never used again.
 
     New nodes have a node_seq among themselves; the first is linked to the graph's last stored node.
-    Stored edges keep their weights. Columns that the new nodes lack are null, others are left out.
+    Columns that the new nodes lack are null, others are left out.
     """
-    nodes, edges = stored
+    nodes = stored[0]
     last = nodes.groupBy("graph_id").agg(F.max("node_seq").alias("last"))
     seq = (F.col("node_seq") + F.coalesce(F.col("last") + 1, F.lit(0))).cast("long")
     added = new.join(last, "graph_id", "left").withColumns({"node_seq": seq, "node_id": seq})
     ends = last.join(new.select("graph_id").distinct(), "graph_id", "left_semi").select("graph_id", F.col("last").alias("node_seq"))
     chain = ends.unionByName(added.select("graph_id", "node_seq")).withColumn("node_id", F.col("node_seq"))
-    added = added.select(*[F.col(c) if c in added.columns else F.lit(None).alias(c) for c in nodes.columns])
-    return nodes.unionByName(added), edges.unionByName(G.temporal_edges(chain))
+    added = added.select(*[F.col(f.name) if f.name in added.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in nodes.schema])
+    return added, G.temporal_edges(chain)
+
+
+def append(stored: tuple[DataFrame, DataFrame], new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored nodes and edges with new nodes behind them; stored edges keep their weights."""
+    nodes, edges = additions(stored, new)
+    return stored[0].unionByName(nodes), stored[1].unionByName(edges)
 
 
 def remember(stored: tuple[DataFrame, DataFrame], turns: DataFrame, make: Callable[[], Encoder] = hashed_encoder) -> tuple[DataFrame, DataFrame]:
@@ -155,6 +161,6 @@ def remember(stored: tuple[DataFrame, DataFrame], turns: DataFrame, make: Callab
     return append(stored, memory_graph(turns, make)[0])
 
 
-def grown_knowledge(stored: tuple[DataFrame, DataFrame], found: DataFrame, ts: Column, make: Callable[[], Encoder] = hashed_encoder) -> tuple[DataFrame, DataFrame]:
-    """Stored knowledge nodes and edges and, behind them, the facts (graph_id, hub, line_no, content)."""
-    return append(stored, knowledge_graph(found, ["hub", "line_no"], ts, make)[0])
+def new_knowledge(stored: tuple[DataFrame, DataFrame], found: DataFrame, ts: Column, make: Callable[[], Encoder] = hashed_encoder) -> tuple[DataFrame, DataFrame]:
+    """The knowledge nodes and edges that the facts (graph_id, hub, line_no, content) make behind the stored ones."""
+    return additions(stored, knowledge_graph(found, ["hub", "line_no"], ts, make)[0])

@@ -1,37 +1,59 @@
-"""Results and summaries as files."""
+"""Summaries, gathered while what they sum up is written."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from engram.functions.text import CATEGORIES
 
-def write_results(rows: DataFrame, path: str, by: str | None = None, order: list[str] | None = None) -> None:
-    """Rows as JSON lines, non-ASCII kept; a folder for each value of ``by``, rows in ``order`` inside a file."""
-    if by:
-        rows = rows.repartition(F.col(by))
-    if order or by:
-        rows = rows.sortWithinPartitions(*([by] if by else []), *(order or []))
-    out = rows.write.mode("overwrite")
-    (out.partitionBy(by) if by else out).json(path)
+NAMES = [*CATEGORIES.values(), "Unknown"]
 
 
-def write_summary(row: DataFrame, path: str) -> None:
-    """A frame of one row as a single JSON document."""
-    row.coalesce(1).write.mode("overwrite").json(path)
+class Totals:
+    """What is observed of rows while they are written; ``of`` may be read then."""
+
+    def __init__(self, names: list[str]):
+        self.names, self.seen = names, Observation()
+
+    @property
+    def of(self) -> dict:
+        """By name; None for all where Spark found out that there are no rows and dropped the observation."""
+        row = self.seen._jo.getRow()
+        return self.seen.get if row.schema() is not None else dict.fromkeys(self.names)
+
+
+def observed(rows: DataFrame, **totals: Column) -> tuple[DataFrame, Totals]:
+    """The rows, and the totals that will be known as soon as they were written; no scan of its own."""
+    t = Totals([*totals])
+    return rows.observe(t.seen, *[c.alias(name) for name, c in totals.items()]), t
+
 
+def token_totals() -> dict[str, Column]:
+    """Number, mean and deviation of f1 and bleu1: overall, and for each of the few categories (category_name)."""
+    out = {}
+    for i, name in enumerate([None, *NAMES]):
+        here = F.lit(True) if name is None else F.col("category_name") == name
+        out[f"n_{i}"] = F.count_if(here)
+        for m in ("f1", "bleu1"):
+            of = F.when(here, F.col(m))
+            out |= {f"{m}_mean_{i}": F.avg(of), f"{m}_std_{i}": F.stddev_samp(of)}
+    return out
 
-def encode_summary(totals: DataFrame, failed: DataFrame, **parameters) -> DataFrame:
-    """One row: the totals, how many graphs failed and the first of their identifiers, and the parameters."""
-    ids = failed.agg(F.count("*").alias("n_failed"), F.slice(F.array_sort(F.collect_set(F.col("graph_id").cast("string"))), 1, 100).alias("failed"))
-    given = F.create_map(*[F.lit(str(x)) for kv in sorted(parameters.items()) for x in kv]) if parameters else F.lit(None).cast("map<string,string>")
-    return totals.join(ids, F.lit(True)).withColumn("parameters", given)
 
+def token_summary(seen: dict) -> dict:
+    """What ``token_totals`` have gathered: overall metrics, and ``per_category`` in order of name; without rows all are 0."""
 
-def metrics_summary(overall: DataFrame, per_category: DataFrame, per_sample: DataFrame, **parameters) -> DataFrame:
-    """One row: overall metrics, and those of each category (a handful) as a list in order of name.
+    def of(i: int) -> dict:
+        return {"n": seen[f"n_{i}"] or 0, **{f"{m}_{what}": round(seen[f"{m}_{what}_{i}"] or 0.0, 9) for m in ("f1", "bleu1") for what in ("mean", "std")}}
 
-    Metrics by sample grow with the input and are rows of their own; only their number is here.
-    """
-    categories = per_category.agg(F.array_sort(F.collect_list(F.struct("category", *[c for c in per_category.columns if c != "category"]))).alias("per_category"))
-    samples = per_sample.agg(F.count("*").alias("n_samples"))
-    given = F.create_map(*[F.lit(str(x)) for kv in sorted(parameters.items()) for x in kv]) if parameters else F.lit(None).cast("map<string,string>")
-    return overall.join(categories, F.lit(True)).join(samples, F.lit(True)).withColumn("parameters", given)
+    parts = [{"category": name, **of(i)} for i, name in enumerate(NAMES, 1) if seen[f"n_{i}"]]
+    return {**of(0), "per_category": sorted(parts, key=lambda x: x["category"])}
+
+
+SCORES = "n BIGINT, f1_mean DOUBLE, f1_std DOUBLE, bleu1_mean DOUBLE, bleu1_std DOUBLE"
+
+
+def write_summary(spark: SparkSession, path: str, totals: dict, kinds: str, parameters: dict) -> DataFrame:
+    """One JSON document: the totals (of the given columns) and the parameters. What grows with the input, as failed graphs, is rows elsewhere."""
+    row = spark.createDataFrame([{**totals, "parameters": {k: str(v) for k, v in sorted(parameters.items())}}], f"{kinds}, parameters MAP<STRING, STRING>")
+    row.coalesce(1).write.mode("overwrite").json(path)
+    return row

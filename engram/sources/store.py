@@ -1,6 +1,5 @@
-"""Dataset readers and the stored state (nodes and edges by graph)."""
+"""Dataset readers."""
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,83 +54,6 @@ def questions(samples: DataFrame, most: int | None = None) -> DataFrame:
     return rows.select("sample_id", "qa_index", "q.question", F.coalesce(answer, F.lit("")).alias("answer"), "q.category", "q.evidence")
 
 
-# --- stored state -------------------------------------------------------------
-
-NODES = "graph_id {key}, node_seq LONG, node_id LONG, content STRING, role STRING, ts STRING, keywords ARRAY<STRING>, embedding ARRAY<FLOAT>"
-EDGES = "graph_id {key}, src LONG, dst LONG, weight DOUBLE"
-PROFILES = "graph_id {key}, data STRING, last_updated STRING"
-ASSISTANT = "graph_id {key}, ak_seq LONG, knowledge STRING, ts STRING, embedding ARRAY<FLOAT>"
-FALLBACK = "graph_id {key}, node_seq LONG, node_id LONG, content STRING, ts STRING, embedding ARRAY<FLOAT>"
-
-
-def _replace(df: DataFrame, graphs: DataFrame, path: str) -> None:
-    """Replaces the partitions of the given graphs. One without rows gets a single row of nulls, so that what it held is gone."""
-    marked = df.withColumn("_empty", F.lit(False))
-    blank = graphs.join(df.select("graph_id").distinct(), "graph_id", "left_anti").withColumn("_empty", F.lit(True))
-    out = marked.unionByName(blank, allowMissingColumns=True)
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("graph_id").parquet(path)
-
-
-def _stored(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
-    """The stored rows; none where nothing is stored yet."""
-    try:
-        rows = spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        return spark.createDataFrame([], schema.format(key=key))
-    return rows.where("NOT _empty").drop("_empty").withColumn("graph_id", F.col("graph_id").cast(key))
-
-
-def save_graph(nodes: DataFrame, edges: DataFrame, path: str, graphs: DataFrame | None = None) -> None:
-    """Replaces the graphs that occur in the frames or are listed (graph_id), also where nothing of them is left; others stay."""
-    ids = nodes.select("graph_id").unionByName(edges.select("graph_id"))
-    ids = (ids if graphs is None else ids.unionByName(graphs.select("graph_id"))).distinct()
-    _replace(nodes, ids, f"{path}/nodes")
-    _replace(edges, ids, f"{path}/edges")
-
-
-def save_edges(edges: DataFrame, graphs: DataFrame, path: str) -> None:
-    """Replaces the edges of the listed graphs (graph_id); their nodes stay."""
-    _replace(edges, graphs.select("graph_id").distinct(), f"{path}/edges")
-
-
-def stored_graphs(spark: SparkSession, path: str, key: str = "string") -> DataFrame:
-    """The graph_id of all stored graphs, empty ones too."""
-    try:
-        return spark.read.parquet(f"{path}/nodes").select(F.col("graph_id").cast(key).alias("graph_id")).distinct()
-    except AnalysisException as e:
-        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        return spark.createDataFrame([], f"graph_id {key}")
-
-
-def load_graph(spark: SparkSession, path: str, key: str = "string") -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges, both empty where nothing is stored. ``key`` is the type of graph_id, which folder names don't tell."""
-    return _stored(spark, f"{path}/nodes", NODES, key), _stored(spark, f"{path}/edges", EDGES, key)
-
-
-def save_knowledge(profiles: DataFrame, assistant: DataFrame, nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """Replaces the profiles, assistant knowledge and knowledge graphs of the graphs that occur in any of the frames.
-
-    Fallback rows are read only and not written back, so a save ends their use.
-    """
-    ids = profiles.select("graph_id")
-    for df in (assistant, nodes, edges):
-        ids = ids.unionByName(df.select("graph_id"))
-    ids = ids.distinct()
-    _replace(profiles, ids, f"{path}/profiles")
-    _replace(assistant, ids, f"{path}/assistant")
-    save_graph(nodes, edges, f"{path}/knowledge", ids)
-
-
-def load_knowledge(spark: SparkSession, path: str, key: str = "string") -> dict[str, DataFrame]:
-    """profiles, assistant, nodes, edges and fallback; each is empty where nothing is stored."""
-    nodes, edges = load_graph(spark, f"{path}/knowledge", key)
-    tables = {n: _stored(spark, f"{path}/{n}", schema, key) for n, schema in (("profiles", PROFILES), ("assistant", ASSISTANT), ("fallback", FALLBACK))}
-    return {**tables, "nodes": nodes, "edges": edges}
-
-
 def read_graph_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of graphs kept as one JSON document each, {nodes: {id: node}, edges: {src: {dst: weight}}}; graph_id is the file's name up to its first underscore."""
     node = "STRUCT<id: STRING, content: STRING, role: STRING, embedding: ARRAY<FLOAT>, timestamp: STRING, keywords: ARRAY<STRING>, metadata: MAP<STRING, STRING>>"
