@@ -19,7 +19,7 @@ from engram.plans import answer, encode
 from engram.plans import rounds as folds
 from engram.sources import store
 from engram.sources.segments import ConflictingCommit, Segments, knowledge, memory_graph
-from engram.streaming.ingest import ingest
+from engram.streaming.ingest import ingest, stored_batch, stream_into
 
 SF = "/root/testdata/sf0.01"
 
@@ -148,21 +148,47 @@ def test_sequential_queries_grow(spark):
     assert {tuple(r) for r in got} == want and max(i for _, i, _ in want) > 3
 
 
+STREAM = "graph_id string, pos long, is_user boolean, text string, ts string"
+
+
 def test_ingest(spark, tmp_path):
-    schema = "graph_id long, pos long, is_user boolean, text string"
-    first = [(1, 1, True, "u1"), (1, 2, True, "u2"), (1, 3, False, "a1"), (2, 1, False, "early"), (2, 2, True, "")]
-    second = [(1, 4, False, "a2"), (1, 5, False, "late"), (2, 3, True, "v1"), (2, 4, False, "b1")]
-    spark.createDataFrame(first, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
-    rows = ingest(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), buffer_turns=2)
-    out = lambda: spark.read.parquet(f"{tmp_path}/out").orderBy("graph_id", "node_seq").toPandas()
-    for more in ([], second):  # the second run goes on from the checkpoint
-        if more:
-            spark.createDataFrame(more, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        rows.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
-    got = out()
-    assert got["content"].tolist() == ["User: u1\nAI: a1", "User: u2\nAI: a2", "User: v1\nAI: b1"]
-    assert got["node_seq"].tolist() == [0, 1, 0] and got["closes_batch"].tolist() == [False, True, False]
-    assert pd.isna(got["prev_seq"][0]) and got["prev_seq"][1] == 0
+    first = [("1", 1, True, "u1", "t"), ("1", 2, True, "u2", "t2"), ("1", 3, False, "a1", "x"), ("2", 1, False, "early", "x"), ("2", 2, True, "", "x")]
+    second = [("1", 4, False, "a2", "x"), ("1", 5, False, "late", "x"), ("2", 3, True, "v1", "t3"), ("2", 4, False, "b1", "x")]
+    store = Segments(spark, f"{tmp_path}/store")
+    start = lambda: stream_into(store, spark.readStream.schema(STREAM).parquet(f"{tmp_path}/in"), "talk", f"{tmp_path}/ck", replace(catalog.DEFAULT, buffer_turns=2)).awaitTermination()
+    for rows in (first, second):  # the second run goes on from the checkpoint
+        spark.createDataFrame(rows, STREAM).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        start()
+    version = store.manifest()["version"]
+    start()  # nothing new
+    nodes, edges = memory_graph(store)
+    assert [(r.graph_id, r.node_seq, r.ts, r.content) for r in nodes.orderBy("graph_id", "node_seq").collect()] == [("1", 0, "t", "User: u1\nAI: a1"), ("1", 1, "t2", "User: u2\nAI: a2"), ("2", 0, "t3", "User: v1\nAI: b1")]
+    turns = spark.createDataFrame([("1", 0, 0, "t", "u1", "a1"), ("1", 0, 1, "t2", "u2", "a2"), ("2", 0, 0, "t3", "v1", "b1")], "graph_id string, session_seq int, turn_seq int, ts string, user_text string, ai_text string")
+    want, links = encode.memory_graph(turns)  # the same as of a batch
+    cols = ["graph_id", "node_seq", "node_id", "content", "role", "ts", "keywords", "embedding"]
+    assert sorted(map(str, nodes.select(*cols).collect())) == sorted(map(str, want.select(*cols).collect()))
+    assert sorted(map(tuple, edges.collect())) == sorted(map(tuple, links.collect()))
+    assert store.read("profiles").count() == 1 and {r.graph_id for r in store.read("assistant").collect()} == {"1"}  # one full buffer
+    assert version == store.manifest()["version"]
+    save = stored_batch(store, "talk")
+    save(spark.createDataFrame([("1", "turn", 9, 8, "t", 0, "again")], "graph_id string, kind string, node_seq long, prev_seq long, ts string, batch long, content string"), 0)
+    assert store.read("nodes").count() == 3  # a batch that is run again
+
+
+def test_idle_buffers(spark, tmp_path):
+    """A buffer that is never filled comes out when its graph has been idle."""
+    spark.createDataFrame([("g", 1, True, "u1", "t"), ("g", 2, False, "a1", "t")], STREAM).coalesce(1).write.parquet(f"{tmp_path}/in")
+    rows = ingest(spark.readStream.schema(STREAM).parquet(f"{tmp_path}/in"), 10, idle_seconds=1.0)
+    q = rows.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/ck").trigger(processingTime="1 second").start(f"{tmp_path}/out")
+    try:
+        for _ in range(60):
+            q.awaitTermination(1)
+            got = spark.read.parquet(f"{tmp_path}/out").collect() if q.lastProgress else []
+            if len(got) == 2:
+                break
+    finally:
+        q.stop()
+    assert sorted((r.kind, r.batch, r.content) for r in got) == [("buffer", 0, "User: u1\nAI: a1"), ("turn", 0, "User: u1\nAI: a1")]
 
 
 TALK = [{"speaker": "A", "text": "I moved to Lyon in May and I like the river very much"}, {"speaker": "B", "text": "Lyon is lovely, I grew up close to the river there"}]
