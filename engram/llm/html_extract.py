@@ -45,9 +45,27 @@ _ROLES = frozenset("navigation banner contentinfo complementary search dialog al
 _NAMES = re.compile(
     r"(?:^|[_-])(?:ad|ads|advert\w*|adsense|adsby\w*|adslot|sponsor\w*|promo\w*|banner|sidebar|side-bar|aside|nav|navbar|navigation|navi|menu\w*|breadcrumbs?|"
     r"cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|"
-    r"comments?|commentlist|respond|replies|disqus|discussion|social|share|sharing|related|recommend\w*|widget|pagination|pager|toolbar|skip-link|search)(?=$|[_-])",
+    r"comments?|commentlist|respond|repl(?:y|ies)|reactions|disqus|discussion|social|share|sharing|related|recommend\w*|widget|pagination|pager|toolbar|skip-link|search)(?=$|[_-])",
     re.I,
 )
+#: Of these names, the ones that also occur in the names of a text's own parts; inside an article they count only as a class of their own, or with a usual other half.
+_VAGUE_WORDS = (
+    r"(?:sponsor\w*|promo\w*|banner|menu\w*|navigation|notice|notification|alert|overlay|subscription|login|discussion|social|share|sharing|related|recommend\w*|widget|search|"
+    r"cookies?|consent|aside|reactions?|responses?|reply)"
+)
+_SURE = re.compile(
+    r"(?:^|[_-])(?:ad|ads|advert|adverts|advertis\w*|adsense|adsby\w*|adslot|sidebar|side-bar|nav|navbar|navi|breadcrumbs?|cookie-(?:bar|banner|notice|consent)|gdpr|popup|modal|newsletter|subscribe|signup|"
+    r"comments?|commentlist|respond|replies|disqus|pagination|pager|toolbar|skip-link|(?:readers?|users?|visitors?)[_-](?:comments?|reactions?|repl(?:y|ies)|responses?|feedback|letters|opinions))(?=$|[_-])",
+    re.I,
+)
+_VAGUE = re.compile(
+    rf"(?:(?:post|article|entry|site|page|site-wide|social)[_-])?{_VAGUE_WORDS}"
+    r"(?:[_-](?:posts?|articles?|links?|stories|items?|reading|news|buttons?|bar|box|form|list|icons?|container|wrapper|area|media|block|tools|message|banner|widget))*",
+    re.I,
+)
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What stands above readers' comments.
+_COMMENTS = re.compile(r"(?:\d+ )?(?:(?:reader|user|latest|all) ?)?(?:comments|replies|responses|reactions)(?: ?\(?\d+\)?)?:?", re.I)
 #: Names of the head and foot of a page; in an article, or where it is named after one, a header holds its title.
 _PAGE_NAMES = re.compile(r"(?:^|[_-])(?:footer|foot|header|masthead|topbar)(?=$|[_-])", re.I)
 _FOOT = re.compile(r"(?:^|[_-])(?:footer|foot)(?=$|[_-])", re.I)
@@ -70,6 +88,17 @@ def _named(words: str, in_article: bool) -> bool:
     return False
 
 
+def _named_in_text(name: str, classes: str, ident: str, in_article: bool) -> bool:
+    """The same inside the content: headings are never judged by their names, paragraphs by classes only, and vague words count as a class of their own."""
+    if name in _HEADINGS:
+        return False
+    for word in classes.split() + (ident.split() if name != "p" else []):
+        ends = _FOOT if in_article or _OF_TEXT.match(word) else _PAGE_NAMES
+        if not _STATES.match(word) and (_SURE.search(word) or ends.search(word) or word in classes.split() and _VAGUE.fullmatch(word)):
+            return True
+    return False
+
+
 def _is_chrome(name: str, attrs: str, inside: int, in_article: bool) -> bool:
     if name in _CHROME and not (name == "header" and inside):
         return True
@@ -82,9 +111,18 @@ def _is_chrome(name: str, attrs: str, inside: int, in_article: bool) -> bool:
         return True
     if name == "article" and not inside and not re.search(r"comment", a.get("class", ""), re.I):
         return False
+    if inside:
+        return _named_in_text(name, a.get("class", ""), a.get("id", ""), in_article)
     return _named(a.get("class", ""), in_article) or _named(a.get("id", ""), in_article)
 
 
+def _is_region(name: str, attrs: str) -> bool:
+    """Whether an element holds the page's content by its name or role."""
+    if name in ("article", "main"):
+        return True
+    return "role" in attrs.lower() and any(k.lower() == "role" and v.strip("\"'").lower() in ("main", "article") for k, v in _ATTR.findall(attrs))
+
+
 OTHER, CONTENT, CHROME = 0, 1, 2
 
 
@@ -92,17 +130,19 @@ class _Open:
     """The open elements that matter, each with the kind of the text around it; no tag costs a walk over them."""
 
     def __init__(self):
-        self.stack: list[tuple[str, int]] = []  # name, kind around it
+        self.stack: list[tuple[str, int, int, bool]] = []  # name, kind around it, blocks before it, whether it is a region of content
         self.below: defaultdict[str, list[int]] = defaultdict(list)  # by name, the block elements below each
-        self.n_blocks = 0
+        self.n_blocks = self.regions = 0
 
-    def push(self, name: str, kind: int) -> None:
-        self.stack.append((name, kind))
+    def push(self, name: str, kind: int, before: int = 0, region: bool = False) -> None:
+        self.stack.append((name, kind, before, region))
+        self.regions += region
         self.below[name].append(self.n_blocks)
         self.n_blocks += name in _BLOCK
 
     def pop(self) -> tuple[str, int]:
-        name, kind = self.stack.pop()
+        name, kind, _, region = self.stack.pop()
+        self.regions -= region
         self.n_blocks = self.below[name].pop()
         return name, kind
 
@@ -117,7 +157,16 @@ class _Open:
         return self.stack[-1][0] if self.stack else ""
 
     def articles(self) -> int:
-        return len(self.below["article"]) + len(self.below["main"])
+        return self.regions
+
+    def comments_begin(self, n_out: int) -> bool:
+        """Whether the heading at the top is the first block of a container inside a region."""
+        return len(self.stack) > 1 and self.stack[-1][0] in _HEADINGS and self.stack[-2][0] in ("section", "div") and not self.stack[-2][3] and self.stack[-2][2] == n_out
+
+    def turn(self, kind: int) -> None:
+        """Gives the container of the top element another kind from here on."""
+        name, _, before, region = self.stack[-1]
+        self.stack[-1] = (name, kind, before, region)
 
 
 def _closed(page: str, name: str) -> set[int]:
@@ -134,9 +183,11 @@ def _closed(page: str, name: str) -> set[int]:
 def blocks(page: str | None) -> list[tuple[int, str]]:
     """(kind, text) of the page's blocks in order; character references decoded, white space folded.
 
-    An article inside a menu, sidebar or the like is a part of it, unless that was never closed.
+    An article inside a menu, sidebar or the like is a part of it, unless that was never closed. Readers' comments are no
+    content: what is named so, an article inside another one that has text before it, and a section that begins with a heading such as "Comments".
     """
     page = page or ""
+    prose, headless = 0, False  # paragraphs of content so far; whether no head is closed from here on
     out: list[tuple[int, str]] = []
     opened, text = _Open(), []
     kind, at, n = OTHER, 0, len(page)
@@ -144,9 +195,14 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
     closed: dict[str, set[int]] = {}
 
     def close() -> None:
+        nonlocal prose
         if text:
             line = _SPACE.sub(" ", html.unescape("".join(text))).strip()
-            if line:
+            if line and kind == CONTENT and len(line) < 60 and _COMMENTS.fullmatch(line) and opened.comments_begin(len(out)):
+                opened.turn(CHROME)
+                out.append((CHROME, line))
+            elif line:
+                prose += kind == CONTENT and opened.top() not in _HEADINGS
                 out.append((kind, line))
             text.clear()
 
@@ -169,9 +225,10 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
         attrs = "" if end else tag[1 + len(name) :]
         if not end and name in _RAW:
             if not tag.endswith("/>"):
-                stop = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-                if name == "head":  # a head that is never closed ends where the body begins
-                    stop = stop or re.compile(r"(?=<body\b)", re.I).search(page, at)
+                stop = None if headless and name == "head" else re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+                if name == "head" and not stop and not headless:  # a head that is never closed ends where the body begins
+                    stop = re.compile(r"(?=<body\b)", re.I).search(page, at)
+                    headless = stop is None
                 at = stop.end() if stop else (at if name == "head" else n)
             continue
         if name == "br":
@@ -208,17 +265,19 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
             kind = opened.pop()[1]
         if name in _VOID or tag.endswith("/>"):
             continue
+        region = _is_region(name, attrs)
         if name in ("article", "main") and kind == CHROME and not inside and not _is_chrome(name, attrs, 1, True):
             if chrome[0] not in closed:
                 closed[chrome[0]] = _closed(page, chrome[0])
             if chrome[1] not in closed[chrome[0]]:
                 opened, kind = _Open(), OTHER
         inside = opened.articles()
-        opened.push(name, kind)
+        comment = name == "article" and bool(opened.below["article"]) and prose > 0 and not _OF_TEXT.search(attrs) and kind != CHROME
+        opened.push(name, kind, len(out), region and kind != CHROME)
         if kind != CHROME:
-            if _is_chrome(name, attrs, inside, bool(opened.below["article"])):
+            if comment or _is_chrome(name, attrs, inside, bool(opened.below["article"])):
                 kind, chrome = CHROME, (name, m.start())
-            elif name in ("article", "main"):
+            elif region:
                 kind = CONTENT
     close()
     return out

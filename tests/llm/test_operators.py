@@ -210,6 +210,13 @@ CONTENT_PAGES = [
     ('<main><div class="site-header">Site</div><div class="post-header"><h1>Title</h1></div><p>Main</p></main>', ["Title", "Main"]),
     ("<nav><ul><li>a<article>Main</article>", ["Main"]),
     ('<main><div class="comment-list"><p>no</p></div><p>yes<div id="newsletter">no</div><form>no</form></main>', ["yes"]),
+    ('<article><h2 id="social-media">a</h2><h3 id="search-strategy">b</h3><section id="discussion"><p>c</p></section><p class="related-work">d</p><div class="alert-system">e</div><p class="notice-board">f</p></article>', ["a", "b", "c", "d", "e", "f"]),
+    ('<article>a<div class="social">no</div><div class="related-posts">no</div><div class="alert">no</div><p class="notice">no</p><section id="comments">no</section><ul class="share-buttons"><li>no</ul>b</article>', ["a", "b"]),
+    ('<main><p>a</p><section class="reader-reactions"><p>no</p></section><p>b</p></main>', ["a", "b"]),
+    ('<article><p>a</p><section><h2>Comments (2)</h2><article class="reply">no</article><p>no</p></section><p>b</p></article>', ["a", "b"]),
+    ("<article><h1>Comments</h1><p>a</p><article><p>no</p></article><p>b</p></article>", ["Comments", "a", "b"]),
+    ('<article><h1>T</h1><article class="entry-body"><p>a</p></article></article>', ["T", "a"]),
+    ('<nav>no</nav><div role="main"><h1>T</h1><p>a</p><div class="sidebar">no</div></div><div>no</div>', ["T", "a"]),
     ("<article>a<script>b</script><style>c</style>&eacute;&#33; \n d<!-- e --><div style='display:none'>f</div></article>", ["aé! d"]),
 ]
 
@@ -228,7 +235,7 @@ def test_html_without_article():
 
 def test_html_deep_pages_take_linear_time():
     began = time.process_time()
-    for page in ("<div>" * 40_000, "<span>" * 40_000 + "x" + "</span>" * 40_000, "<nav><article>x</article>" * 20_000, "<span class=ad>" + "<div>a</span>" * 20_000):
+    for page in ("<div>" * 40_000, "<span>" * 40_000 + "x" + "</span>" * 40_000, "<nav><article>x</article>" * 20_000, "<span class=ad>" + "<div>a</span>" * 20_000, "<head>" * 20_000):
         html_extract.blocks(page)
     assert time.process_time() - began < 20  # a walk over the open elements at each tag took a minute for the first alone
 
