@@ -33,13 +33,13 @@ STYLES = {"sessions": LONGMEMEVAL, "speakers": LOCOMO}
 
 
 def _source(spark: SparkSession, style: str, path: str, ids: list[str] | None, start: int, n: int | None) -> DataFrame:
-    """The chosen samples with a graph_id: by identifier, of which unknown ones raise, or by position in order of identifier."""
+    """The chosen samples with a graph_id: by identifier, of which unknown ones raise, or by position in the source: files by name, samples as they stand in a file."""
     rows = read_items(spark, path) if style == "sessions" else read_samples(spark, path)
     rows = rows.withColumn("graph_id", F.col("question_id" if style == "sessions" else "sample_id"))
     if ids:
         return S.chosen_or_raise(rows, spark.createDataFrame([(i,) for i in ids], "graph_id string"), "graph_id")
     if start or n is not None:
-        at = rows.select("graph_id").distinct().orderBy("graph_id").offset(start)
+        at = rows.groupBy("graph_id").agg(F.min("source_at").alias("at")).orderBy("at").offset(start)
         return S.chosen(rows, at if n is None else at.limit(n), "graph_id")
     return rows
 

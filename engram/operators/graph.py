@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.config import DEFAULT, MemoryConfig
+from engram.functions.text import direction, dot
+from engram.plans.state import kept
 
 
 def both_ways(e: DataFrame) -> DataFrame:
@@ -40,6 +42,20 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 #: Nodes of a graph in a cell of the similarity join, about.
 CELL_NODES = 2_000
+#: Parts in which a large graph's nodes look for their pivots.
+PARTS = 64
+#: Rings of nodes around a pivot, of equal width.
+RINGS = 16
+
+
+def unit_vectors(column: pa.ChunkedArray) -> np.ndarray:
+    """A row for each vector, of length 1 (zero vectors stay); vectors of several lengths are refused."""
+    lists = column.combine_chunks()
+    sizes = np.diff(lists.offsets.to_numpy())
+    if len(sizes) and sizes.min() != sizes.max():
+        raise ValueError(f"vectors of a graph have one length, but here are {sizes.min()} and {sizes.max()}")
+    e = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(sizes), -1)
+    return e / np.maximum(np.sqrt((e * e).sum(1, keepdims=True)), 1e-10)
 
 
 def _near(most: int, cutoff: float):
@@ -52,8 +68,7 @@ def _near(most: int, cutoff: float):
         return np.nonzero(keep)
 
     def work(table: pa.Table) -> pa.Table:
-        e = table.column("e").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(table.num_rows, -1)
-        e /= np.maximum(np.sqrt((e * e).sum(1, keepdims=True)), 1e-10)
+        e = unit_vectors(table.column("e"))
         second = table.column("second").to_numpy(zero_copy_only=False)
         node, seq = table.column("node_id"), table.column("node_seq")
         a = np.flatnonzero(~second)
@@ -72,17 +87,80 @@ def _near(most: int, cutoff: float):
     return work
 
 
+def _to_pivots(nodes: pa.Table, pivots: pa.Table) -> pa.Table:
+    """Each node with its nearest pivot and the angle between them."""
+    if not nodes.num_rows:
+        return pa.table({**{x: nodes.column(x) for x in ("graph_id", "node_id", "node_seq", "e")}, "pivot": pa.array([], pa.int32()), "angle": pa.array([], pa.float64())})
+    order = np.argsort(pivots.column("pivot").to_numpy())
+    e, p = unit_vectors(nodes.column("e")), unit_vectors(pivots.column("pe"))[order]
+    which, sim = np.empty(len(e), np.int32), np.empty(len(e))
+    for i in range(0, len(e), 8_192):
+        s = e[i : i + 8_192] @ p.T
+        which[i : i + 8_192] = s.argmax(1)
+        sim[i : i + 8_192] = s.max(1)
+    return pa.table({**{x: nodes.column(x) for x in ("graph_id", "node_id", "node_seq", "e")}, "pivot": pa.array(which), "angle": pa.array(np.arccos(np.clip(sim, -1, 1)))})
+
+
+def vector_cells(held: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes with cell, cells): nodes of large graphs dealt by their nearest pivot, a pivot being one node in CELL_NODES, and the angle to it.
+
+    held: graph_id, node_id, node_seq, e; sizes: graph_id, cells. cells: graph_id, cell, pe (the pivot), inner and radius (the least
+    and largest angle to it). A ring with far more nodes than a cell holds, as of a vector that many nodes share, is divided by identifier.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in held.schema}
+    drawn = F.row_number().over(Window.partitionBy("graph_id").orderBy(F.xxhash64("node_id"), "node_id"))
+    pivots = held.join(sizes, "graph_id").withColumn("r", drawn).where(F.col("r") <= F.col("cells")).select(F.col("graph_id").alias("of"), (F.col("r") - 1).cast("int").alias("pivot"), F.col("e").alias("pe"))
+    part = F.pmod(F.xxhash64("node_id"), F.lit(PARTS)).cast("int")
+    sent = pivots.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    schema = f"graph_id {kinds['graph_id']}, node_id {kinds['node_id']}, node_seq long, e {kinds['e']}, pivot int, angle double"
+    own = held.join(sizes.select("graph_id"), "graph_id", "left_semi").withColumn("p", part)
+    near = kept(own.groupBy("graph_id", "p").cogroup(sent.groupBy("of", "part")).applyInArrow(_to_pivots, schema))
+    near = near.withColumn("ring", F.col("pivot") * F.lit(RINGS + 1) + F.floor(F.col("angle") / F.lit(np.pi) * F.lit(RINGS)))
+    found = near.groupBy("graph_id", "pivot", "ring").agg(F.min("angle").alias("inner"), F.max("angle").alias("radius"), F.ceil(F.count("*") / F.lit(2 * CELL_NODES)).cast("int").alias("split"))
+    dealt = near.join(found.select("graph_id", "ring", "split"), ["graph_id", "ring"])
+    most = F.lit(1 << 20)
+    dealt = dealt.withColumn("cell", F.col("ring") * most + F.pmod(F.xxhash64("node_id", F.lit(1)), F.col("split")))
+    cells = found.join(pivots.withColumnRenamed("of", "graph_id"), ["graph_id", "pivot"])
+    cells = cells.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("split") - 1))).withColumn("cell", F.col("ring") * most + F.col("k"))
+    return dealt.select("graph_id", "node_id", "node_seq", "e", "cell"), cells.select("graph_id", "cell", "pe", "inner", "radius")
+
+
+def cell_pairs(cells: DataFrame, cutoff: float) -> DataFrame:
+    """(graph_id, c1, c2, near) of a graph's pairs of cells, c1 <= c2; near is false where no two of their nodes can be more similar than the cutoff.
+
+    Angles between unit vectors obey the triangle inequality: nodes of two cells are at least the angle of the
+    pivots less both radii apart, and no nearer than a cell's inner angle less the way to the other's far end. A negative cutoff, which zero vectors also meet, skips nothing.
+    """
+    a = cells.select("graph_id", F.col("cell").alias("c1"), direction(F.col("pe")).alias("p1"), F.col("inner").alias("i1"), F.col("radius").alias("r1"))
+    b = cells.select("graph_id", F.col("cell").alias("c2"), direction(F.col("pe")).alias("p2"), F.col("inner").alias("i2"), F.col("radius").alias("r2"))
+    both = a.join(b, "graph_id").where("c1 <= c2")
+    between = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("p1"), F.col("p2")))))
+    apart = F.greatest(between - F.col("r1") - F.col("r2"), F.col("i1") - between - F.col("r2"), F.col("i2") - between - F.col("r1"))
+    near = apart <= float(np.arccos(min(cutoff, 1.0))) + 1e-6 if cutoff >= 0 else F.lit(True)
+    return both.select("graph_id", "c1", "c2", (near | (F.col("c1") == F.col("c2"))).alias("near"))
+
+
 def similarity_edges(nodes: DataFrame, existing: DataFrame, c: MemoryConfig = DEFAULT) -> DataFrame:
     """Each node's nearest neighbours in its graph; pairs above the cutoff that are not yet linked.
 
-    A graph's nodes are dealt into cells; every pair of cells is a task that multiplies their vectors, which
-    have one length in a graph, and keeps a few partners a node, so no list of pairs is made. Nodes without a vector have no neighbours.
+    A graph of up to CELL_NODES nodes is one task. The nodes of a larger one are dealt into cells around pivots, and
+    pairs of cells that are too far apart are skipped by a bound, exactly; each other pair is a task that multiplies
+    their vectors and keeps a few partners a node, so no list of pairs is made. Nodes without a vector have
+    no neighbours; vectors of several lengths in a graph raise.
     """
     held = nodes.where("embedding IS NOT NULL").select("graph_id", "node_id", F.col("node_seq").cast("long").alias("node_seq"), F.col("embedding").alias("e"))
-    cells = nodes.groupBy("graph_id").agg(F.ceil(F.count("*") / F.lit(CELL_NODES)).cast("int").alias("cells"))
-    dealt = held.join(cells, "graph_id").withColumn("cell", F.pmod(F.xxhash64("node_id"), F.col("cells")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-    paired = dealt.select("graph_id", "node_id", "node_seq", "e", F.least("cell", "other").alias("c1"), F.greatest("cell", "other").alias("c2"), (F.col("cell") > F.col("other")).alias("second"))
+    sizes = held.groupBy("graph_id").agg(F.ceil(F.count("*") / F.lit(CELL_NODES)).cast("int").alias("cells")).where("cells > 1")
+    if sizes.isEmpty():
+        paired = held.withColumns({"c1": F.lit(0).cast("long"), "c2": F.lit(0).cast("long"), "second": F.lit(False)})
+    else:
+        sizes = kept(sizes)
+        dealt, cells = vector_cells(held, sizes)
+        near = kept(cell_pairs(kept(cells), c.min_similarity).where("near").drop("near"))
+        ends = near.select("graph_id", F.col("c1").alias("cell"), "c1", "c2", F.lit(False).alias("second"))
+        ends = ends.unionByName(near.where("c1 < c2").select("graph_id", F.col("c2").alias("cell"), "c1", "c2", F.lit(True).alias("second")))
+        cols = ["graph_id", "node_id", "node_seq", "e", "c1", "c2", "second"]
+        small = held.join(sizes, "graph_id", "left_anti").withColumns({"c1": F.lit(0).cast("long"), "c2": F.lit(0).cast("long"), "second": F.lit(False)})
+        paired = dealt.join(ends, ["graph_id", "cell"]).select(*cols).unionByName(small.select(*cols))
     kinds = {f.name: f.dataType.simpleString() for f in held.schema}
     schema = f"graph_id {kinds['graph_id']}, src {kinds['node_id']}, dst {kinds['node_id']}, dseq long, sim double"
     s = paired.groupBy("graph_id", "c1", "c2").applyInArrow(_near(c.neighbours, c.min_similarity), schema)

@@ -12,15 +12,21 @@ DIALOG = "ARRAY<STRUCT<speaker: STRING, text: STRING, blip_caption: STRING>>"
 
 
 def read_items(spark: SparkSession, path: str) -> DataFrame:
-    """Items of session lists; malformed JSON raises."""
-    return spark.read.schema(ITEM).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    """Items of session lists, with their place (source_at); malformed JSON raises."""
+    return spark.read.schema(ITEM).option("multiLine", True).option("mode", "FAILFAST").json(path).withColumn("source_at", _place())
+
+
+def _place():
+    """Where a row stands in its source: a file of one JSON document is read by one task, in order."""
+    return F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("row"), F.lit(0).alias("nested"))
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
-    """A list of samples or an object with ``samples``; anything else raises. A sample without an identifier gets one made of its content."""
+    """A list of samples or an object with ``samples``; anything else raises. A sample without an identifier gets one made of its content; source_at is its place."""
     shape = f"{SAMPLE}, samples ARRAY<STRUCT<sample_id: STRING, conversation: MAP<STRING, STRING>, qa: {QA}>>"
-    raw = spark.read.schema(shape).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    nested = raw.where("samples IS NOT NULL").select(F.inline("samples"))
+    raw = spark.read.schema(shape).option("multiLine", True).option("mode", "FAILFAST").json(path).withColumn("source_at", _place())
+    nested = raw.where("samples IS NOT NULL").select("source_at", F.posexplode("samples").alias("at", "s"))
+    nested = nested.select("s.*", F.struct("source_at.file", "source_at.row", F.col("at").alias("nested")).alias("source_at"))
     rows = raw.where("samples IS NULL").drop("samples").unionByName(nested)
     known = F.when(F.col("conversation").isNull(), F.raise_error("neither a list of samples nor an object with samples")).otherwise(F.col("sample_id"))
     entries = F.to_json(F.array_sort(F.map_entries("conversation")))

@@ -1,5 +1,6 @@
 import json
 import math
+import random
 import re
 from collections import Counter
 
@@ -392,6 +393,36 @@ def test_cells_of_a_large_graph(spark, monkeypatch):
     assert found() == want and want
 
 
+def test_cells_that_are_skipped(spark, monkeypatch):
+    """Vectors in tight bundles, one of them shared by a third of all nodes: most pairs of cells are skipped, and no edge is lost."""
+    r = random.Random(2)
+    axes = [[1.0 if j == i else 0.0 for j in range(12)] for i in range(12)]
+    rows = [("g", i, i, [x + r.gauss(0, 0.03) for x in axes[i % 12]]) for i in range(240)] + [("g", 240 + i, 240 + i, axes[3]) for i in range(120)]
+    rows += [("g", 900, 900, [0.0] * 12), ("h", 1, 1, axes[0]), ("h", 2, 2, axes[0]), ("h", 3, 3, None)]
+    n = spark.createDataFrame(rows, "graph_id string, node_id long, node_seq long, embedding array<double>")
+    e = spark.createDataFrame([("g", 0, 12, 0.5), ("g", 12, 0, 0.5)], "graph_id string, src long, dst long, weight double")
+    found = lambda: sorted((x.graph_id, x.src, x.dst, round(x.weight, 9)) for x in G.similarity_edges(n, e).collect())
+    want = found()
+    monkeypatch.setattr(G, "CELL_NODES", 10)
+    assert found() == want and len(want) > 500
+    held = n.where("embedding IS NOT NULL").select("graph_id", "node_id", "node_seq", F.col("embedding").alias("e"))
+    _, cells = G.vector_cells(held, spark.createDataFrame([("g", 37)], "graph_id string, cells int"))
+    near = [x.near for x in G.cell_pairs(cells, 0.5).collect()]
+    assert len(near) > 300 and sum(near) < len(near) / 2
+    ragged = spark.createDataFrame([("g", 1, 1, [1.0, 2.0, 3.0]), ("g", 2, 2, [1.0])], "graph_id string, node_id long, node_seq long, embedding array<double>")
+    with pytest.raises(Exception, match="one length"):
+        G.similarity_edges(ragged, e).collect()
+
+
+def test_slices_go_by_file(spark, tmp_path):
+    for name, ids in (("a", "z b m".split()), ("b", "y a".split())):
+        (tmp_path / f"{name}.json").write_text(json.dumps([{"question_id": i} for i in ids]))
+    (tmp_path / "s.json").write_text(json.dumps({"samples": [{**sample(0), "sample_id": i} for i in "z b m a".split()]}))
+    picked = lambda style, path, start, n: {r.graph_id for r in jobs._source(spark, style, str(path), None, start, n).collect()}
+    assert picked("sessions", f"{tmp_path}/[ab].json", 1, 3) == {"b", "m", "y"} and picked("sessions", f"{tmp_path}/[ab].json", 4, None) == {"a"}
+    assert picked("speakers", tmp_path / "s.json", 0, 1) == {"z"} and picked("speakers", tmp_path / "s.json", 2, 2) == {"m", "a"}
+
+
 def test_greedy_clusters_against_loops(spark):
     n, e = catalog._linked(spark, SF)
     hubs = G.hubs(G.degrees(n, e)).collect()
