@@ -11,6 +11,7 @@ as module:function, a function that makes the hook.
 import argparse
 import importlib
 import json
+from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,7 @@ from engram.operators import metrics as M
 from engram.operators import select as S
 from engram.plans import answer as A
 from engram.plans import encode as E
+from engram.plans.cache import ModelCache
 from engram.plans.state import kept
 from engram.sources import sinks
 from engram.sources.segments import Segments, knowledge, memory_graph
@@ -58,26 +60,30 @@ def results(spark: SparkSession, out: str) -> Segments:
 
 
 def encode(spark: SparkSession, style: str, source: str, memory: str, as_of: str, ids: list[str] | None = None, start: int = 0, n: int | None = None,
-           skip_knowledge: bool = False, encoder=hashed_encoder, model=extractive_model) -> DataFrame:
+           skip_knowledge: bool = False, encoder=hashed_encoder, model=extractive_model, cache: str | None = None, version: str = "") -> DataFrame:
     """Stores the memories and the knowledge of every chosen sample in one commit; returns the summary, which is also written.
 
     Encoding a graph again replaces it. A graph without a turn is stored empty and counts as failed; the
     table encode_samples under ``memory`` has a row for each sample, with the error of those that failed.
+    ``cache`` is a folder that keeps what the models of this ``version`` gave, and how far profiles are folded,
+    so that a run that is repeated asks for nothing twice.
     """
+    known = None if cache is None else ModelCache(spark, cache, version)
+    progress = None if cache is None else Segments(spark, f"{cache}/folds-{sha256(version.encode()).hexdigest()[:16]}", E.PROGRESS)
     rows, now, c = _source(spark, style, source, ids, start, n), F.lit(as_of), STYLES[style]
     graphs = kept(rows.select("graph_id").distinct())
     turns = kept(E.item_turns(rows, now) if style == "sessions" else E.sample_turns(rows))
-    nodes, edges = E.memory_graph(turns, encoder)
+    nodes, edges = E.memory_graph(turns, encoder, cache=known)
     state = {"nodes": nodes, "edges": edges}
     if not skip_knowledge:
         ordered = turns.withColumn("order", F.struct("session_seq", "turn_seq"))
-        found = kept(E.extract(E.batch_texts(ordered, "graph_id", "order", c), model))
+        found = kept(E.extract(E.batch_texts(ordered, "graph_id", "order", c), model, known))
         whole = style == "sessions"
-        state["facts"], state["fact_edges"] = E.knowledge_graph(E.facts(found, "private", whole), ["batch", "line_no"], now, encoder)
-        seq = E.knowledge_graph(E.facts(found, "assistant", whole), ["batch", "line_no"], now, encoder)[0]
+        state["facts"], state["fact_edges"] = E.knowledge_graph(E.facts(found, "private", whole), ["batch", "line_no"], now, encoder, known)
+        seq = E.knowledge_graph(E.facts(found, "assistant", whole), ["batch", "line_no"], now, encoder, known)[0]
         told = seq.select("graph_id", F.col("node_seq").alias("ak_seq"), F.col("content").alias("knowledge"), "ts", "embedding")
         state["assistant"] = K.add_assistant_knowledge(spark.createDataFrame([], told.schema), told)
-        state["profiles"] = E.fold_extracted(found, model).withColumn("last_updated", now)
+        state["profiles"] = E.fold_extracted(found, model, progress=progress).withColumn("last_updated", now)
     Segments(spark, memory).commit(state, graphs=graphs)
     size = turns.groupBy("graph_id").agg(F.count("*").alias("n_nodes"), F.sum(F.length("user_text") + F.length("ai_text")).alias("n_chars"))
     samples = graphs.join(size, "graph_id", "left").withColumn("error", F.when(F.col("n_nodes").isNull(), "no turn")).fillna(0, ["n_nodes", "n_chars"])
@@ -183,7 +189,7 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("--style", choices=list(STYLES), required=True)
     for name in ("source", "memory", "as-of"):
         parser.add_argument(f"--{name}", required=True)
-    for name in ("out", "encoder", "model", "extractor", "judge"):
+    for name in ("out", "encoder", "model", "extractor", "judge", "cache", "version"):
         parser.add_argument(f"--{name}")
     parser.add_argument("--ids", nargs="*")
     parser.add_argument("--corrupted", nargs="*")
@@ -198,7 +204,7 @@ def main(arguments: list[str] | None = None) -> None:
     extractor = _hook(a.extractor or a.model, extractive_model)
     hooks = {"encoder": _hook(a.encoder, hashed_encoder), "model": _hook(a.model, recalling_model)}
     if a.job == "encode":
-        out = encode(spark, a.style, a.source, a.memory, a.as_of, a.ids, a.start, a.n, a.skip_knowledge, hooks["encoder"], extractor)
+        out = encode(spark, a.style, a.source, a.memory, a.as_of, a.ids, a.start, a.n, a.skip_knowledge, hooks["encoder"], extractor, a.cache, a.version or f"{a.encoder} {a.extractor or a.model}")
     elif not a.out:
         parser.error("evaluate needs --out")
     elif a.style == "speakers":

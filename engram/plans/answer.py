@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 
 from engram.config import DEFAULT, MemoryConfig
 from engram.functions import prompts as P
-from engram.functions.models import completion, embedding, hashed_encoder, recalling_model, replies
+from engram.functions.models import completion, embedding, hashed_encoder, recalling_model
 from engram.functions.text import frequent, judged, tokens
 from engram.operators.knowledge import search_knowledge
+from engram.plans.cache import ModelCache, with_replies
 from engram.plans.rounds import sequential
 from engram.plans.state import kept
 
@@ -40,13 +41,13 @@ def answer_prompts(questions: DataFrame, results: DataFrame, contents: DataFrame
     return q.select("query_id", "graph_id", F.concat_ws("\n\n", F.lit(INSTRUCTION), *sections, F.concat(F.lit("Question: "), "question")).alias("prompt"))
 
 
-def answers(prompts: DataFrame, make=recalling_model) -> DataFrame:
+def answers(prompts: DataFrame, make=recalling_model, cache: ModelCache | None = None) -> DataFrame:
     """The prompts with the model's answer, and why there is none where it failed."""
-    return prompts.withColumn("r", replies(F.col("prompt"), make)).withColumns({"answer": F.col("r.reply"), "error": F.col("r.error")}).drop("r")
+    return with_replies(prompts, F.col("prompt"), make, cache).withColumns({"answer": F.col("r.reply"), "error": F.col("r.error")}).drop("r")
 
 
 def answer_questions(memory: tuple[DataFrame, DataFrame], knowledge: dict[str, DataFrame], asked: DataFrame, k: int = DEFAULT.top_k, kb_k: int = DEFAULT.kb_top_k,
-                     c: MemoryConfig = DEFAULT, encode=hashed_encoder, make=recalling_model) -> tuple[DataFrame, DataFrame, DataFrame]:
+                     c: MemoryConfig = DEFAULT, encode=hashed_encoder, make=recalling_model, cache: ModelCache | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(answers, results, gains): what is retrieved from a graph's memories and its knowledge, its profile and the assistant's traits, in one prompt a question.
 
     asked: query_id, graph_id, qa_index, question, asked_on. ``knowledge`` is as ``load_knowledge`` gives it. Questions of
@@ -63,7 +64,7 @@ def answer_questions(memory: tuple[DataFrame, DataFrame], knowledge: dict[str, D
     known = seen.join(texts, ["graph_id", "node_id", "origin"]).select("query_id", "out_rank", "content")
     traits = knowledge["assistant"].select("graph_id", F.col("ak_seq").alias("seq"), F.col("knowledge").alias("content"))
     prompts = answer_prompts(asked, found, nodes.select("graph_id", "node_id", "content", "ts"), knowledge["profiles"], known, traits, c)
-    return answers(prompts, make), found, gains
+    return answers(prompts, make, cache), found, gains
 
 
 def judgements(rows: DataFrame, make) -> DataFrame:

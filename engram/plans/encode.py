@@ -1,5 +1,6 @@
 """From conversation logs to memory graphs and extracted knowledge."""
 
+import hashlib
 import re
 from collections.abc import Callable
 
@@ -9,11 +10,14 @@ from pyspark.sql import functions as F
 
 from engram.config import DEFAULT, MemoryConfig
 from engram.functions import prompts as P
-from engram.functions.models import Encoder, TextModel, completion, embedding, extractive_model, hashed_encoder
+from engram.functions.models import Encoder, TextModel, completion, extractive_model, hashed_encoder
 from engram.functions.text import clean_line, fact_line, lines, strip
 from engram.operators import dialogue as D
 from engram.operators import graph as G
 from engram.operators.knowledge import stated, with_keywords, with_model_keywords
+from engram.plans.cache import ModelCache, with_replies, with_vectors
+from engram.plans.state import kept
+from engram.sources.segments import Segments
 from engram.sources.store import dialogs
 
 Make = Callable[[], TextModel]
@@ -37,7 +41,7 @@ def sample_turns(samples: DataFrame) -> DataFrame:
     return out.select(F.col("sample_id").alias("graph_id"), "session_seq", "turn_seq", "ts", "user_text", "ai_text")
 
 
-def memory_graph(turns: DataFrame, make: Callable[[], Encoder] = hashed_encoder, keyword_model: Make | None = None) -> tuple[DataFrame, DataFrame]:
+def memory_graph(turns: DataFrame, make: Callable[[], Encoder] = hashed_encoder, keyword_model: Make | None = None, cache: ModelCache | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes with vectors and keywords, and the edges between following nodes. Identifiers are the order in the graph.
 
     Keywords are the most frequent words, unless a model is given to name them.
@@ -45,7 +49,7 @@ def memory_graph(turns: DataFrame, make: Callable[[], Encoder] = hashed_encoder,
     t = turns.withColumn("order", F.struct("session_seq", "turn_seq"))
     nodes = D.memory_nodes(t, "graph_id", "order", "ts").withColumn("node_id", F.col("node_seq"))
     named = with_model_keywords(nodes, "content", keyword_model) if keyword_model else with_keywords(nodes, "content")
-    return named.withColumn("embedding", embedding(F.col("content"), make)), G.temporal_edges(nodes)
+    return with_vectors(named, F.col("content"), make, cache), G.temporal_edges(nodes)
 
 
 def batch_texts(turns: DataFrame, key: str, order: str, c: MemoryConfig = DEFAULT) -> DataFrame:
@@ -56,13 +60,14 @@ def batch_texts(turns: DataFrame, key: str, order: str, c: MemoryConfig = DEFAUL
     return lines.select("graph_id", "batch", F.array_join(F.transform("l", lambda x: x["content"]), "\n").alias("text"))
 
 
-def extract(batches: DataFrame, make: Make = extractive_model) -> DataFrame:
+def extract(batches: DataFrame, make: Make = extractive_model, cache: ModelCache | None = None) -> DataFrame:
     """Per buffer: profile, private facts and assistant facts as the model replies.
 
     A profile reply without the marker has no private part ("None"); one with several markers loses its whole buffer.
     """
-    ask = lambda text: completion(P.about(text, F.col("text")), make)
-    r = batches.select("graph_id", "batch", ask(P.PROFILE.format(marker=P.MARKER)).alias("r"), ask(P.TRAITS).alias("assistant"))
+    rows = with_replies(batches.select("graph_id", "batch", "text"), P.about(P.PROFILE.format(marker=P.MARKER), F.col("text")), make, cache, "r")
+    rows = with_replies(rows, P.about(P.TRAITS, F.col("text")), make, cache, "t")
+    r = rows.select("graph_id", "batch", F.col("r.reply").alias("r"), F.col("t.reply").alias("assistant"))
     r = r.withColumn("p", split_reply(F.col("r"), P.MARKER)).where("NOT p.failed")
     return r.select("graph_id", "batch", strip(F.col("p.profile")).alias("profile"), strip(F.col("p.private")).alias("private"), "assistant")
 
@@ -88,30 +93,70 @@ def facts(extracted: DataFrame, column: str, whole: bool = False) -> DataFrame:
     return rows.withColumn("content", clean_line(F.col("raw"))).where(F.col("content").isNotNull() & stated(F.col("content"))).drop("raw")
 
 
-def knowledge_graph(found: DataFrame, order: list[str], ts: Column | None = None, make: Callable[[], Encoder] = hashed_encoder) -> tuple[DataFrame, DataFrame]:
+def knowledge_graph(found: DataFrame, order: list[str], ts: Column | None = None, make: Callable[[], Encoder] = hashed_encoder, cache: ModelCache | None = None) -> tuple[DataFrame, DataFrame]:
     """Facts (graph_id, content) as nodes of a knowledge graph, in that order, and the edges between following ones."""
     seq = (F.row_number().over(Window.partitionBy("graph_id").orderBy(*order)) - 1).cast("long")
     nodes = found.select("graph_id", seq.alias("node_seq"), seq.alias("node_id"), "content", F.lit("system").alias("role"), (F.lit(None).cast("string") if ts is None else ts).alias("ts"))
     nodes = nodes.withColumn("metadata", F.create_map(F.lit("type"), F.lit("fact")))
-    return with_keywords(nodes, "content").withColumn("embedding", embedding(F.col("content"), make)), G.temporal_edges(nodes)
+    return with_vectors(with_keywords(nodes, "content"), F.col("content"), make, cache), G.temporal_edges(nodes)
 
 
-def fold_extracted(extracted: DataFrame, make: Make = extractive_model, stored: DataFrame | None = None) -> DataFrame:
-    """One profile per graph, going on from the stored one (graph_id, data) where there is one.
+#: Batches of a graph that are folded in one task, between two stores of the progress.
+FOLD = 50
+PROGRESS = {"folds": "graph_id {key}, batch LONG, digest STRING, data STRING"}
 
-    Each step needs the one before, so a graph's short profile texts are folded in one task.
-    """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        model, profile = make(), ""
-        for new in rows.sort_values("batch")["profile"]:
-            profile = model(f"{P.MERGE}\n\n{P.MATERIAL}\n{profile}\n{new}") if profile else new
-        return pd.DataFrame({"graph_id": rows["graph_id"].iloc[:1], "data": [profile]})
+def _fold(make: Make, end: int | None = None):
+    """Goes on with a graph's profile, up to the batch before ``end``. Rows: batch, profile and, from an earlier chunk or run, state (digest of all it has folded, and the profile)."""
+
+    def chain(digest: str, text: str) -> str:
+        return hashlib.sha256(f"{digest}\0{text}".encode()).hexdigest()
 
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("batch", kind="stable")
+        held = rows[rows["digest"].notna()]
+        state = (held["batch"].iloc[-1], held["digest"].iloc[-1], held["data"].iloc[-1]) if len(held) else None
+        rows, model, profile, digest, last = rows[rows["digest"].isna()], make(), "", "", -2
+        done = ""
+        for batch, new in zip(rows["batch"], rows["profile"], strict=True):
+            done = chain(done, new) if state and batch <= state[0] else done
+        begin = -2
+        if state and done == state[1]:  # what it has folded is what these batches are
+            begin, digest, profile = state
+            last = begin
+        for batch, new in zip(rows["batch"], rows["profile"], strict=True):
+            if batch > begin and (end is None or batch < end):
+                profile = model(f"{P.MERGE}\n\n{P.MATERIAL}\n{profile}\n{new}") if profile else new
+                digest, last = chain(digest, new), batch
+        return pd.DataFrame({"graph_id": rows["graph_id"].iloc[:1], "batch": [last], "digest": [digest], "data": [profile]})
+
+    return fold
+
+
+def fold_extracted(extracted: DataFrame, make: Make = extractive_model, stored: DataFrame | None = None, progress: Segments | None = None) -> DataFrame:
+    """One profile per graph (graph_id, data), going on from the stored one where there is one.
+
+    Each step needs the one before, so a graph's short profile texts are folded in one task. With ``progress``,
+    a store of ``PROGRESS``, it is FOLD batches at a time, and each chunk's state is stored: a run that fails goes on where it
+    stopped, as long as the batches it has folded are the same, and does not call the model for them again.
+    """
+    kind = extracted.schema["graph_id"].dataType.simpleString()
     rows = extracted.select("graph_id", F.col("batch").cast("long").alias("batch"), "profile")
     if stored is not None:
         rows = rows.unionByName(stored.select("graph_id", F.lit(-1).cast("long").alias("batch"), F.col("data").alias("profile")))
-    return rows.groupBy("graph_id").applyInPandas(fold, f"graph_id {rows.schema['graph_id'].dataType.simpleString()}, data string")
+    rows = rows.withColumns({"digest": F.lit(None).cast("string"), "data": F.lit(None).cast("string")})
+    shape = f"graph_id {kind}, batch long, digest string, data string"
+    if progress is None:
+        return rows.groupBy("graph_id").applyInPandas(_fold(make), shape).select("graph_id", "data")
+    rows = kept(rows)
+    graphs = rows.select("graph_id").distinct()
+    most = rows.agg(F.max("batch")).first()[0]
+    for end in range(FOLD, (most if most is not None else -1) + FOLD + 1, FOLD):
+        known = progress.read("folds").join(graphs, "graph_id", "left_semi").withColumn("profile", F.lit(None).cast("string"))
+        begun = rows.where(F.col("batch") >= end - FOLD).select("graph_id").distinct() if end > FOLD else graphs
+        state = rows.unionByName(known).join(begun, "graph_id", "left_semi").groupBy("graph_id").applyInPandas(_fold(make, end), shape)
+        progress.commit({"folds": state}, graphs=begun)
+    return progress.read("folds").join(graphs, "graph_id", "left_semi").select("graph_id", "data")
 
 
 def cluster_texts(nodes: DataFrame, edges: DataFrame, c: MemoryConfig = DEFAULT) -> DataFrame:

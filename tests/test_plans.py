@@ -1,7 +1,9 @@
+import hashlib
 import json
 import math
 import random
 import re
+import uuid
 from collections import Counter
 
 import pandas as pd
@@ -18,6 +20,7 @@ from engram.operators import metrics as M
 from engram.operators import retrieve as R
 from engram.plans import answer, encode
 from engram.plans import rounds as folds
+from engram.plans.cache import ModelCache
 from engram.sources import store
 from engram.sources.segments import ConflictingCommit, Segments, knowledge, memory_graph
 from engram.streaming.ingest import ingest, stored_batch, stream_into
@@ -626,3 +629,64 @@ def test_fold_without_queries(spark):
     assert found.count() == 0 and gains.count() == 0 and "qa_index" in found.columns
     found, gains = folds.sequential(n.limit(0), G.temporal_edges(n), catalog.vec_queries(n).withColumn("qa_index", F.lit(0)))
     assert found.count() == 0
+
+
+def counted(path, reply):
+    """A model that notes each call in a file of its own."""
+
+    def make():
+        def ask(prompt):
+            with open(f"{path}/{hashlib.sha256(prompt.encode()).hexdigest()[:12]}-{uuid.uuid4().hex}", "w"):
+                pass
+            return reply(prompt)
+
+        return ask
+
+    return make
+
+
+def test_model_cache(spark, tmp_path):
+    (tmp_path / "calls").mkdir()
+    calls = lambda: len(list((tmp_path / "calls").iterdir()))
+    model = counted(tmp_path / "calls", lambda p: p.upper() if p != "bad" else 1 / 0)
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(["a", "b", "a", "bad", None] + ["b"] * 30)], "i long, t string").repartition(4)
+    cache = ModelCache(spark, str(tmp_path / "c"), "one")
+    for more, others in ((2 + 3, "one"), (3, "one"), (5, "two")):  # a failed prompt is tried three times, and again later
+        before, cache = calls(), ModelCache(spark, str(tmp_path / "c"), others)
+        got = {r.i: (r.t, r.r) for r in cache.replies(rows, F.col("t"), model).collect()}
+        assert calls() == before + more and len(got) == 35
+        assert all(r["reply"] == t.upper() and r["error"] is None for t, r in got.values() if t in ("a", "b")) and "ZeroDivisionError" in got[3][1]["error"] and got[4][1] is None
+
+
+def test_encoding_twice_asks_once(spark, tmp_path):
+    (tmp_path / "calls").mkdir()
+    (tmp_path / "s.json").write_text(json.dumps([sample(1, 12), sample(2)]))
+    model = counted(tmp_path / "calls", models.extractive_model())
+    stored = []
+    for k in range(2):
+        memory = str(tmp_path / f"m{k}")
+        jobs.encode(spark, "speakers", str(tmp_path / "s.json"), memory, "2024-02-01 00:00:00", model=model, cache=str(tmp_path / "cache"), version="v")
+        stored.append((len(list((tmp_path / "calls").iterdir())), *(sorted(map(str, Segments(spark, memory).read(t).select("graph_id", *c).collect())) for t, c in (("nodes", ["node_id", "embedding"]), ("profiles", ["data"]), ("facts", ["content", "embedding"])))))
+    assert stored[0] == stored[1] and stored[0][0] > 4
+
+
+def test_fold_goes_on(spark, tmp_path, monkeypatch):
+    """After a failure the model is called only for the batches behind the last stored chunk; changed batches are folded anew."""
+    monkeypatch.setattr(encode, "FOLD", 2)
+    (tmp_path / "calls").mkdir()
+    calls = lambda: len(list((tmp_path / "calls").iterdir()))
+    frame = lambda texts: spark.createDataFrame([("g", i, t) for i, t in enumerate(texts)] + [("h", 0, "x")], "graph_id string, batch long, profile string")
+    join = lambda p: "|".join(p.split("\n")[-2:])
+    progress = Segments(spark, str(tmp_path / "p"), encode.PROGRESS)
+
+    def lost():
+        raise ValueError("lost")
+
+    with pytest.raises(Exception, match="lost"):
+        encode.fold_extracted(frame("abcdefg"), counted(tmp_path / "calls", lambda p: lost() if p.endswith("f") else join(p)), progress=progress).collect()
+    before = calls()
+    assert before >= 5  # b, c, d, e and the failing f, tried again by Spark
+    got = {r.graph_id: r.data for r in encode.fold_extracted(frame("abcdefg"), counted(tmp_path / "calls", join), progress=progress).collect()}
+    assert got == {"g": "a|b|c|d|e|f|g", "h": "x"} and calls() == before + 3  # e, f, g
+    got = {r.graph_id: r.data for r in encode.fold_extracted(frame("aBc"), counted(tmp_path / "calls", join), progress=progress).collect()}
+    assert got == {"g": "a|B|c", "h": "x"}
