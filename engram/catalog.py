@@ -19,7 +19,9 @@ from engram.operators import select as S
 from engram.plans import answer as A
 from engram.plans import encode as E
 from engram.plans.rounds import sequential
-from engram.sources.store import dialog_text
+from engram.plans.state import folder
+from engram.sources.segments import Segments
+from engram.sources.store import dialog_text, dialogs
 
 QUERIES, ORACLES = {}, {}
 #: The cutoff of 0.5 finds no pair in the given vectors.
@@ -149,6 +151,39 @@ def buffer_batches(spark, sf):
     return D.buffers(turns(spark, sf), "conv_id", "turn")
 
 
+def _stripped_sql(c):
+    return f"regexp_replace({c}, '^{T.SPACE}+|{T.SPACE}+$', '', 'g')"
+
+
+@query(f"""WITH x AS (SELECT conv_id, role, CASE WHEN turn >= 12 THEN 1000000000 ELSE turn // 4 + 1 END AS s, row_number() OVER (PARTITION BY conv_id, least(turn // 4, 3) ORDER BY turn) - 1 AS pos,
+  {_stripped_sql("CASE WHEN turn % 5 = 0 THEN ' ' ELSE text END")} AS t, CASE WHEN turn % 2 = 0 THEN 'photo ' || turn END AS cap FROM conversations)
+SELECT * FROM (SELECT CAST(conv_id AS VARCHAR) AS sample_id, CAST(s AS INTEGER) AS session_seq, CAST(pos AS INTEGER) AS pos, CASE WHEN s IN (1, 3) THEN 'day ' || s END AS ts, role = 'user' AS is_user,
+  CASE WHEN cap IS NULL THEN t WHEN t = '' THEN '[image: ' || cap || ']' ELSE t || ' [image: ' || cap || ']' END AS text FROM x) WHERE text <> ''""")
+def session_rows(spark, sf):
+    """Samples whose sessions are keys of a document: in numeric order, the one without a number last, some without a date; empty dialogs go."""
+    part = F.least(F.floor(F.col("turn") / 4), F.lit(3))
+    name = F.when(part == 3, "session_last").otherwise(F.concat(F.lit("session_"), part + 1))
+    line = F.struct("turn", F.when(F.col("role") == "user", "A").otherwise("B").alias("speaker"), F.when(F.col("turn") % 5 == 0, " ").otherwise(F.col("text")).alias("text"),
+                    F.when(F.col("turn") % 2 == 0, F.concat(F.lit("photo "), "turn")).alias("blip_caption"))
+    bodies = read(spark, sf, "conversations").groupBy("conv_id", name.alias("key")).agg(F.to_json(F.transform(F.array_sort(F.collect_list(line)), lambda x: x.dropFields("turn"))).alias("body"))
+    dates = F.array(*[F.struct(F.lit(f"session_{i}_date_time").alias("key"), F.lit(f"day {i}").alias("body")) for i in (1, 3)], F.struct(F.lit("speaker_a").alias("key"), F.lit("A").alias("body")))
+    talk = F.map_from_entries(F.concat(dates, F.collect_list(F.struct("key", "body")))).alias("conversation")
+    return dialogs(bodies.groupBy(F.col("conv_id").cast("string").alias("sample_id")).agg(talk))
+
+
+@query(f"""WITH x AS (SELECT *, turn // 6 AS s, max(turn // 6) OVER (PARTITION BY conv_id) AS last, row_number() OVER w - 1 AS pos, lead(role) OVER w AS nr, lead(text) OVER w AS ai
+  FROM conversations WINDOW w AS (PARTITION BY conv_id, turn // 6 ORDER BY turn))
+SELECT conv_id AS graph_id, CAST(s AS INTEGER) AS session_seq, CAST(pos AS INTEGER) AS turn_seq, CASE WHEN s < last THEN 'day ' || s ELSE 'today' END AS ts, text AS user_text, ai AS ai_text
+FROM x WHERE role = 'user' AND nr = 'assistant'""")
+def session_list_turns(spark, sf):
+    """Items of session lists, whose last session has no date and gets the present one."""
+    rows = read(spark, sf, "conversations").groupBy("conv_id", F.floor(F.col("turn") / 6).alias("s")).agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("r"))
+    rows = rows.select("conv_id", "s", F.transform("r", lambda x: x.dropFields("turn")).alias("r"))
+    lists = rows.groupBy(F.col("conv_id").alias("question_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("s", "r"))), lambda x: x["r"]).alias("haystack_sessions"))
+    days = F.transform(F.filter(F.sequence(F.lit(-1), F.size("haystack_sessions") - 2), lambda i: i >= 0), lambda i: F.concat(F.lit("day "), i))
+    return E.item_turns(lists.withColumn("haystack_dates", days), F.lit("today"))
+
+
 @query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url WHEN page_id % 3 = 1 THEN '[image: ' || url || ']' ELSE url || ' [image: ' || url || ']' END AS text FROM pages")
 def dialog_text_rows(spark, sf):
     p, k = read(spark, sf, "pages"), F.col("page_id") % 3
@@ -173,6 +208,17 @@ def clean_lines(spark, sf):
     return rows.select("doc_id", T.clean_line(F.col("raw")).alias("line")).where("line IS NOT NULL")
 
 
+@query(f"""WITH x AS (SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN ' None ' WHEN 1 THEN '- NONE' WHEN 2 THEN '- None.' || chr(10) || text ELSE text END AS text FROM documents),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM x WHERE lower({_stripped_sql("text")}) NOT IN ('', 'none', '- none')),
+c AS (SELECT doc_id, line_no, {_stripped_sql("ltrim(" + _stripped_sql("raw") + ", '- ')")} AS content FROM l)
+SELECT doc_id AS graph_id, 0 AS batch, CAST(line_no AS INTEGER) AS line_no, content FROM c WHERE content <> '' AND lower(content) <> 'none' AND NOT starts_with(content, '【') AND content NOT IN ('- None', '- None.')""")
+def clean_blocks(spark, sf):
+    """The session-list style: a text that is none as a whole goes first, and only line feeds end a line."""
+    k, text = F.col("doc_id") % 9, F.col("text")
+    text = F.when(k == 0, " None ").when(k == 1, "- NONE").when(k == 2, F.concat(F.lit("- None.\n"), text)).otherwise(text)
+    return E.facts(read(spark, sf, "documents").select(F.col("doc_id").alias("graph_id"), F.lit(0).alias("batch"), text.alias("private")), "private", whole=True)
+
+
 @query(f"WITH {LINES}, c AS (SELECT doc_id, regexp_replace(regexp_replace(raw, '^- ', ''), '^{T.SPACE}+|{T.SPACE}+$', '', 'g') AS line FROM s) SELECT doc_id, line FROM c WHERE length(line) > 10 AND lower(line) <> 'none'")
 def fact_lines(spark, sf):
     rows = read(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("raw"))
@@ -320,14 +366,24 @@ def hub_nodes(spark, sf):
     return h.select("graph_id", "node_id", F.col("hub_rank").cast("long").alias("hub_rank"), F.round("hub_score", 9).alias("hub_score"))
 
 
-@query()
+CLUSTERS = ALL_EDGES.replace("n AS (", "RECURSIVE n AS (", 1) + """,
+h AS (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY round(degree * total_weight, 9) DESC, node_seq) AS k FROM dg WHERE degree >= 3),
+l AS (SELECT graph_id, src, list(dst ORDER BY r) AS near FROM (SELECT *, row_number() OVER (PARTITION BY graph_id, src ORDER BY round(weight, 12) DESC, dst) AS r FROM ae) WHERE r < 8 GROUP BY ALL),
+hh AS (SELECT h.graph_id, h.k, h.node_id AS hub, l.near FROM h JOIN l ON h.graph_id = l.graph_id AND h.node_id = l.src WHERE h.k <= 20),
+fold AS (SELECT DISTINCT graph_id, 0::BIGINT AS k, []::BIGINT[] AS done, NULL::BIGINT AS hub, []::BIGINT[] AS members FROM hh
+  UNION ALL SELECT graph_id, k, CASE WHEN taken THEN done ELSE list_concat(done, new) END, hub, CASE WHEN taken THEN [] ELSE new END
+  FROM (SELECT f.graph_id, hh.k, f.done, hh.hub, list_contains(f.done, hh.hub) AS taken, list_filter(list_concat([hh.hub], hh.near), lambda x: NOT list_contains(f.done, x)) AS new FROM fold f JOIN hh ON f.graph_id = hh.graph_id AND hh.k = f.k + 1)),
+cl AS (SELECT graph_id, hub, members FROM fold WHERE len(members) >= 2)"""
+
+
+@query(f"WITH {CLUSTERS} SELECT graph_id, hub, array_to_string(members, ',') AS members FROM cl")
 def greedy_clusters(spark, sf):
     n, e = _linked(spark, sf)
     c = G.greedy_clusters(G.hubs(G.degrees(n, e)), e.withColumn("edge_seq", F.col("dst")))
     return c.select("graph_id", "hub", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
 
 
-@query()
+@query(f"WITH {CLUSTERS} SELECT graph_id, hub, array_to_string(list_transform(members, lambda x: 'node ' || x), chr(10)) AS texts FROM cl")
 def consolidation_plan(spark, sf):
     """Texts of each cluster as they would go to the text model, cut at 1500 characters."""
     contents = vec_nodes(spark, sf).select("graph_id", F.col("node_id").cast("string").alias("m"), F.substring(F.concat(F.lit("node "), "node_id"), 1, 1500).alias("c"))
@@ -336,6 +392,31 @@ def consolidation_plan(spark, sf):
     return out.select("graph_id", "hub", F.array_join(F.transform("l", lambda x: x["c"]), "\n").alias("texts"))
 
 
+@query(f"WITH {UPSERT} SELECT graph_id, src, dst, round(weight, 9) AS weight FROM v")
+def stored_edges(spark, sf):
+    """A graph that is stored, reinforced by increments in a commit of its own, compacted and read again."""
+    n = vec_nodes(spark, sf)
+    e = G.temporal_edges(n)
+    store = Segments(spark, folder(spark, "edges"), key="bigint")
+    store.commit({"edges": e})
+    store.commit(add={"edges": G.both_ways(G.reinforce_pairs(R.retrieve(n, e, vec_queries(n), k=10)))})
+    store.compact()
+    return store.read("edges").select("graph_id", "src", "dst", F.round("weight", 9).alias("weight"))
+
+
+@query("""SELECT user_id AS graph_id, event_type || ' ' || event_id AS data, CAST(date_trunc('second', ts) AS VARCHAR) AS last_updated
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type = 'signup' ORDER BY ts DESC, event_id DESC) AS r, max(event_type = 'signup') OVER (PARTITION BY user_id) AS signed FROM events)
+WHERE r = 1 AND (event_type = 'signup') = signed""")
+def stored_profiles(spark, sf):
+    """Profiles of all users are stored; a second commit replaces those of users who signed up."""
+    e = read(spark, sf, "events").select(F.col("user_id").alias("graph_id"), F.struct("ts", "event_id").alias("at"), F.concat("event_type", F.lit(" "), "event_id").alias("data"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("last_updated"), "event_type")
+    newest = lambda df: df.groupBy("graph_id").agg(F.max_by(F.struct("data", "last_updated"), "at").alias("p")).select("graph_id", "p.*")
+    store = Segments(spark, folder(spark, "profiles"), key="bigint")
+    store.commit({"profiles": newest(e.where("event_type <> 'signup'"))})
+    store.commit({"profiles": newest(e.where("event_type = 'signup'"))})
+    return store.read("profiles")
+
+
 def as_of():
     return F.lit("2024-02-01 00:00:00").cast("timestamp")
 
@@ -478,6 +559,38 @@ def judge_accuracy(spark, sf):
     return M.accuracy(j)
 
 
+@query("SELECT doc_id, contains(source || '_' || lang || CASE WHEN doc_id % 7 = 0 THEN '_abs' ELSE '' END, 'abs') AS abstains FROM documents")
+def abstention(spark, sf):
+    name = F.concat("source", F.lit("_"), "lang", F.when(F.col("doc_id") % 7 == 0, "_abs").otherwise(""))
+    return read(spark, sf, "documents").select("doc_id", T.abstains(name).alias("abstains"))
+
+
+@query("SELECT page_id, 'sample_' || left(sha256(url || chr(31) || html), 12) AS sample_id FROM pages")
+def sample_identifiers(spark, sf):
+    return read(spark, sf, "pages").select("page_id", T.sample_key(F.col("url"), F.col("html")).alias("sample_id"))
+
+
+@query("""SELECT user_id, string_agg('- ' || event_type || ' ' || event_id, chr(10) ORDER BY ts, event_id) AS traits
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 100 GROUP BY 1""")
+def bullet_lists(spark, sf):
+    """What is retained of each user, as the list that a prompt shows."""
+    rows = K.retain(read(spark, sf, "events"), "user_id", [F.desc("ts"), F.desc("event_id")])
+    rows = rows.select("user_id", F.struct("ts", "event_id").alias("at"), F.concat("event_type", F.lit(" "), "event_id").alias("content"))
+    return A.listed(rows, "user_id", "at", "content", "traits")
+
+
+@query("SELECT event_id, printf('%.2f', value) AS shown FROM events")
+def shown_scores(spark, sf):
+    return read(spark, sf, "events").select("event_id", T.two_decimals(F.col("value")).alias("shown"))
+
+
+@query("""WITH u AS (SELECT vec_id, embedding, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings)
+SELECT vec_id, unnest(range(len(embedding))) AS place, round(unnest(list_transform(embedding, lambda x: CAST(x / n AS FLOAT)))::DOUBLE, 6) AS value FROM u""")
+def unit_vectors(spark, sf):
+    v = read(spark, sf, "embeddings").select("vec_id", F.posexplode(T.unit(F.col("embedding"))).alias("place", "value"))
+    return v.select("vec_id", F.col("place").cast("long").alias("place"), F.round(F.col("value").cast("double"), 6).alias("value"))
+
+
 @query("SELECT doc_id, CASE WHEN doc_id % 97 = 0 THEN 'corrupted' WHEN quality IS NULL THEN 'missing' WHEN toxic = 1 THEN 'empty' ELSE 'evaluated' END AS status FROM documents LEFT JOIN labels USING (doc_id)")
 def item_status(spark, sf):
     d = read(spark, sf, "documents").join(read(spark, sf, "labels"), "doc_id", "left")
@@ -598,8 +711,10 @@ def profile_fold(spark, sf):
     return E.fold_extracted(E.extract(batch_texts(spark, sf)))
 
 
-@query()
+@query(f"""WITH {CLUSTERS} SELECT graph_id, hub, 0 AS line_no, 'passage of node ' || members[1] AS content FROM cl
+UNION ALL SELECT graph_id, hub, 2, 'passage of node ' || members[2] FROM cl""")
 def consolidate(spark, sf):
+    """The default model repeats the first three lines of a cluster's texts; the line between two texts is no fact."""
     n = vec_nodes(spark, sf).withColumn("content", F.concat(F.lit("passage of node "), "node_id"))
     return E.consolidate(n, G.temporal_edges(n), c=LINKED)
 

@@ -146,3 +146,13 @@ def category_name(c: Column) -> Column:
 
 def keyword_score(q: Column, n: Column) -> Column:
     return F.when((F.size(q) > 0) & (F.size(n) > 0), F.size(F.array_intersect(q, n)) / F.size(q)).otherwise(F.lit(0.0))
+
+
+def abstains(question_id: Column) -> Column:
+    """Whether a question can't be answered, as its identifier tells."""
+    return question_id.contains("abs")
+
+
+def two_decimals(c: Column) -> Column:
+    """A number with two decimals, a half going to the even one, without marks between thousands."""
+    return F.replace(F.format_number(c, 2), F.lit(","), F.lit(""))

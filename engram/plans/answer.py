@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from engram.config import DEFAULT, MemoryConfig
 from engram.functions import prompts as P
 from engram.functions.models import completion, embedding, hashed_encoder, recalling_model
-from engram.functions.text import frequent, judged, tokens
+from engram.functions.text import abstains, frequent, judged, tokens, two_decimals
 from engram.operators.knowledge import search_knowledge
 from engram.plans.cache import ModelCache, with_replies
 from engram.plans.rounds import sequential
@@ -15,7 +15,8 @@ from engram.plans.state import kept
 INSTRUCTION = "Answer the question from the memories, as briefly as possible."
 
 
-def _listed(rows: DataFrame, key: str, order: str, text: str, name: str) -> DataFrame:
+def listed(rows: DataFrame, key: str, order: str, text: str, name: str) -> DataFrame:
+    """The texts of each key as a bullet list, in order."""
     parts = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))).alias("l"))
     return parts.select(key, F.array_join(F.transform("l", lambda x: F.concat(F.lit("- "), x["t"])), "\n").alias(name))
 
@@ -28,11 +29,11 @@ def answer_prompts(questions: DataFrame, results: DataFrame, contents: DataFrame
     """
     r = results if c.flipped_in_context else results.where("NOT flipped")
     label = F.when(F.col("base_score") > 0.6, "Direct").otherwise("Associative")
-    block = F.concat(F.lit("["), label, F.lit(", relevance "), F.format_number("score", 2), F.lit("]\n"), F.coalesce(F.concat(F.lit("Time: "), "ts", F.lit("\n")), F.lit("")), F.lit("Content: "), "content")
+    block = F.concat(F.lit("["), label, F.lit(", relevance "), two_decimals(F.col("score")), F.lit("]\n"), F.coalesce(F.concat(F.lit("Time: "), "ts", F.lit("\n")), F.lit("")), F.lit("Content: "), "content")
     m = r.join(contents, ["graph_id", "node_id"]).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("out_rank", block.alias("b")))).alias("l"))
     m = m.select("query_id", F.array_join(F.transform("l", lambda x: x["b"]), "\n\n").alias("memories"))
-    q = questions.join(m, "query_id", "left").join(_listed(knowledge, "query_id", "out_rank", "content", "known"), "query_id", "left")
-    q = q.join(profiles.select("graph_id", "data"), "graph_id", "left").join(_listed(traits, "graph_id", "seq", "content", "traits"), "graph_id", "left")
+    q = questions.join(m, "query_id", "left").join(listed(knowledge, "query_id", "out_rank", "content", "known"), "query_id", "left")
+    q = q.join(profiles.select("graph_id", "data"), "graph_id", "left").join(listed(traits, "graph_id", "seq", "content", "traits"), "graph_id", "left")
     part = lambda head, col: F.concat(F.lit(f"{head}\n"), F.nullif(F.col(col), F.lit("")))
     sections = [part("About the assistant:", "traits"), part("About the user:", "data"), part("Knowledge:", "known"), part("Memories:", "memories"), F.concat(F.lit("Today: "), "asked_on")]
     if "speakers" in questions.columns:
@@ -69,5 +70,5 @@ def answer_questions(memory: tuple[DataFrame, DataFrame], knowledge: dict[str, D
 
 def judgements(rows: DataFrame, make) -> DataFrame:
     """rows: question_id, question_type, question, reference, answer. A failed reply counts as wrong."""
-    ask = P.judge(F.col("question_type"), F.col("question"), F.col("reference"), F.col("answer"), F.col("question_id").contains("abs"))
+    ask = P.judge(F.col("question_type"), F.col("question"), F.col("reference"), F.col("answer"), abstains(F.col("question_id")))
     return rows.withColumn("correct", judged(completion(ask, make)))
