@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.functions.text import name_key, reference_answer, sample_key, strip
+from engram.sources.documents import array_elements, large_arrays
 
 QA = "ARRAY<STRUCT<question: STRING, answer: STRING, adversarial_answer: STRING, category: STRING, evidence: ARRAY<STRING>>>"
 SAMPLE = f"sample_id STRING, conversation MAP<STRING, STRING>, qa {QA}"
@@ -11,25 +12,39 @@ ITEM = "question_id STRING, question STRING, answer STRING, question_type STRING
 DIALOG = "ARRAY<STRUCT<speaker: STRING, text: STRING, blip_caption: STRING>>"
 
 
-def read_items(spark: SparkSession, path: str) -> DataFrame:
-    """Items of session lists, with their place (source_at); malformed JSON raises."""
-    return spark.read.schema(ITEM).option("multiLine", True).option("mode", "FAILFAST").json(path).withColumn("source_at", _place())
+def _documents(spark: SparkSession, path: str, shape: str, element: str) -> tuple[DataFrame, DataFrame | None]:
+    """The documents of a path with their place (source_at), and the elements of large arrays, which are split over tasks; None where there are none.
+
+    A file of one document that isn't large, or no array, is read by one task, in order.
+    """
+    split, whole = large_arrays(spark, path)
+    file = F.col("_metadata.file_path") if whole else F.lit("")
+    place = F.struct(file.alias("file"), F.lit(0).cast("long").alias("block"), F.monotonically_increasing_id().alias("at"), F.lit(0).alias("nested"))
+    raw = spark.read.schema(shape).option("multiLine", True).option("mode", "FAILFAST").json(whole) if whole else spark.createDataFrame([], shape)
+    raw = raw.withColumn("source_at", place)
+    if not split:
+        return raw, None
+    found = array_elements(spark, split).withColumn("v", F.from_json("text", element, {"mode": "FAILFAST"}))
+    return raw, found.select("v.*", F.struct("file", "block", "at", F.lit(0).alias("nested")).alias("source_at"))
 
 
-def _place():
-    """Where a row stands in its source: a file of one JSON document is read by one task, in order."""
-    return F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("row"), F.lit(0).alias("nested"))
+def read_items(spark: SparkSession, path: str) -> DataFrame:
+    """Items of session lists, with their place (source_at); malformed JSON raises."""
+    rows, more = _documents(spark, path, ITEM, ITEM)
+    return rows if more is None else rows.unionByName(more)
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
     """A list of samples or an object with ``samples``; anything else raises. A sample without an identifier gets one made of its content; source_at is its place."""
     shape = f"{SAMPLE}, samples ARRAY<STRUCT<sample_id: STRING, conversation: MAP<STRING, STRING>, qa: {QA}>>"
-    raw = spark.read.schema(shape).option("multiLine", True).option("mode", "FAILFAST").json(path).withColumn("source_at", _place())
-    nested = raw.where("samples IS NOT NULL").select("source_at", F.posexplode("samples").alias("at", "s"))
-    nested = nested.select("s.*", F.struct("source_at.file", "source_at.row", F.col("at").alias("nested")).alias("source_at"))
+    raw, more = _documents(spark, path, shape, SAMPLE)
+    nested = raw.where("samples IS NOT NULL").select("source_at", F.posexplode("samples").alias("n", "s"))
+    nested = nested.select("s.*", F.struct("source_at.file", "source_at.block", "source_at.at", F.col("n").alias("nested")).alias("source_at"))
     rows = raw.where("samples IS NULL").drop("samples").unionByName(nested)
+    rows = rows if more is None else rows.unionByName(more)
     known = F.when(F.col("conversation").isNull(), F.raise_error("neither a list of samples nor an object with samples")).otherwise(F.col("sample_id"))
-    entries = F.to_json(F.array_sort(F.map_entries("conversation")))
+    plain = F.transform_values("conversation", lambda _, v: F.coalesce(F.to_json(F.from_json(v, DIALOG)), v))  # however a nested document is spaced
+    entries = F.to_json(F.array_sort(F.map_entries(plain)))
     return rows.withColumn("sample_id", F.coalesce(F.nullif(known, F.lit("")), sample_key(entries, F.to_json("qa"))))
 
 

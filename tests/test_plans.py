@@ -22,6 +22,7 @@ from engram.plans import answer, encode
 from engram.plans import rounds as folds
 from engram.plans.cache import ModelCache
 from engram.sources import store
+from engram.sources.documents import array_elements
 from engram.sources.segments import ConflictingCommit, Segments, knowledge, memory_graph
 from engram.streaming.ingest import ingest, stored_batch, stream_into
 
@@ -417,6 +418,44 @@ def test_cells_that_are_skipped(spark, monkeypatch):
         G.similarity_edges(ragged, e).collect()
 
 
+NASTY = ['"', "\\", "}{][", '\\"}', "é\u2028", '{"a": [1, "}"]}', "\n\t", "", "\\\\"]
+
+
+@pytest.mark.parametrize("indent", [None, 1])
+def test_large_arrays_are_split(spark, tmp_path, indent):
+    """The same rows as from one task, in the order of the file, whatever the texts hold and wherever a split falls."""
+    r = random.Random(4)
+    text = lambda: "".join(r.choices([*NASTY, "word ", "x" * 40], k=r.choice([0, 1, 5, 30])))
+    items = [{"question_id": f"q{i}", "question": text(), "answer": text(), "haystack_dates": [text()], "haystack_sessions": [[{"role": "user", "content": text()}] * r.choice([0, 1, 9])]} for i in range(60)]
+    items.insert(30, {"question_id": "long", "question": "y}" * 6000, "haystack_sessions": [[{"role": "user", "content": "{" * 9000}]]})  # over several splits
+    (tmp_path / "big.json").write_text(json.dumps(items, indent=indent, ensure_ascii=indent is None))
+    (tmp_path / "wrapped.json").write_text(json.dumps({"samples": [{**sample(i), "sample_id": f"w{i}"} for i in range(3)]}))
+    (tmp_path / "list.json").write_text(json.dumps([{**sample(i), "sample_id": f"s{i}"} for i in range(9)], indent=indent))
+    (tmp_path / "nameless.json").write_text(json.dumps([{k: v for k, v in sample(i).items() if k != "sample_id"} for i in range(9)], indent=indent))
+    rows = lambda df: [tuple(x)[:-1] for x in df.orderBy("source_at").collect()]
+
+    def read():
+        samples = store.read_samples(spark, f"{tmp_path}/[lwn]*.json")
+        parts = [store.dialogs(samples), store.questions(samples)]
+        return [rows(store.read_items(spark, str(tmp_path / "big.json"))), [r.sample_id for r in samples.orderBy("source_at").collect()], *[sorted(map(str, p.collect())) for p in parts]]
+
+    want = read()
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in (2000, 1777, 450):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", 0)
+            assert array_elements(spark, [str(tmp_path / "big.json")]).rdd.getNumPartitions() > 4 and read() == want
+        for bad in ("[{]" + " " * 500, '[{"question_id": "a}]' + " " * 500, "[1, 2" + " " * 500 + "]", "[" + '{"question_id": 1},' * 50):
+            (tmp_path / "bad.json").write_text(bad)
+            with pytest.raises(Exception):
+                store.read_items(spark, str(tmp_path / "bad.json")).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert [x[0] for x in want[0]] == [x["question_id"] for x in items]
+
+
 def test_slices_go_by_file(spark, tmp_path):
     for name, ids in (("a", "z b m".split()), ("b", "y a".split())):
         (tmp_path / f"{name}.json").write_text(json.dumps([{"question_id": i} for i in ids]))
