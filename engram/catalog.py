@@ -694,6 +694,16 @@ def memory_graph(spark, sf):
     return E.memory_graph(conv_turns(spark, sf))[0]
 
 
+@query(f"""WITH {TURNS}, n AS (SELECT conv_id AS graph_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS node_seq, 'User: ' || user_text || chr(10) || 'AI: ' || ai_text AS content FROM tu),
+k AS (SELECT *, {_tokens_sql("content")} AS t FROM n),
+c AS (SELECT *, list_sort(list_transform(list_distinct(t), lambda w: {{'n': -len(list_filter(t, lambda x: x = w)), 'w': w}}))[1:3] AS l FROM k)
+SELECT graph_id, node_seq, node_seq AS node_id, content, 'interaction' AS role, coalesce(array_to_string(list_transform(l, lambda s: s.w), ','), '') AS keywords FROM c""")
+def memory_keywords(spark, sf):
+    """The nodes of conversations with their keywords."""
+    n = E.memory_graph(conv_turns(spark, sf))[0]
+    return n.select("graph_id", "node_seq", "node_id", "content", "role", F.array_join("keywords", ",").alias("keywords"))
+
+
 @query(f"""WITH {TURNS}, s AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k FROM tu),
 b AS (SELECT conv_id, k // 10 AS batch, string_agg('User: ' || user_text || chr(10) || 'AI: ' || ai_text, chr(10) ORDER BY k) AS text FROM s GROUP BY 1, 2),
 r AS (SELECT conv_id, batch, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS i FROM b),
