@@ -103,67 +103,185 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(d, dtype=np.uint64)
 
 
-def bucket_edges(keys: np.ndarray, n_buckets: int) -> np.ndarray:
-    """Where each bucket begins in sorted keys: buckets are equal slices of the 64-bit range."""
-    step = -(-(1 << 64) // n_buckets)
-    return np.append(np.searchsorted(keys, np.array([i * step for i in range(n_buckets)], np.uint64)), len(keys))
+def cuts(keys: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that sorted keys fall into, and where each begins: buckets are equal slices of the 64-bit range."""
+    if n_buckets == 1 or not len(keys):
+        return np.zeros(min(1, len(keys)), np.int64), np.array([0, len(keys)][: 1 + (len(keys) > 0)])
+    bucket = keys // np.uint64(-(-(1 << 64) // n_buckets))
+    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    return bucket[first].astype(np.int64), np.append(first, len(keys))
 
 
 def runs_of(keys: np.ndarray, block: int, n_buckets: int, second: np.ndarray | None = None) -> list[tuple[int, int, bytes]]:
     """Rows (bucket, block, data) of sorted distinct keys, with a second half for keys of 128 bits."""
-    edges, out = bucket_edges(keys, n_buckets), []
-    for i in range(n_buckets):
-        a, b = edges[i], edges[i + 1]
-        if b > a:
-            out.append((i, block, pack_sorted(keys[a:b]) + (b"" if second is None else second[a:b].astype("<u8").tobytes())))
+    buckets, edges = cuts(keys, n_buckets)
+    out = []
+    for i, a, b in zip(buckets.tolist(), edges.tolist(), edges[1:].tolist(), strict=False):
+        out.append((i, block, pack_sorted(keys[a:b]) + (b"" if second is None else second[a:b].astype("<u8").tobytes())))
     return out
 
 
+def _meet(data: list[bytes]) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray | None, np.ndarray]:
+    """Merges runs: their sizes, the order of all keys, the keys and second halves in it, and which equal the one after them.
+
+    Equal keys are in the order of their runs.
+    """
+    keys = [unpack_sorted(d) for d in data]
+    sizes = [len(k) for k in keys]
+    all_keys = np.concatenate(keys)
+    order = np.argsort(all_keys, kind="stable")
+    s, t = all_keys[order], None
+    same = s[1:] == s[:-1]
+    if len(data[0]) > packed_size(data[0]):
+        second = np.concatenate([np.frombuffer(d, "<u8", offset=packed_size(d)) for d in data])
+        tied = np.flatnonzero(np.append(same, False) | np.append(False, same))
+        order[tied] = order[tied][np.lexsort((second[order[tied]], s[tied]))]
+        t = second[order]
+        same &= t[1:] == t[:-1]
+    return sizes, order, s, t, same
+
+
+def _answers(bucket: int, blocks: list[int], sizes: list[int], flag: np.ndarray, late: np.ndarray | None) -> pa.Table:
+    out, at = [], 0
+    for n in sizes:
+        out.append(np.packbits(flag[at : at + n]).tobytes() + (b"" if late is None else np.packbits(late[at : at + n]).tobytes()))
+        at += n
+    return pa.table({"block": pa.array(blocks, pa.int64()), "bucket": pa.array([bucket] * len(blocks), pa.int32()), "flags": pa.array(out, pa.binary())})
+
+
 def merge(rows: DataFrame) -> DataFrame:
     """Merges the runs of each bucket; answers every run with the bits of its keys that another block has,
     followed by the bits of those that a block of a smaller number has."""
 
     def work(table: pa.Table) -> pa.Table:
         table = table.sort_by("block")
-        blocks, data = table.column("block").to_pylist(), table.column("data").to_pylist()
-        keys = [unpack_sorted(d) for d in data]
-        sizes = [len(k) for k in keys]
-        all_keys = np.concatenate(keys)
-        order = np.argsort(all_keys, kind="stable")
-        s = all_keys[order]
-        same = s[1:] == s[:-1]
-        if len(data[0]) > packed_size(data[0]):
-            second = np.concatenate([np.frombuffer(d, "<u8", offset=packed_size(d)) for d in data])
-            tied = np.flatnonzero(np.append(same, False) | np.append(False, same))
-            order[tied] = order[tied][np.lexsort((second[order[tied]], s[tied]))]
-            t = second[order]
-            same &= t[1:] == t[:-1]
-        flag = np.zeros(len(s), bool)
+        sizes, order, s, _, same = _meet(table.column("data").to_pylist())
+        flag, late = np.zeros(len(s), bool), np.zeros(len(s), bool)
         flag[order[1:][same]] = True
         flag[order[:-1][same]] = True
-        late = np.zeros(len(s), bool)
-        late[order[1:][same]] = True  # equal keys are in the order of their blocks
-        out, at = [], 0
-        for n in sizes:
-            out.append(np.packbits(flag[at : at + n]).tobytes() + np.packbits(late[at : at + n]).tobytes())
-            at += n
-        bucket = table.column("bucket")[0].as_py()
-        return pa.table({"block": pa.array(blocks, pa.int64()), "bucket": pa.array([bucket] * len(blocks), pa.int32()), "flags": pa.array(out, pa.binary())})
+        late[order[1:][same]] = True
+        return _answers(table.column("bucket")[0].as_py(), table.column("block").to_pylist(), sizes, flag, late)
 
     return rows.groupBy("bucket").applyInArrow(work, ANSWER)
 
 
 def flags_of(answers: pa.Table, keys: np.ndarray, n_buckets: int, late: bool = False, first_bucket: int = 0) -> np.ndarray:
     """The bits of a block's sorted distinct keys, gathered from the answers of all buckets."""
-    edges, out = bucket_edges(keys, n_buckets), np.zeros(len(keys), bool)
-    for bucket, flags in zip(answers.column("bucket").to_pylist(), answers.column("flags").to_pylist(), strict=True):
-        if first_bucket <= bucket < first_bucket + n_buckets:
-            a, b = edges[bucket - first_bucket], edges[bucket - first_bucket + 1]
-            skip = (b - a + 7) // 8 if late else 0
-            out[a:b] = np.unpackbits(np.frombuffer(flags, np.uint8, offset=skip), count=b - a).astype(bool)
+    buckets, edges = cuts(keys, n_buckets)
+    out, of = np.zeros(len(keys), bool), answers.column("bucket").to_numpy() - first_bucket
+    mine = np.flatnonzero((of >= 0) & (of < n_buckets))
+    flags = answers.column("flags")
+    for i, at in zip(mine.tolist(), np.searchsorted(buckets, of[mine]).tolist(), strict=True):
+        a, b = edges[at], edges[at + 1]
+        skip = (b - a + 7) // 8 if late else 0
+        out[a:b] = np.unpackbits(np.frombuffer(flags[i].as_py(), np.uint8, offset=skip), count=b - a).astype(bool)
+    return out
+
+
+# --- exchange in two steps ----------------------------------------------------
+
+#: Most buckets that blocks send runs to straight away. Beyond that they send to lanes, the square root of the buckets in number.
+FAN = 4096
+PIECE = "bucket int, block long, members array<long>, data array<binary>"
+
+
+def whole(n_buckets: int) -> int:
+    """The number of buckets, as a power of two where lanes are needed, so that each lane is a whole number of buckets."""
+    return n_buckets if n_buckets <= FAN else 1 << (n_buckets - 1).bit_length()
+
+
+def lanes(n_buckets: int) -> int:
+    """How many slices a block cuts its keys into, for so many buckets."""
+    return n_buckets if n_buckets <= FAN else 1 << (n_buckets.bit_length() // 2)
+
+
+def gathered(rows: DataFrame, blocks: DataFrame, n_lanes: int) -> DataFrame:
+    """Stages pieces: the runs of up to ``n_lanes`` neighbouring blocks in one lane, about as many keys as a block has.
+
+    Blocks are numbered by task and place, so neighbours are blocks of one task or of tasks next
+    to each other. A piece is named by its first block; pieces are in the order of their blocks.
+    """
+    last = blocks.agg(F.max(F.col("block").bitwiseAND((1 << 33) - 1))).first()[0] or 0
+    tasks, place = F.shiftright("block", 33), F.col("block").bitwiseAND((1 << 33) - 1)
+    group = F.shiftleft(F.floor(tasks / max(1, n_lanes // (last + 1))), 33) + F.floor(place / n_lanes)
+
+    def work(table: pa.Table) -> pa.Table:
+        table = table.sort_by("block")
+        members = table.column("block").to_pylist()
+        return pa.table({
+            "bucket": table.column("bucket")[:1], "block": pa.array(members[:1], pa.int64()),
+            "members": pa.array([members], pa.list_(pa.int64())), "data": pa.array([table.column("data").to_pylist()], pa.list_(pa.binary())),
+        })
+
+    return stage(rows.withColumn("group", group).groupBy("bucket", "group").applyInArrow(work, PIECE), "pieces")
+
+
+def _spaces(widths: list[int]) -> list[tuple[int, int, int, int]]:
+    """(first lane, lanes, first bucket, buckets) of key spaces that lie one after the other."""
+    out, lane, bucket = [], 0, 0
+    for n in widths:
+        out.append((lane, lanes(n), bucket, n))
+        lane, bucket = lane + lanes(n), bucket + n
     return out
 
 
+def piece_runs(pieces: DataFrame, widths: list[int]) -> DataFrame:
+    """The runs (bucket, block, data) of all pieces: every key once a piece, in the buckets of its key space."""
+    spaces = _spaces(widths)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lane, piece, _, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                first, n = next((b, n) for a, k, b, n in spaces if a <= lane < a + k)
+                _, _, s, t, same = _meet(data)
+                new = np.append(True, ~same)
+                runs = runs_of(s[new], piece, n, None if t is None else t[new])
+                yield from run_table([(first + i, j, d) for i, j, d in runs]).to_batches()
+                trim()
+
+    return pieces.mapInArrow(work, RUN)
+
+
+def spread(pieces: DataFrame, answers: DataFrame, widths: list[int], with_late: bool = True) -> DataFrame:
+    """Answers to the blocks, of the answers to their pieces: a key repeats in its piece or elsewhere.
+
+    Without ``with_late`` the answers have no bits on blocks of smaller numbers.
+    """
+    spaces = _spaces(widths)
+    lane = F.lit(None).cast("int")
+    for a, k, b, n in spaces:
+        lane = F.when((F.col("bucket") >= b) & (F.col("bucket") < b + n), F.floor((F.col("bucket") - b) / (n // k)).cast("int") + a).otherwise(lane)
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        bucket = left.column("bucket")[0].as_py()
+        first, n = next((b, n) for a, k, b, n in spaces if a <= bucket < a + k)
+        sizes, order, s, _, same = _meet(left.column("data")[0].as_py())
+        new = np.append(True, ~same)
+        which = np.cumsum(new) - 1
+        flag, late = np.empty(len(s), bool), np.empty(len(s), bool) if with_late else None
+        again = np.append(False, same) | np.append(same, False)
+        keys = s[new]
+        flag[order] = again | flags_of(right, keys, n, first_bucket=first)[which]
+        if with_late:
+            late[order] = ~new | flags_of(right, keys, n, late=True, first_bucket=first)[which]
+        return _answers(bucket, left.column("members")[0].as_py(), sizes, flag, late)
+
+    right = answers.withColumn("lane", lane)
+    return pieces.withColumnRenamed("bucket", "lane").withColumn("bucket", F.col("lane")).groupBy("lane", "block").cogroup(right.groupBy("lane", "block")).applyInArrow(work, ANSWER)
+
+
+def exchange(rows: DataFrame, blocks: DataFrame, widths: list[int]) -> DataFrame:
+    """Answers to the runs of blocks, which are cut into the lanes of key spaces with ``widths`` buckets.
+
+    Up to FAN buckets a lane is a bucket. Beyond that neighbouring blocks' runs meet in pieces first, so a
+    block and a piece send at most as many rows as the square root of the buckets, whatever their number.
+    """
+    if all(lanes(n) == n for n in widths):
+        return merge(rows)
+    pieces = gathered(rows, blocks, max(lanes(n) for n in widths))
+    return spread(pieces, stage(merge(piece_runs(pieces, widths)), "piece-answers"), widths)
+
+
 def with_answers(blocks: DataFrame, answers: DataFrame, work: Callable, schema: str) -> DataFrame:
     """Calls work(block, payload, answers) for each block; it gives an Arrow table."""
 
@@ -188,7 +306,7 @@ def per_block(blocks: DataFrame, work: Callable, schema: str) -> DataFrame:
 
 
 def bucket_count(n_keys: int, per_bucket: int = 3_000_000) -> int:
-    return max(12, -(-n_keys // per_bucket))
+    return whole(max(12, -(-n_keys // per_bucket)))
 
 
 def run_table(rows: list[tuple[int, int, bytes]]) -> pa.Table:
@@ -240,10 +358,11 @@ class Anchors:
 
 
 def anchor_answers(blocks: DataFrame, read: Callable, width: int, gram: int, n_buckets: int) -> DataFrame:
-    """Staged answers on the anchors of all blocks. read(payload) gives (.., element hashes, sizes)."""
+    """Staged answers on the anchors of all blocks, by lane. read(payload) gives (.., element hashes, sizes)."""
+    n_lanes = lanes(n_buckets)
 
     def send(block: int, payload: bytes) -> pa.Table:
         *_, hashes, sizes = read(payload)
-        return run_table(runs_of(Anchors(hashes, sizes, width, gram).keys, block, n_buckets))
+        return run_table(runs_of(Anchors(hashes, sizes, width, gram).keys, block, n_lanes))
 
-    return stage(merge(per_block(blocks, send, RUN)), "anchors")
+    return stage(exchange(per_block(blocks, send, RUN), blocks, [n_buckets]), "anchors")

@@ -89,28 +89,30 @@ def substring_dedup(docs: DataFrame, with_text: bool = True, block_bytes: int =
     spark = docs.sparkSession
     held = B.make_blocks(docs, block_bytes)
     n_anchor, n_window = _widths(B.total_bytes(held))
+    l_anchor, l_window = B.lanes(n_anchor), B.lanes(n_window)
     index = FingerprintIndex(spark, n_anchor, fan_in)
 
     def name(block: int, payload: bytes) -> pa.Table:
         *_, hashes, sizes = read(payload)
-        return B.run_table(B.runs_of(B.Anchors(hashes, sizes, WINDOW, GRAM).keys, block, n_anchor))
+        return B.run_table(B.runs_of(B.Anchors(hashes, sizes, WINDOW, GRAM).keys, block, l_anchor))
 
-    added = None
+    added = pieces = None
     for batch in batches_of(held, batches):
-        runs = stage(B.per_block(batch, name, B.RUN), "batch")
+        runs, mine = _batch_runs(B.per_block(batch, name, B.RUN), held, n_anchor)
         index.add(runs)
         added = runs if added is None else added.unionByName(runs)
+        pieces = mine if pieces is None else pieces.unionByName(mine)
     index.compact()
-    anchors = stage(index.judge(added), "anchors")
+    anchors = stage(_judged(index, added, pieces, n_anchor), "anchors")
     free_shuffles(spark)
 
     def send(block: int, payload: bytes, answers: pa.Table) -> pa.Table:
         *_, hashes, sizes = read(payload)
         found = B.Anchors(hashes, sizes, WINDOW, GRAM)
-        w = Windows(hashes, sizes, B.flags_of(answers, found.keys, n_anchor), found)
-        return B.run_table(B.runs_of(w.keys, block, n_window, w.second))
+        w = Windows(hashes, sizes, B.flags_of(answers, found.keys, l_anchor), found)
+        return B.run_table(B.runs_of(w.keys, block, l_window, w.second))
 
-    judged = stage(B.merge(B.with_answers(held, anchors, send, B.RUN)), "windows")
+    judged = stage(B.exchange(B.with_answers(held, anchors, send, B.RUN), held, [n_window]), "windows")
     free_shuffles(spark)
     # both sets of answers travel together; those on anchors come with negative buckets
     both = judged.unionByName(anchors.withColumn("bucket", -1 - F.col("bucket")))
@@ -121,14 +123,28 @@ def substring_dedup(docs: DataFrame, with_text: bool = True, block_bytes: int =
         bucket = answers.column("bucket").to_numpy()
         on_anchors = answers.filter(pa.array(bucket < 0))
         on_anchors = on_anchors.set_column(1, "bucket", pa.array(-1 - bucket[bucket < 0], pa.int32()))
-        w = Windows(hashes, sizes, B.flags_of(on_anchors, found.keys, n_anchor), found)
-        again = w.local | B.flags_of(answers.filter(pa.array(bucket >= 0)), w.keys, n_window)
+        w = Windows(hashes, sizes, B.flags_of(on_anchors, found.keys, l_anchor), found)
+        again = w.local | B.flags_of(answers.filter(pa.array(bucket >= 0)), w.keys, l_window)
         gone = covered(w.starts[again[w.key_of]], WINDOW, len(hashes))
         return _kept(ids, words, gone, with_text)
 
     return B.with_answers(held, both, remove, RESULT + ", kept_text string" * with_text)
 
 
+def _batch_runs(runs: DataFrame, held: DataFrame, n_buckets: int) -> tuple[DataFrame, DataFrame | None]:
+    """The staged runs of a batch in the index's buckets: those of its blocks, or of the pieces where blocks send to lanes."""
+    if B.lanes(n_buckets) == n_buckets:
+        return stage(runs, "batch"), None
+    pieces = B.gathered(runs, held, B.lanes(n_buckets))
+    return stage(B.piece_runs(pieces, [n_buckets]), "batch"), pieces
+
+
+def _judged(index: FingerprintIndex, runs: DataFrame, pieces: DataFrame | None, n_buckets: int) -> DataFrame:
+    """The index's answers to the blocks whose fingerprints were added as these runs."""
+    answers = index.judge(runs)
+    return answers if pieces is None else B.spread(pieces, answers, [n_buckets], with_late=False)
+
+
 def batches_of(held: DataFrame, batches: int) -> list[DataFrame]:
     """Blocks by the task that made them, which Parquet's statistics tell apart, so that a batch reads its own files."""
     last = held.agg(F.max("block")).first()[0]
@@ -183,13 +199,13 @@ class FingerprintIndex:
 
     A run lies in a folder of its own, written once; names are never used again. Every change
     ends with a new manifest, so an index is reopened as its last one lists it, and the files of a change
-    that was cut short are never read. The number of buckets is a parameter; ``grow`` doubles it
+    that was cut short are never read. The number of buckets is a parameter (a power of two beyond blocks.FAN); ``grow`` doubles it
     before a batch that would fill buckets beyond ``per_bucket`` fingerprints, and runs with
     fewer buckets are cut when they are read.
     """
 
     def __init__(self, spark: SparkSession, n_buckets: int = 16, fan_in: int = 4, wide: bool = False, folder: str | None = None, per_bucket: int = 3_000_000):
-        self.spark, self.n_buckets, self.fan_in, self.wide, self.per_bucket = spark, n_buckets, fan_in, wide, per_bucket
+        self.spark, self.n_buckets, self.fan_in, self.wide, self.per_bucket = spark, B.whole(n_buckets), fan_in, wide, per_bucket
         self.folder = folder or new_path(spark, "index")
         self.runs: list[tuple[int, int, int, str]] = []  # level, buckets, fingerprints, path
         self.written = 0
@@ -198,7 +214,7 @@ class FingerprintIndex:
     def reopen(cls, spark: SparkSession, folder: str, **options) -> FingerprintIndex:
         out = cls(spark, folder=folder, **options)
         last = spark.read.parquet(f"{folder}/manifest-*").orderBy(F.desc("written")).first()
-        out.written, out.n_buckets, out.wide = last["written"], last["n_buckets"], last["wide"]
+        out.written, out.n_buckets, out.wide = last["written"], B.whole(last["n_buckets"]), last["wide"]
         out.runs = [tuple(r) for r in last["runs"]]
         return out
 
@@ -223,10 +239,11 @@ class FingerprintIndex:
             for batch in batches:
                 for data in batch.column(2).to_pylist():
                     keys, second, many = unpacked_run(data, wide)
-                    edges, rows = B.bucket_edges(keys, n_buckets), []
-                    for i in np.flatnonzero(np.diff(edges)).tolist():
-                        part = slice(edges[i], edges[i + 1])
-                        rows.append({"bucket": i, "n": int(edges[i + 1] - edges[i]), "data": packed_run(keys[part], second[part] if wide else None, many[part])})
+                    buckets, edges = B.cuts(keys, n_buckets)
+                    rows = []
+                    for k, i in enumerate(buckets.tolist()):
+                        part = slice(edges[k], edges[k + 1])
+                        rows.append({"bucket": i, "n": int(edges[k + 1] - edges[k]), "data": packed_run(keys[part], second[part] if wide else None, many[part])})
                     yield pa.RecordBatch.from_pylist(rows, pa.schema([("bucket", pa.int32()), ("n", pa.int64()), ("data", pa.binary())]))
 
         for _, n, _, path in runs:
@@ -237,7 +254,7 @@ class FingerprintIndex:
     def grow(self, n_new: int) -> None:
         """Room for that many new fingerprints, before their runs are made with ``n_buckets``."""
         while sum(r[2] for r in self.runs) + n_new > self.per_bucket * self.n_buckets:
-            self.n_buckets *= 2
+            self.n_buckets = B.whole(2 * self.n_buckets)
 
     def add(self, batch: DataFrame) -> None:
         """Adds the fingerprints of a batch, given as the runs (bucket, block, data) of its blocks; every block once."""
@@ -315,6 +332,7 @@ class IncrementalDedup:
         held, index = B.make_blocks(batch, block_bytes), self.index
         index.grow(B.total_bytes(held) // 6)  # words, about
         n_buckets = index.n_buckets
+        n_lanes = B.lanes(n_buckets)
 
         def every(payload: bytes):
             ids, words, hashes, sizes = read(payload)
@@ -322,17 +340,17 @@ class IncrementalDedup:
 
         def send(block: int, payload: bytes) -> pa.Table:
             w = every(payload)[3]
-            return B.run_table(B.runs_of(w.keys, block, n_buckets, w.second))
+            return B.run_table(B.runs_of(w.keys, block, n_lanes, w.second))
 
-        runs = stage(B.per_block(held, send, B.RUN), "batch")
+        runs, pieces = _batch_runs(B.per_block(held, send, B.RUN), held, n_buckets)
         index.add(runs)
 
         def remove(block: int, payload: bytes, answers: pa.Table) -> pa.Table:
             ids, words, hashes, w = every(payload)
-            again = w.local | B.flags_of(answers, w.keys, n_buckets)
+            again = w.local | B.flags_of(answers, w.keys, n_lanes)
             return _kept(ids, words, covered(w.starts[again[w.key_of]], WINDOW, len(hashes)), with_text)
 
-        answers = stage(index.judge(runs), "answers")
+        answers = stage(_judged(index, runs, pieces, n_buckets), "answers")
         return stage(B.with_answers(held, answers, remove, RESULT + ", kept_text string" * with_text), "batch-result")
 
 

@@ -139,13 +139,16 @@ class Contexts:
         self.first = np.array(first, np.int64)
         self.key, self.at = key[self.first], self.lo[self.first]
         anchor = a.keys[a.key_of[hot[self.first]]] if len(first) else np.empty(0, np.uint64)
-        self.bucket = (anchor % np.uint64(n_bucket)).astype(np.int64)
+        bucket = (anchor % np.uint64(n_bucket)).astype(np.int64)
         self.anchor = anchor
+        order = np.argsort(bucket, kind="stable")
+        new = np.flatnonzero(np.append(True, bucket[order][1:] != bucket[order][:-1])) if len(order) else order
+        #: by bucket, the distinct contexts that go there
+        self.members = dict(zip(bucket[order[new]].tolist(), np.split(order, new[1:]), strict=True)) if len(order) else {}
 
     def rows(self, block: int) -> list[tuple[int, int, bytes]]:
         out = []
-        for b in np.unique(self.bucket).tolist():
-            mine = np.flatnonzero(self.bucket == b)
+        for b, mine in self.members.items():
             texts = [self.texts[i] for i in mine.tolist()]
             head = np.column_stack([[len(t) for t in texts], self.key[mine], self.at[mine], self.anchor[mine].view(np.int64)]).astype("<i8")
             body = len(texts).to_bytes(8, "little") + head.tobytes() + b"".join(texts)
@@ -160,7 +163,7 @@ class Contexts:
         for i in np.flatnonzero(repeats).tolist():  # an equal context stands earlier in this block
             found.append(np.arange(self.lo[i], self.hi[i] + 1))
         for b, flags in zip(answers.column("bucket").to_pylist(), answers.column("flags").to_pylist(), strict=True):
-            mine = self.first[self.bucket == b]
+            mine = self.first[self.members[b]]
             starts = np.concatenate([np.arange(x, y + 1) for x, y in zip(self.lo[mine], self.hi[mine], strict=True)])
             found.append(starts[np.unpackbits(np.frombuffer(flags, np.uint8), count=len(starts)).astype(bool)])
         return np.concatenate(found) if found else np.empty(0, np.int64)
@@ -306,6 +309,7 @@ def suffix_dedup(docs: DataFrame, with_bytes: bool = True, block_bytes: int = BL
     total = B.total_bytes(held)
     n_anchor, n_bucket = B.bucket_count(total // 30), max(12, -(-total // bucket_bytes))
     anchors = B.anchor_answers(held, read, WIDTH, GRAM, n_anchor)
+    n_anchor = B.lanes(n_anchor)
     free_shuffles(spark)
 
     def send(block: int, payload: bytes, answers: pa.Table) -> pa.Table:

@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from engram.llm import decontam, exact_dedup, html_extract, jaccard_join, packing, quality, sharding, substring_dedup, suffix_dedup, warc_zip
+from engram.llm import blocks, decontam, exact_dedup, html_extract, jaccard_join, packing, quality, sharding, substring_dedup, suffix_dedup, warc_zip
 from engram.llm.queries import tokenizer_file
 
 DOC = "doc_id long, text string, run int"
@@ -50,8 +50,14 @@ def test_exact(docs):
         assert got[i] == (keep, len(group), i == keep, hashlib.sha256(k.encode()).hexdigest())
 
 
-@pytest.mark.parametrize("batches, fan_in", [(4, 4), (3, 2), (1, 2)])
-def test_substring(docs, batches, fan_in):
+@pytest.fixture
+def fan(request, monkeypatch):
+    """Beyond so many buckets blocks send to lanes, whose pieces send to buckets."""
+    monkeypatch.setattr(blocks, "FAN", request.param)
+
+
+@pytest.mark.parametrize("batches, fan_in, fan", [(4, 4, 4096), (3, 2, 2), (1, 2, 4096)], indirect=["fan"])
+def test_substring(docs, batches, fan_in, fan):
     got = rows(substring_dedup.substring_dedup(docs, with_text=False, block_bytes=2000, batches=batches, fan_in=fan_in))
     words = {i: (t or "").encode().split() for i, t, _ in corpus()}
     count = Counter(tuple(w[s : s + 35]) for w in words.values() for s in range(len(w) - 34))
@@ -61,7 +67,8 @@ def test_substring(docs, batches, fan_in):
         assert got[i] == (len(w), len(gone), hashlib.sha256(kept).hexdigest())
 
 
-def test_incremental_dedup(spark):
+@pytest.mark.parametrize("fan", [4096, 2], indirect=True)
+def test_incremental_dedup(spark, fan):
     """Six batches against plain counting: runs are compacted on the way and at the end, buckets grow, the index is reopened."""
     index, history = substring_dedup.FingerprintIndex(spark, n_buckets=2, fan_in=2, wide=True, per_bucket=600), Counter()
     for k in range(6):
@@ -86,8 +93,8 @@ def test_incremental_dedup(spark):
     assert index.runs[0][2] == len(history)
 
 
-@pytest.mark.parametrize("chunk", [suffix_dedup.CHUNK, 900, 150])
-def test_suffix(docs, chunk):
+@pytest.mark.parametrize("chunk, fan", [(suffix_dedup.CHUNK, 2), (900, 4096), (150, 4096)], indirect=["fan"])
+def test_suffix(docs, chunk, fan):
     """With small chunks, the contexts of one anchor are compared window by window."""
     got = rows(suffix_dedup.suffix_dedup(docs, with_bytes=False, block_bytes=2000, bucket_bytes=2000, chunk=chunk))
     seen = set()
@@ -103,8 +110,8 @@ def test_suffix(docs, chunk):
         assert got[i] == (len(b), sum(mask), spans, hashlib.sha256(kept).hexdigest())
 
 
-@pytest.mark.parametrize("subsets", [(2, 1), (3, 1), (4, 2)])
-def test_jaccard(docs, subsets):
+@pytest.mark.parametrize("subsets, fan", [((2, 1), 2), ((3, 1), 4096), ((4, 2), 4096)], indirect=["fan"])
+def test_jaccard(docs, subsets, fan):
     got = rows(jaccard_join.jaccard_components(docs, block_bytes=2000, subsets=subsets))
     words = {i: (t or "").lower().split() for i, t, _ in corpus()}
     sets = {i: {tuple(w)} if 0 < len(w) < 5 else {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in words.items()}
@@ -117,6 +124,47 @@ def test_jaccard(docs, subsets):
     assert got == {i: (len(sets[i]), label[i]) for i in sets}
 
 
+@pytest.mark.parametrize("wide", [False, True])
+def test_exchange(spark, wide):
+    """100,000 buckets: few rows a block and a piece, and the bits of plain counting."""
+    r = np.random.default_rng(3)
+    names = [(task << 33) + place for task in range(5) for place in range(task + 1)]
+    hot = r.integers(0, 1 << 63, 500, np.uint64) * np.uint64(2)
+    keys, second = {}, {}
+    for n in names:
+        some = np.concatenate([r.choice(hot, 300, replace=False), r.integers(0, 1 << 63, 5000, np.uint64)])
+        pairs = np.unique(np.column_stack([some, r.integers(0, 2, len(some)).astype(np.uint64) if wide else some]), axis=0)
+        if not wide:
+            pairs = pairs[np.unique(pairs[:, 0], return_index=True)[1]]
+        keys[n], second[n] = pairs[:, 0].copy(), pairs[:, 1].copy()
+    held = spark.createDataFrame([(n,) for n in names], "block long")
+    widths = [blocks.whole(100_000), 16]
+    n_lanes, few = map(blocks.lanes, widths)
+    assert widths[0] == 131072 and n_lanes == 512 and few == 16
+    sent = []
+    for n in names:
+        mine = blocks.runs_of(keys[n], n, n_lanes, second[n] if wide else None)
+        mine += [(n_lanes + i, b, d) for i, b, d in blocks.runs_of(keys[n], n, few, second[n] if wide else None)]
+        assert len(mine) <= n_lanes + few
+        sent += mine
+    rows = spark.createDataFrame(sent, blocks.RUN)
+    pieces = blocks.gathered(rows, held, n_lanes)
+    assert pieces.count() <= n_lanes + few  # five tasks of at most five blocks are one group
+    assert blocks.piece_runs(pieces, widths).groupBy("block", (blocks.F.col("bucket") / 256).cast("int")).count().agg({"count": "max"}).first()[0] <= 256
+    answers = blocks.exchange(rows, held, widths).toArrow()
+    first, count = {}, Counter()
+    for n in names:
+        for k in zip(keys[n].tolist(), second[n].tolist()):
+            first.setdefault(k, n)
+            count[k] += 1
+    of = answers.column("block").to_numpy()
+    for n in names:
+        mine, own = answers.filter(blocks.pa.array(of == n)), list(zip(keys[n].tolist(), second[n].tolist()))
+        for width, at in ((n_lanes, 0), (few, n_lanes)):
+            assert blocks.flags_of(mine, keys[n], width, first_bucket=at).tolist() == [count[k] > 1 for k in own]
+            assert blocks.flags_of(mine, keys[n], width, late=True, first_bucket=at).tolist() == [first[k] != n for k in own]
+
+
 def test_packing(spark):
     """ids, start, crc32, doc_tokens, sequences and padding against the tokenizer; odd and very long texts among them."""
     from tokenizers import Tokenizer
