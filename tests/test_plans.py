@@ -6,6 +6,7 @@ import re
 import uuid
 from collections import Counter
 
+import duckdb
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -388,6 +389,19 @@ def test_forgetting_dry_run(spark):
     assert (row.node_id, row.n_edges, len(row.preview)) == (2, 0, 50)
 
 
+@pytest.mark.parametrize("name", ["forget_candidates", "forget_apply", "forget_preview"])
+def test_forgetting_at_the_least_weight(spark, tmp_path, name):
+    """The middle node's weights are 0.00001 and 0.09999, whose doubles add up to less than 0.1; the second user's are less than 0.1."""
+    rows = [(10 * u + i, u, f"2024-01-0{i + 1} 00:00:00", v) for u, vs in enumerate([(0.0, 0.01, 99.99, 500.0), (0.0, 0.02, 99.97, 500.0)]) for i, v in enumerate(vs)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, ts string, value double").withColumn("ts", F.col("ts").cast("timestamp"))
+    events.withColumns({"event_type": F.lit("click"), "props": F.lit("{}")}).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"SET timezone = 'UTC'; CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(catalog.ORACLES[name])
+    columns = [c[0] for c in want.description]
+    assert sorted(map(tuple, catalog.QUERIES[name](spark, str(tmp_path)).select(*columns).collect())) == sorted(want.fetchall())
+
+
 def test_cells_of_a_large_graph(spark, monkeypatch):
     n, e = catalog.vec_nodes(spark, SF), catalog.vec_nodes(spark, SF)
     e = G.temporal_edges(n)
