@@ -461,6 +461,15 @@ def test_jaccard_null_ids_and_repeats(spark):
     assert got == sorted([(None, 56, 5), (5, 57, 5), (5, 56, 5), (5, 56, 5), (None, 1, None), (5, 2, 5), (None, 0, None), (3, 0, 3)], key=str)
 
 
+def test_jaccard_broadcasts_nothing(docs, monkeypatch):
+    """Tables that grow with the corpus would all be built by the driver."""
+    plans, stage = [], jaccard_join.stage
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(jaccard_join, "stage", lambda df, *a, **k: (plan(df), stage(df, *a, **k))[1])
+    plan(jaccard_join.jaccard_components(docs, block_bytes=2000))
+    assert len(plans) > 10 and not [p for p in plans if "Broadcast" in p]
+
+
 def test_jaccard_near_misses(spark):
     """A cluster whose members are alike, but most below the limit, in many cells: compared with all pairs."""
     r = random.Random(9)
