@@ -3,6 +3,7 @@ import json
 import math
 import random
 import re
+import time
 import uuid
 from collections import Counter
 
@@ -35,6 +36,17 @@ def test_fact_line(spark, text, want):
     assert spark.createDataFrame([(text,)], "v string").select(T.fact_line(F.col("v"))).first()[0] == want
 
 
+def test_strip_of_all_white_space(spark):
+    """As the pattern has it, and in linear time: a long run of spaces inside a line is walked once."""
+    odd = [chr(c) for c in (*range(1, 0x21), 0x85, 0xA0, 0x1680, *range(0x1FFF, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)]
+    texts = [None, "", " ", "a", *[x + "-" + x + "b" + x + x for x in odd], "".join(odd) + "é" + "".join(odd[::-1]), " a\n", "a \r\n\x85"]
+    rows = spark.createDataFrame([(t,) for t in texts], "v string").select("v", T.strip(F.col("v")).alias("got"), F.regexp_replace("v", f"^{T.SPACE}+|{T.SPACE}+$", "").alias("want")).collect()
+    assert len(rows) == len(texts) and [r.v for r in rows if r.got != r.want] == []
+    began = time.time()
+    assert spark.createDataFrame([("a" + " " * 400_000 + "b",)], "v string").select(F.length(T.clean_line(F.col("v")))).first()[0] == 400_002
+    assert time.time() - began < 20
+
+
 def test_items(spark, tmp_path):
     item = {"question_id": "q1", "haystack_dates": ["d1"], "haystack_sessions": [[{"role": r, "content": f"{r}{i}"} for i, r in enumerate(["assistant", "user", "user", "assistant"])], [{"role": "user", "content": "u"}, {"role": "assistant", "content": "a"}]]}
     (tmp_path / "items.json").write_text(json.dumps([item]))
