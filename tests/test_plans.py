@@ -47,6 +47,22 @@ def test_strip_of_all_white_space(spark):
     assert time.time() - began < 20
 
 
+def test_models_take_a_batch_in_pieces(spark):
+    """An encoder never gets a whole batch of Arrow, and the vectors and replies of all pieces are those of their rows."""
+    n = 3 * models.PIECE + 1
+
+    def make():
+        encode = models.hashed_encoder(8)
+        return lambda texts: encode(texts) if len(texts) <= models.PIECE else 1 / 0
+
+    rows = spark.range(0, n, 1, 1).withColumn("t", F.when(F.col("id") % 5 > 0, F.concat(F.lit("word"), "id")))
+    got = rows.select("id", "t", models.embedding(F.col("t"), make).alias("v"), models.replies(F.col("t"), lambda: lambda p: p.upper()).alias("r")).collect()
+    assert len(got) == n
+    for r in got:
+        assert r.v == models.hashed_encoder(8)([r.t or ""])[0].tolist()
+        assert tuple(r.r) == (("", "no prompt") if r.t is None else (r.t.upper(), None))
+
+
 def test_items(spark, tmp_path):
     item = {"question_id": "q1", "haystack_dates": ["d1"], "haystack_sessions": [[{"role": r, "content": f"{r}{i}"} for i, r in enumerate(["assistant", "user", "user", "assistant"])], [{"role": "user", "content": "u"}, {"role": "assistant", "content": "a"}]]}
     (tmp_path / "items.json").write_text(json.dumps([item]))
