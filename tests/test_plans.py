@@ -9,6 +9,7 @@ from collections import Counter
 
 import duckdb
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -460,6 +461,70 @@ def test_cells_that_are_skipped(spark, monkeypatch):
         G.similarity_edges(ragged, e).collect()
 
 
+def test_blocks_of_a_large_graph(spark, monkeypatch, tmp_path):
+    """Twice the nodes of a graph are sent to tasks twice, not four times, and blocks that are full are divided without a loss."""
+    r = random.Random(3)
+    vectors = [[r.gauss(0, 1) for _ in range(6)] for _ in range(480)]
+    monkeypatch.setattr(G, "CELL_NODES", 10)
+
+    def graph(size):
+        n = spark.createDataFrame([("g", i, i, v) for i, v in enumerate(vectors[:size])], "graph_id string, node_id long, node_seq long, embedding array<double>")
+        return n, spark.createDataFrame([("g", 0, 1, 0.5)], "graph_id string, src long, dst long, weight double")
+
+    def sent(size):
+        folder, near = tmp_path / str(size), G._near
+
+        def counted(most, cutoff):
+            work = near(most, cutoff)
+
+            def count(table):
+                (folder / uuid.uuid4().hex).write_text(str(table.num_rows))
+                return work(table)
+
+            return count
+
+        folder.mkdir()
+        with monkeypatch.context() as m:
+            m.setattr(G, "_near", counted)
+            links = sorted((x.src, x.dst, round(x.weight, 9)) for x in G.similarity_edges(*graph(size)).collect())
+        return sum(int(f.read_text()) for f in folder.iterdir()), links
+
+    (less, _), (more, links) = sent(240), sent(480)
+    assert 480 <= less and more < 2.5 * less
+    monkeypatch.setattr(G, "BLOCK_BYTES", 6 * 8 * 40)
+    (tmp_path / "480").rename(tmp_path / "whole")
+    divided, same = sent(480)
+    assert divided > 2 * more and same == links
+    monkeypatch.setattr(G, "CELL_NODES", 1_000)
+    assert sorted((x.src, x.dst, round(x.weight, 9)) for x in G.similarity_edges(*graph(480)).collect()) == links and links
+
+
+@pytest.mark.parametrize("blocks", [1, 2])
+@pytest.mark.parametrize("cutoff", [-0.5, 0.3])
+def test_partners_in_tiles(monkeypatch, blocks, cutoff):
+    """The partners that plain loops find, five a node at most though half of all nodes share a vector; a vector that is no number has none."""
+    monkeypatch.setattr(G, "TILE", 7)
+    monkeypatch.setattr(G, "COLUMNS", 16)
+    r = random.Random(5)
+    e = [[1.0, 2.0, 2.0] if i % 2 else [r.gauss(0, 1) for _ in range(3)] for i in range(120)]
+    e[8], e[20] = [0.0] * 3, [float("nan"), 1.0, 1.0]
+    seqs = r.sample(range(1_000), 120)
+    second = [blocks == 2 and i >= 70 for i in range(120)]
+    cells = [r.randrange(3) + 10 * s for s in second]
+    table = pa.table({"graph_id": ["g"] * 120, "node_id": list(range(500, 620)), "node_seq": seqs, "e": e, "cell": cells, "second": second})
+    got = G._near(5, cutoff)(table).to_pylist()
+    want = set()
+    for i, a in enumerate(e):
+        near = []
+        for j, b in enumerate(e):
+            if i != j and (blocks == 1 or second[i] != second[j]):
+                size = max(math.sqrt(sum(x * x for x in a)), 1e-10) * max(math.sqrt(sum(x * x for x in b)), 1e-10)
+                sim = sum(x * y for x, y in zip(a, b, strict=True)) / size
+                near += [(-round(sim, 12), -seqs[j], j)] if sim > cutoff else []
+        want |= {(500 + i, 500 + j, seqs[j]) for _, _, j in sorted(near)[:5]}
+    assert {(x["src"], x["dst"], x["dseq"]) for x in got} == want and len(got) == len(want) > 300
+
+
 NASTY = ['"', "\\", "}{][", '\\"}', "é\u2028", '{"a": [1, "}"]}', "\n\t", "", "\\\\"]
 
 
